@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import tables
 from .exact import exact_dedup
+from .quality import quality_rules
 
 _WS = r"[\x20\x09-\x0D]+"
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"), digests=True)
 
@@ -24,6 +29,7 @@ FROM norm WINDOW same AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES: dict[str, str] = {
