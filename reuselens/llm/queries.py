@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import tables
 from .exact import exact_dedup
 from .quality import quality_rules
+from .simhash import near_dedup
 
 _WS = r"[\x20\x09-\x0D]+"
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup(tables(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -29,6 +36,7 @@ FROM norm WINDOW same AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
 }
