@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import tables
 from .exact import exact_dedup
+from .mixing import mix
 from .quality import quality_rules
 from .simhash import near_dedup
 
@@ -28,6 +29,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 _OP7 = rf"""
 WITH norm AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_source_mix": op8_source_mix,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": _OP7,
