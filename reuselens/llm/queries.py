@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 from .common import tables
 from .exact import exact_dedup
 from .mixing import mix
+from .pieces import encode_decode
 from .quality import quality_rules
 from .simhash import near_dedup
 
+#: Folder of the public vocabularies, on every executor.
+VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 _WS = r"[\x20\x09-\x0D]+"
 
 
@@ -33,6 +38,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(tables(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(tables(spark, sf_dir, "documents"), f"{VOCABULARIES}/piece_bpe_32k.model")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _OP7 = rf"""
 WITH norm AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -45,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": _OP7,
