@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tables
+from .common import scratch, tables
 from .exact import exact_dedup
 from .mixing import mix
 from .pieces import encode_decode
 from .quality import quality_rules
 from .simhash import near_dedup
-
-#: Folder of the public vocabularies, on every executor.
-VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+from .tokenfiles import read_token_files, write_token_files
 
 _WS = r"[\x20\x09-\x0D]+"
 
@@ -30,6 +28,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/tokens"
+    write_token_files(tables(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path, ids_crc32=F.crc32("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"), digests=True)
 
@@ -39,7 +43,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode_decode(tables(spark, sf_dir, "documents"), f"{VOCABULARIES}/piece_bpe_32k.model")
+    found = encode_decode(tables(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -53,6 +57,7 @@ FROM norm WINDOW same AS (PARTITION BY text_sha256)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_sentencepiece": op9_sentencepiece,
