@@ -15,6 +15,7 @@ from .pieces import encode_decode
 from .quality import quality_rules
 from .simhash import near_dedup
 from .tokenfiles import read_token_files, write_token_files
+from .warc import read_archives, resolved, write_archives
 
 _WS = r"[\x20\x09-\x0D]+"
 
@@ -47,6 +48,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/archives"
+    write_archives(tables(spark, sf_dir, "pages"), path)
+    found = read_archives(spark, path).withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload", "url")
+    return resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _OP7 = rf"""
 WITH norm AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": _OP7,
