@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch, tables
 from .exact import exact_dedup
+from .licenses import license_scan
 from .mixing import mix
 from .pieces import encode_decode
 from .quality import quality_rules
@@ -25,6 +26,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(tables(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -64,6 +69,7 @@ FROM norm WINDOW same AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
     "op7_exact_dedup": op7_exact_dedup,
