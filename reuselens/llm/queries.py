@@ -12,9 +12,11 @@ from .common import scratch, tables
 from .exact import exact_dedup
 from .licenses import license_scan
 from .mixing import mix
+from .passages import repeated_passages
 from .pieces import encode_decode
 from .quality import quality_rules
 from .simhash import near_dedup
+from .suffixes import repeated_substrings
 from .tokenfiles import read_token_files, write_token_files
 from .warc import read_archives, resolved, write_archives
 
@@ -34,12 +36,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(tables(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/tokens"
     write_token_files(tables(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(spark, path, ids_crc32=F.crc32("ids")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(tables(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(tables(spark, sf_dir, "documents"), digests=True)
 
@@ -71,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_token_files": op5_token_files,
+    "op6_repeated_substrings": op6_repeated_substrings,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_sentencepiece": op9_sentencepiece,
