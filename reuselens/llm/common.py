@@ -57,3 +57,30 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Recent(dict):
+    """A table of results by key, made when first asked for. It keeps the keys asked for of late: between `limit` and twice as many, whatever the input. What it has forgotten is made again, so results do not depend on it."""
+
+    def __init__(self, make, limit: int = 600_000):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def per_worker(key: tuple, make):
+    """make(), kept for the later tasks of the same Python worker under key."""
+    import pyspark
+
+    kept = pyspark.__dict__.setdefault("_kept_by_key", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -8,25 +8,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recent, per_worker
 from .seeds import LEAST, ROW, SEGMENT, Rolling, _batch, combined, covered, marked, pack, pieces, ranges, repeated_places, scrambled, winnow
 
 #: Words of a seed.
 SEED = 12
-#: Words whose hashes a task remembers; beyond, it starts a new table. Results do not depend on it.
-WORDS = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_digest(word)
-        return found
-
-
 def _units():
-    table = WordHashes()
+    """Text to the hashes of its words."""
+    table = per_worker(("word hashes",), lambda: Recent(xxhash.xxh64_digest))
     return lambda text: np.frombuffer(b"".join(map(table.__getitem__, text.split())), np.uint64)
 
 

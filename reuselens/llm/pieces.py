@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words that a task remembers; beyond, it starts a new table. Results do not depend on it.
-WORDS = 300_000
+from .common import Recent, per_worker
+
 #: Bytes of ids after which a task hands on what it has.
 FLUSH = 8 << 20
 _MARK = "▁"
@@ -30,30 +31,20 @@ def crossing_pieces(model) -> list[str]:
     return [p for p in map(model.id_to_piece, range(model.get_piece_size())) if re.search(f"[^{_MARK}]{_MARK}", p) and not (model.is_control(model.piece_to_id(p)) or model.is_unknown(model.piece_to_id(p)))]
 
 
-class Segments(dict):
-    """Word to its ids as little-endian int32 bytes. A word is segmented when it is first met."""
-
-    def __init__(self, model):
-        self.model, self.lone = model, np.array([model.piece_to_id(_MARK)], "<i4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = ids = np.array(self.model.encode(word), "<i4").tobytes() if word else self.lone
-        return ids
+def _tables(model) -> tuple[Recent, Recent]:
+    """Word to its ids as little-endian int32 bytes, and a word's ids to its text with the space in front."""
+    lone, guard = np.array([model.piece_to_id(_MARK)], "<i4").tobytes(), model.piece_to_id("a")
+    segments = Recent(lambda word: array("i", model.encode(word)).tobytes() if word else lone)
+    texts = Recent(lambda ids: model.decode([guard, *np.frombuffer(ids, "<i4").tolist()])[1:])
+    return segments, texts
 
 
-class Texts(dict):
-    """A word's ids, as bytes, to its text with the space in front."""
+def _model(path: str):
+    import sentencepiece
 
-    def __init__(self, model):
-        self.model, self.guard = model, model.piece_to_id("a")
-
-    def __missing__(self, ids: bytes) -> str:
-        if len(self) >= WORDS:
-            self.clear()
-        self[ids] = text = self.model.decode([self.guard, *np.frombuffer(ids, "<i4").tolist()])[1:]
-        return text
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    whole = bool(crossing_pieces(model)) or model.encode("a b") != model.encode("a") + model.encode("b")
+    return model, whole, *_tables(model)
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -69,11 +60,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """
 
     def run(batches):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        segments, texts = Segments(model), Texts(model)
-        whole = bool(crossing_pieces(model)) or model.encode("a b") != model.encode("a") + model.encode("b")
+        model, whole, segments, texts = per_worker(("pieces", model_path), lambda: _model(model_path))
         for batch in batches:
             at, held, lengths, decoded = 0, [], [], []
             column = batch.column(1)

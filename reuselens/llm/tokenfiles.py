@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Recent, per_worker
+
 #: Ids of a block, whose planes are transposed together, and ids after which a chunk is closed at the end of a document.
 BLOCK, CHUNK = 4096, 1 << 17
-#: Distinct words that a task remembers; beyond, it starts a new table. Results do not depend on it.
-WORDS = 300_000
 _HEAD = "<4sBBHII"
 _MAGIC = b"TKBP"
 
@@ -57,34 +58,36 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.packbits(bits, axis=1).view(f">u{width // 8}").ravel()[:n].astype(np.uint32)
 
 
-class WordIds(dict):
-    """Word with the space before it, if any, to its ids as little-endian uint32 bytes."""
-
-    def __init__(self, tokenizer, space: str):
-        self.tokenizer, self.space = tokenizer, space
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = ids = np.array(self.tokenizer.encode(self.space + word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-
 def _encoder(path: str):
-    """Text to ids as bytes. The byte-level splitter always cuts before a single space, so the ids of a text are those of its words; texts with runs of spaces are encoded whole."""
+    """Text to ids as little-endian uint32 bytes. The byte-level splitter always cuts before a single space, so the ids of a text are those of its words, which a table keeps; texts with runs of spaces are encoded whole."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     splitter = tokenizer.pre_tokenizer
     by_word = type(splitter).__name__ == "ByteLevel" and not splitter.add_prefix_space and splitter.use_regex and tokenizer.normalizer is None
-    by_word = by_word and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in tokenizer.get_added_tokens_decoder().values())
-    first, later = WordIds(tokenizer, ""), WordIds(tokenizer, " ")
+    by_word = by_word and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content or "\n" in t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+    def direct(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def pieced(space: str, table: dict, word: str) -> bytes:
+        """The splitter also cuts between a letter and a mark after it, and around a single line end."""
+        if len(word) > 1 and word[-1] in ",.;:!?" and word[-2].isalpha():
+            return table[word[:-1]] + first[word[-1]]
+        if "\n" in word:
+            head, _, tail = word.partition("\n")
+            if head and tail and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
+                return table[head] + first["\n"] + first[tail]
+        return direct(space + word)
+
+    first = Recent(lambda word: pieced("", first, word))
+    later = Recent(lambda word: pieced(" ", later, word))
 
     def encode(text: str) -> bytes:
         if not text:
             return b""
         if not by_word or "  " in text:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return direct(text)
         words = text.split(" ")
         return first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
 
@@ -101,7 +104,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
 
     def run(batches):
-        encode, end, shard = _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        encode, end, shard = per_worker(("byte level", tokenizer_path), lambda: _encoder(tokenizer_path)), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         chunk, ids, held, lengths, total = 0, [], [], [], 0
 
         def close():
