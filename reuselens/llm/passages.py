@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Recent, per_worker
-from .seeds import LEAST, ROW, SEGMENT, Rolling, _batch, combined, covered, marked, pack, pieces, ranges, repeated_places, scrambled, winnow
+from .seeds import LEAST, ROW, SEGMENT, Rolling, combined, covered, marked, pack, pieces, ranges, repeated_places, scrambled, side_marks, winnow
 
 #: Words of a seed.
 SEED = 12
@@ -39,13 +39,13 @@ def _seeds(window: int, q: int):
                 # Content of the seed, and of all it may be extended to, left and right.
                 h = scrambled(grams[seed])
                 c = scrambled(second.part(second.prefix(units), lo, hi + window) ^ scrambled(((hi - lo) << 8 | (seed - lo)).astype(np.uint64)))
+                sides = side_marks(lambda a, b: scrambled(first.part(sums, a, b)), seed, lo, hi, window, q, len(units))
                 of = np.searchsorted(bounds, lo, "right") - 1
                 index, offset = (np.array(x) for x in zip(*((k, at) for k, at, _ in held), strict=True))
                 doc = docs[index[of]]
                 place = pack(lo - bounds[of] + offset[of], hi - lo, marks[index[of]])
                 h, c = h.view(np.int64), c.view(np.int64)
-                order, late = combined((h, c), doc, place, False)
-                yield _batch(h=h[order], c=c[order], doc=doc[order], place=np.where(late, -1 - place[order], place[order]))
+                yield combined(h, c, doc, place, False, sides=sides)
 
     return run
 
@@ -70,8 +70,7 @@ def _windows(window: int):
                         found.append((*keys, np.full(len(some), doc), pack(some, 0, np.full(len(some), mark))))
             if found:
                 h, c, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                order, late = combined((h, c), doc, place, False)
-                yield _batch(h=h[order], c=c[order], doc=doc[order], place=np.where(late, -1 - place[order], place[order]))
+                yield combined(h, c, doc, place, False)
 
     return run
 
@@ -82,8 +81,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A word is removed if it lies in a window of `window` consecutive words that also starts in a
     document with a smaller doc_id. Documents meet on winnowed seeds of `seed` words: any shared
     window has one at the same place. A match is extended over all windows that the seed is chosen
-    for, left and right at once where these agree as a whole, else window by window, and the windows
-    found repeated are merged into maximal passages. Sequences are compared by 128 bits of hashes of
+    for, left and right at once where these agree as a whole, else on the sides that agree, window by
+    window, and the windows found repeated are merged into maximal passages. Sequences are compared by 128 bits of hashes of
     their words.
 
     Copies of a passage are only compared with its first occurrence, so a group of copies costs as
@@ -91,7 +90,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     from each other; a null id comes before all others. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    hits, filters = repeated_places(base, _seeds(window, seed), _windows(window), by_place=False)
+    hits, filters = repeated_places(base, _seeds(window, seed), _windows(window), window, seed, by_place=False)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def keep(batches):

@@ -108,20 +108,34 @@ ROW = f"pmod(xxhash64(_text), {1 << _ROW_BITS}L)"
 LEAST = -(1 << 63)
 
 
+def side_marks(ids_of: Callable[[np.ndarray, np.ndarray], np.ndarray], seed: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int, q: int, n: int) -> np.ndarray:
+    """For each seed the ids, 20 bits each, of the seed with half of what a window has besides on its left and on its right, and the offset of the seed in its first window.
+
+    A window has so much on one side at least. ids_of gives the ids of the content between starts
+    and stops; where no window of the seed needs a side, its id means nothing.
+    """
+    half = (window - q) // 2
+    left = ids_of(np.maximum(seed - half, 0), seed + q) >> _U(44)
+    right = ids_of(seed, np.minimum(seed + q + half, n)) >> _U(44)
+    return ((left << _U(27)) | (right << _U(7)) | (seed - lo).astype(_U)).view(np.int64)
+
+
 def _later(doc, place, first_doc, first_place, by_place: bool) -> np.ndarray:
     later = doc != first_doc
     return later | ((place >> _ROW_BITS) != (first_place >> _ROW_BITS)) if by_place else later
 
 
-def combined(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray, by_place: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(order, later): rows in order of keys, doc and place, and which of them have an earlier row of equal keys."""
-    order = np.lexsort((place, doc, *reversed(keys)))
-    keys, doc, place = tuple(k[order] for k in keys), doc[order], place[order]
+def combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, by_place: bool, **more: np.ndarray) -> pa.RecordBatch:
+    """The rows in their order, in which each that has an earlier row of equal h and c is marked as late: its place is negative, and its h spreads it over all tasks, as nothing is left to be compared."""
+    order = np.lexsort((place, doc, c, h))
+    keys, by_doc, by = (h[order], c[order]), doc[order], place[order]
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order, _later(doc, place, doc[first], place[first], by_place)
+    late = np.empty(len(order), bool)
+    late[order] = _later(by_doc, by, by_doc[first], by[first], by_place)
+    apart = scrambled((doc ^ place).view(_U)).view(np.int64)
+    return _batch(h=np.where(late, apart, h), c=np.where(late, 0, c), doc=doc, place=np.where(late, -1 - place, place), **more)
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -129,7 +143,7 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def judge_contexts(by_place: bool):
-    """Over rows (h, c, doc, place) sorted in this order: (doc, place, expand) of the rows that have an earlier row of equal h and c, with expand false, and of the first rows of those h that have several c, with expand true. Rows whose place is negative are passed on as late ones.
+    """Over rows (h, c, doc, place, sides) sorted in this order: the rows that have an earlier row of equal h and c, with expand false, and the first rows of those h that have several c, with expand true. Rows whose place is negative are passed on as late ones.
 
     Only the state of the last group is kept from batch to batch, whatever the size of a group.
     """
@@ -138,11 +152,12 @@ def judge_contexts(by_place: bool):
         last_h = last_c = first_doc = first_place = None
         several, waiting = False, []  # of last_h: whether it has several c, and the first rows of its only c
         for batch in batches:
-            h, c, doc, place = (np.asarray(x) for x in batch.columns)
+            h, c, doc, place, sides = (np.asarray(x) for x in batch.columns)
+            rows = lambda some, place, expand: _batch(h=h[some], c=c[some], doc=doc[some], place=place[some], sides=sides[some], expand=expand[some])  # noqa: E731, B023
             passed = place < 0
             if passed.any():
-                yield _batch(doc=doc[passed], place=-1 - place[passed], expand=np.zeros(passed.sum(), bool))
-                h, c, doc, place = (x[~passed] for x in (h, c, doc, place))
+                yield rows(passed, -1 - place, np.zeros(len(h), bool))
+                h, c, doc, place, sides = (x[~passed] for x in (h, c, doc, place, sides))
             n = len(h)
             if not n:
                 continue
@@ -167,11 +182,11 @@ def judge_contexts(by_place: bool):
             expand = ~late & many[group]
             out = late | expand
             if out.any():
-                yield _batch(doc=doc[out], place=place[out], expand=expand[out])
+                yield rows(out, place, expand)
             several = bool(many[group[-1]])
             if not several:
                 keep = ~late & (group == group[-1])
-                waiting.append(_batch(doc=doc[keep], place=place[keep], expand=np.ones(keep.sum(), bool)))
+                waiting.append(rows(keep, place, np.ones(n, bool)))
             last_h, last_c, first_doc, first_place = h[-1], c[-1], d0[-1], p0[-1]
 
     return run
@@ -242,19 +257,39 @@ def covered(places: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated_places(docs: DataFrame, seeds_of, windows_of, by_place: bool) -> tuple[DataFrame, DataFrame]:
+def _open_places(judged: DataFrame, window: int, q: int, at: str) -> DataFrame:
+    """(doc, place) of the windows to be looked at: of the rows with expand those halves whose id, with the seed, another row of other content has."""
+    half = (window - q) // 2
+    start, span, row = "shiftright(place, 32)", f"(shiftright(place, {_ROW_BITS}) & {(1 << _SPAN_BITS) - 1})", f"(place & {(1 << _ROW_BITS) - 1})"
+    cut = f"({start} + (sides & 127) - {half})"  # the first window that has half on the right
+    put = lambda first, last: f"(shiftleft({first}, 32) | shiftleft({last} - {first}, {_ROW_BITS}) | {row})"
+    first, last = start, f"({start} + {span})"
+    rows = judged.where("expand").select(
+        "h", "c", "doc",
+        F.explode(F.expr(f"""array(
+            if({first} < {cut}, struct(0 as side, shiftright(sides, 27) as id, {put(first, f"least({last}, {cut} - 1)")} as part), null),
+            if({last} >= {cut}, struct(1 as side, shiftright(sides, 7) & {(1 << 20) - 1} as id, {put(f"greatest({first}, {cut})", last)} as part), null))""")).alias("x"),
+    ).where("x is not null").select("h", "c", "doc", "x.side", "x.id", F.col("x.part").alias("place"))
+    rows = materialise(rows, f"{at}/halves")
+    several = rows.groupBy("h", "side", "id").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a < _b").select("h", "side", "id")
+    return rows.join(materialise(several, f"{at}/several"), ["h", "side", "id"]).select("doc", "place")
+
+
+def repeated_places(docs: DataFrame, seeds_of, windows_of, window: int, q: int, by_place: bool) -> tuple[DataFrame, DataFrame]:
     """(hits, filter): hits (doc, place) are the starts of all windows with an earlier window of equal content; the filter marks the documents that have any.
 
     docs has _id, doc and _text (binary). seeds_of maps batches (doc, row, text) to seeds (h, c, doc,
-    place): h is the seed's content, c that of all windows it is chosen for. windows_of maps batches
+    place, sides): h is the seed's content, c that of all windows it is chosen for. windows_of maps batches
     (doc, row, text, places) to windows (h, c, doc, place).
 
     1. Seeds are dealt by content. Rows of equal h and c agree on all their windows, so all but the
        first are repeats throughout. Where an h has one c only, its first row has no repeat.
-    2. The first rows of an h with several c are looked at window by window: each is hashed in full
-       and dealt by its hash.
+    2. The first rows of an h with several c may still share windows. Any window has half of its
+       other units on one side of the seed. So for each side, rows that agree on the seed and that
+       half are looked at further, and rows that agree with no other are done.
+    3. What is left is looked at window by window: each is hashed in full and dealt by its hash.
 
-    Both steps drop later rows of a batch before they are shuffled, as a combiner does, so a passage
+    Steps 1 and 3 drop later rows of a batch before they are shuffled, as a combiner does, so a passage
     that a third of all documents share arrives as few rows. A sorted group is read row by row and
     never held.
     """
@@ -262,9 +297,9 @@ def repeated_places(docs: DataFrame, seeds_of, windows_of, by_place: bool) -> tu
     rows = docs.select("doc", F.expr(f"{ROW} as row"), "_text")
     schema = "h long, c long, doc long, place long"
     sort = ("h", "c", "doc", "place")
-    seeds = rows.mapInArrow(seeds_of, schema).repartition("h").sortWithinPartitions(*sort)
-    judged = materialise(seeds.mapInArrow(judge_contexts(by_place), "doc long, place long, expand boolean"), f"{at}/contexts")
-    open_ = by_document(judged.where("expand"))
+    seeds = rows.mapInArrow(seeds_of, f"{schema}, sides long").repartition("h").sortWithinPartitions(*sort)
+    judged = materialise(seeds.mapInArrow(judge_contexts(by_place), f"{schema}, sides long, expand boolean"), f"{at}/contexts")
+    open_ = by_document(_open_places(judged, window, q, at))
     open_ = materialise(open_, f"{at}/open")
     wanted = marked(docs.select("doc", F.expr(f"{ROW} as row"), "_text"), materialise(needed(open_), f"{at}/open-filter")).where("_needed")
     joined = wanted.join(open_, ["doc", "row"]).select("doc", "row", "_text", "places")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .seeds import LEAST, ROW, SEGMENT, Rolling, _batch, combined, covered, marked, pack, pieces, ranges, repeated_places, scrambled, winnow
+from .seeds import LEAST, ROW, SEGMENT, Rolling, combined, covered, marked, pack, pieces, ranges, repeated_places, scrambled, side_marks, winnow
 
 #: Bytes of the initial buckets' grams.
 GRAM = 32
@@ -30,6 +30,13 @@ class Buckets:
     def initial(self, data: np.ndarray) -> np.ndarray:
         return scrambled(self.rolling.grams(self.rolling.prefix(self.codes[data]), self.q))
 
+    def pairs(self, initial: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Buckets by the bytes between start and stop, q to 2 q of them and a few more: those of the first q, refined by those of the grams after them, the last one ending at stop."""
+        ids = initial[start]
+        for step in (self.q, 2 * self.q):
+            ids = self.refined(ids, initial[np.clip(np.minimum(start + step, stop - self.q), 0, len(initial) - 1)])
+        return ids
+
     @staticmethod
     def refined(at: np.ndarray, later: np.ndarray) -> np.ndarray:
         """Buckets of the pairs of bucket identifiers at an offset and at a later one."""
@@ -61,13 +68,13 @@ def _seeds(window: int, q: int):
                 c = scrambled(((hi - lo) << 8 | (seed - lo)).astype(np.uint64))
                 for step in range(0, 2 * window - q, q):
                     c = buckets.refined(c, initial[np.minimum(lo + step, hi + window - q)])
+                sides = side_marks(lambda a, b: buckets.pairs(initial, a, b), seed, lo, hi, window, q, len(data))
                 of = np.searchsorted(bounds, lo, "right") - 1
                 index, offset = (np.array(x) for x in zip(*((k, at) for k, at, _ in held), strict=True))
                 doc = docs[index[of]]
                 place = pack(lo - bounds[of] + offset[of], hi - lo, marks[index[of]])
                 h, c = initial[seed].view(np.int64), c.view(np.int64)
-                order, late = combined((h, c), doc, place, True)
-                yield _batch(h=h[order], c=c[order], doc=doc[order], place=np.where(late, -1 - place[order], place[order]))
+                yield combined(h, c, doc, place, True, sides=sides)
 
     return run
 
@@ -91,8 +98,7 @@ def _windows(window: int, q: int):
                         found.append((*keys, np.full(len(some), doc), pack(some, 0, np.full(len(some), mark))))
             if found:
                 h, c, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                order, late = combined((h, c), doc, place, True)
-                yield _batch(h=h[order], c=c[order], doc=doc[order], place=np.where(late, -1 - place[order], place[order]))
+                yield combined(h, c, doc, place, True)
 
     return run
 
@@ -107,15 +113,16 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     identifiers of later offsets, reusing those of the round before, until suffixes are told apart
     or agree for `window` bytes. So that not every suffix has to be shuffled, the first buckets hold
     one suffix of about every (window - gram) / 2, chosen by content: each string of `window` bytes
-    has one, at the same offset as its copies. A bucket that is not refined further, because it has one
-    suffix or all of its suffixes agree on all the strings around, is done; only in the others is
-    every suffix refined to the full depth and sorted. Full depth is compared by 128 bits.
+    has one, at the same offset as its copies. A bucket is done when it has one suffix or all its
+    suffixes agree on all the strings around. Others are refined by what comes before and after, and
+    only where such a bucket still has several suffixes is every suffix around refined to the full
+    depth and sorted. Full depth is compared by 128 bits.
 
     Null texts have no bytes. Rows of equal doc_id and start never remove each other; a null id
     comes before all others. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    hits, filters = repeated_places(base, _seeds(window, gram), _windows(window, gram), by_place=True)
+    hits, filters = repeated_places(base, _seeds(window, gram), _windows(window, gram), window, gram, by_place=True)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def keep(batches):
