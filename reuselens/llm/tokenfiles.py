@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from array import array
 
@@ -15,8 +16,11 @@ from .common import Recent, per_worker
 
 #: Ids of a block, whose planes are transposed together, and ids after which a chunk is closed at the end of a document.
 BLOCK, CHUNK = 4096, 1 << 17
+#: Words that a task's table keeps, and twice as many at most: about 200 MB.
+WORDS = 1_000_000
 _HEAD = "<4sBBHII"
 _MAGIC = b"TKBP"
+_PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
 def pack_ids(ids: np.ndarray, block: int = BLOCK, level: int = 3) -> bytes:
@@ -52,10 +56,10 @@ def unpack_ids(data: bytes) -> np.ndarray:
         raise ValueError("a chunk of token ids has the wrong length")
     if not n:
         return np.empty(0, np.uint32)
-    width = 16 if planes <= 16 else 32
-    bits = np.zeros((padded, width), np.uint8)
-    bits[:, width - planes :] = np.unpackbits(np.stack(rows), axis=1).T
-    return np.packbits(bits, axis=1).view(f">u{width // 8}").ravel()[:n].astype(np.uint32)
+    ids = np.zeros(n, np.uint16 if planes <= 16 else np.uint32)
+    for row in rows:
+        ids = (ids << 1) | np.unpackbits(row, count=n)
+    return ids.astype(np.uint32)
 
 
 def _encoder(path: str):
@@ -65,23 +69,27 @@ def _encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     splitter = tokenizer.pre_tokenizer
     by_word = type(splitter).__name__ == "ByteLevel" and not splitter.add_prefix_space and splitter.use_regex and tokenizer.normalizer is None
+    special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
     by_word = by_word and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content or "\n" in t.content for t in tokenizer.get_added_tokens_decoder().values())
 
     def direct(text: str) -> bytes:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def pieced(space: str, table: dict, word: str) -> bytes:
-        """The splitter also cuts between a letter and a mark after it, and around a single line end."""
-        if len(word) > 1 and word[-1] in ",.;:!?" and word[-2].isalpha():
-            return table[word[:-1]] + first[word[-1]]
+        """The splitter also cuts between a letter and the marks after it, and around a single line end."""
+        if special(word):
+            return direct(space + word)
+        head = word.rstrip(_PUNCTUATION)
+        if head and len(head) < len(word) and head[-1].isalpha():
+            return table[head] + first[word[len(head) :]]
         if "\n" in word:
             head, _, tail = word.partition("\n")
             if head and tail and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
                 return table[head] + first["\n"] + first[tail]
         return direct(space + word)
 
-    first = Recent(lambda word: pieced("", first, word))
-    later = Recent(lambda word: pieced(" ", later, word))
+    first = Recent(lambda word: pieced("", first, word), WORDS)
+    later = Recent(lambda word: pieced(" ", later, word), WORDS)
 
     def encode(text: str) -> bytes:
         if not text:
