@@ -39,8 +39,8 @@ def _marked(rows: DataFrame, filters: DataFrame, name: str, *key: str) -> DataFr
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, and with digests text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, with digests text_sha256, and the columns keep.
 
     Texts are equal when identical after each run of white space became one space. Three scans
     refine the groups. The first counts lengths. The second hashes the prefix of texts whose length
@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id stays only where its group has no other. An empty table gives an empty result.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), spaced(F.coalesce(F.col(text_col), F.lit(""))).alias("_norm"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), spaced(F.coalesce(F.col(text_col), F.lit(""))).alias("_norm"), *keep)
     sized = rows.withColumn("_len", F.octet_length("_norm"))
     lengths = materialise(_survivors(sized.select("_len")), f"{at}/lengths")
 
@@ -61,6 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     hashed = _marked(prefixed, prefixes, "_twice", "_len", "_prefix").select(
         "doc_id",
+        *keep,
         F.when(F.col("_again") & F.col("_twice"), F.sha2("_norm", 256)).alias("_full"),
         *([F.sha2("_norm", 256).alias("text_sha256")] if digests else []),
     )
@@ -68,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = hashed.where("_full is not null").groupBy("_full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = materialise(groups, f"{at}/groups")  # both sides of the join are then shuffled for it, so a hot group can be split
 
-    extra = ["text_sha256"] if digests else []
+    extra = [*(["text_sha256"] if digests else []), *keep]
     single = hashed.where("_full is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *extra)
     grouped = hashed.where("_full is not null").join(groups, "_full").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *extra)
     return single.unionByName(grouped)

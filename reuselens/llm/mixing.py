@@ -62,8 +62,8 @@ def _seeded(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, and spans, an array of (start, stop, times) over its words.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, spans, an array of (start, stop, times) over its words, and the columns keep.
 
     Each source's documents are dealt by a seeded hash to shards of about shard_rows documents. In
     a shard, in seeded order, their words form one line that is cut into blocks of equal size.
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty table gives an empty result.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("size"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("size"), *keep)
     sizes = materialise(sizes, f"{at}/sizes")
     targets = source_targets(sizes, weights, share)
     # Blocks a source may take are also bounded by what its shards hold.
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = sizes.join(targets.select(F.col("source").alias("_s"), "shards"), F.col("source").eqNullSafe(F.col("_s")))
     placed = placed.withColumn("_order", _seeded(seed, F.col("doc_id"))).withColumn("shard", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("shards")).cast("int"))
     line = Window.partitionBy("source", "shard").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("stop", F.sum("size").over(line)).select("doc_id", "source", "shard", "size", (F.col("stop") - F.col("size")).alias("start"), "stop")
+    placed = placed.withColumn("stop", F.sum("size").over(line)).select("doc_id", "source", "shard", "size", (F.col("stop") - F.col("size")).alias("start"), "stop", *keep)
     placed = materialise(placed, f"{at}/placed")
 
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
@@ -116,4 +116,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     taken = taken.withColumn("spans", inside.cast("array<struct<start:bigint,stop:bigint,times:int>>"))
     taken = taken.withColumn("taken", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.stop - x.start) * x.times)"))
-    return taken.join(targets.select(F.col("source").alias("_t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_t"))).select("doc_id", "source", "size", "source_size", "target", "taken", "spans")
+    return taken.join(targets.select(F.col("source").alias("_t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_t"))).select("doc_id", "source", "size", "source_size", "target", "taken", "spans", *keep)

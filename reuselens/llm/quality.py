@@ -121,15 +121,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     labels has doc_id and quality (1 is good; null is no label). An empty table of labels certifies
     nothing, and the base rules alone decide. A null stratum belongs with those that have no
-    cutoffs of their own. Columns named in keep are carried along.
+    cutoffs of their own. Columns named in keep are carried along, and written with the measures.
     """
     docs = docs.withColumn("_stratum", F.col(stratum_col).cast("string"))
     at = scratch(docs.sparkSession)
     # The measures are a few numbers a document: written once, they serve the fit and the verdicts.
-    measured = materialise(measure(docs, id_col, text_col, "_stratum"), f"{at}/measured")
+    measured = materialise(measure(docs, id_col, text_col, "_stratum", *keep), f"{at}/measured")
     cutoffs = materialise(fit_cutoffs(measured, labels, "_stratum", risk, delta), f"{at}/cutoffs")
-    if keep:  # measured anew beside the kept columns, which are then neither written nor shuffled
-        measured = measure(docs, id_col, text_col, "_stratum", *keep)
     # The table of cutoffs has STRATA + 1 rows at most.
     named = F.broadcast(cutoffs.where(F.col("stratum") != _REST).select("stratum", F.struct(*(f"cut_{s}" for s in GRID)).alias("_own")))
     rest = F.broadcast(cutoffs.where(F.col("stratum") == _REST).select(F.struct(*(f"cut_{s}" for s in GRID)).alias("_others"), F.lit(1).alias("_one")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch
 
 #: Units that are hashed together; longer sequences are cut into pieces that overlap by a window, which changes costs, not results.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Slots of the filter that tells which documents a join needs: 2 ** 22 bits, 65,536 rows of 64, at any input size.
 SLOTS = 1 << 22
 _ROW_BITS, _SPAN_BITS = 25, 7

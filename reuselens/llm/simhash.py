@@ -12,7 +12,7 @@ from .common import materialise, scratch
 from .components import connected_components
 
 #: Fingerprints that one bucket may hold before it is dealt again by finer masks.
-BUCKET = 1024
+BUCKET = 4096
 _SEED = 7
 
 
@@ -34,16 +34,17 @@ def fingerprint(text: bytes, words: int) -> int:
     return int.from_bytes(np.packbits(2 * total > len(pieces)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, fp) of every row of docs. A null text is an empty one, and a text without words has fingerprint 0; a shorter text is one shingle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, the columns keep) of every row of docs. A null text is an empty one, and a text without words has fingerprint 0; a shorter text is one shingle."""
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t or b"", words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_text"), *keep)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, f"doc_id long, fp long{kinds}")
 
 
 def covering_masks(radius: int, bits: tuple[int, ...], seed: int) -> list[int]:
@@ -87,7 +88,7 @@ def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _bucket_links(radius: int):
-    """Over rows (mask, key, fp) sorted by mask and key: links as (a, b, null), and the values of buckets beyond BUCKET as (fp, null, mask) for the next round."""
+    """Over rows (mask, fp) sorted by mask and the bits of fp that it keeps, the bucket: links as (a, b, null), and the values of buckets beyond BUCKET as (fp, null, mask) for the next round."""
 
     def out(links: np.ndarray, over: list[tuple[np.ndarray, int]]):
         a = np.concatenate([links[:, 0], *(x for x, _ in over)]) if len(links) or over else np.empty(0, np.int64)
@@ -101,7 +102,8 @@ def _bucket_links(radius: int):
         held: list[tuple[int, int, np.ndarray]] = []  # the last bucket, which the next batch may continue, up to BUCKET values
         large: tuple[int, int] | None = None  # the bucket that is being handed on
         for batch in batches:
-            mask, key, fp = (np.asarray(batch.column(k)) for k in range(3))
+            mask, fp = (np.asarray(batch.column(k)) for k in range(2))
+            key = fp & mask
             if held:
                 mask, key, fp = np.append(held[0], mask), np.append(held[1], key), np.append(held[2], fp)
                 held = []
@@ -142,8 +144,8 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
         masks = [(f, f | m) for f in fixed for m in covering_masks(radius, tuple(b for b in range(64) if not f >> b & 1), _SEED + step)]
         # A function of radius and step alone, with 31 ** (step + 1) rows at most.
         table = F.broadcast(spark.createDataFrame([(_signed(f), _signed(m)) for f, m in masks], "fixed long, mask long"))
-        dealt = todo.join(table, "fixed").select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        dealt = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
+        key = F.col("fp").bitwiseAND(F.col("mask"))
+        dealt = todo.join(table, "fixed").select("mask", "fp").repartition("mask", key).sortWithinPartitions("mask", key)
         made = materialise(dealt.mapInArrow(_bucket_links(radius), "a long, b long, mask long"), f"{at}/{step}")
         found.append(made.where("mask is null").select("a", "b"))
         todo = made.where("mask is not null").select(F.col("a").alias("fp"), F.col("mask").alias("fixed")).distinct()
@@ -158,19 +160,19 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
     return links
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, fp and component_id, the smallest doc_id that links of fingerprints within radius bits reach.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, fp, the columns keep and component_id, the smallest doc_id that links of fingerprints within radius bits reach.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Equal fingerprints are one
     class throughout, so copies are never compared with each other. Null ids take part, but give a
     component its id only if it has no other. An empty table gives an empty result.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    rows = materialise(fingerprints(docs, id_col, text_col, words), f"{at}/fps")
+    rows = materialise(fingerprints(docs, id_col, text_col, words, keep), f"{at}/fps")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{at}/classes")
     roots = connected_components(hamming_links(classes.select("fp"), radius))
     of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = materialise(of, f"{at}/roots")
     ids = of.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = materialise(of.join(materialise(ids, f"{at}/ids"), "root").select("fp", "component_id"), f"{at}/components")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(ids, "fp").select("doc_id", "fp", *keep, "component_id")
