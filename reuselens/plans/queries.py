@@ -1,6 +1,467 @@
-"""Named queries over the test tables, each with the SQL that must give the same rows."""
+"""Named queries over the test tables, each with the SQL that must give the same rows. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import batches, catalogue, codec, dedup, dictionary, incremental, rules, search, store, tokens
+from ..sources import files, ini
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Symbols of a window against the search set, whose passages are short, and of a window in searches of the corpus in itself.
+K, SELF_K = 8, 64
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def base_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.text_symbols(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.text_symbols(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def tok(name: str, source: str, key: str) -> str:
+    return rf"""{name} AS (SELECT {key} AS file_id, list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda t: t <> ''),
+        lambda t: ('0x' || substr(md5(t), 1, 8))::bigint) AS m FROM {source})"""
+
+
+def win(name: str, source: str, k: int) -> str:
+    return f"""{name} AS (SELECT file_id, i AS pos, (list_sum(list_transform(m[i + 1:i + {k}], lambda x: xor(x, (x << 5) & 4294967295)))::bigint & 4294967295) AS fp
+        FROM (SELECT file_id, m, unnest(range(0, len(m) - {k} + 1)) AS i FROM {source}))"""
+
+
+def match_sql(k: int = K) -> str:
+    return f"""WITH {tok("tb", "documents", "doc_id")}, {tok("ts", "benchmark", "item_id")}, {win("wb", "tb", k)}, {win("ws", "ts", k)},
+    cand AS (SELECT b.file_id AS base_id, s.file_id AS search_id, b.pos AS base_pos, s.pos AS search_pos FROM wb b JOIN ws s USING (fp)),
+    hits AS (SELECT c.* FROM cand c JOIN tb ON tb.file_id = base_id JOIN ts ON ts.file_id = search_id WHERE tb.m[base_pos + 1:base_pos + {k}] = ts.m[search_pos + 1:search_pos + {k}]),
+    ranges AS ({ranges_sql("hits", k)})"""
+
+
+def ranges_sql(hits: str, k: int) -> str:
+    return f"""SELECT base_id, search_id, min(base_pos) AS base_start, max(base_pos) + {k - 1} AS base_end, min(search_pos) AS search_start, max(search_pos) + {k - 1} AS search_end
+        FROM (SELECT *, base_pos - row_number() OVER (PARTITION BY base_id, search_id, base_pos - search_pos ORDER BY base_pos) AS run FROM {hits}) GROUP BY base_id, search_id, base_pos - search_pos, run"""
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(base_files(spark, sf_dir), search_files(spark, sf_dir), K)
+
+
+# Sources and symbols
+
+
+@query("SELECT doc_id, lang, strlen(text) AS bytes FROM documents WHERE strlen(text) <= 1048576")
+def scan_sized_files(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.octet_length("text") <= 1048576).select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("SELECT lang AS source_type, count(*) AS n, sum(strlen(text))::bigint AS total FROM documents GROUP BY lang")
+def source_type_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("source_type"), F.octet_length("text").alias("bytes"))
+    return batches.group_sizes(rows, "source_type", "bytes")
+
+
+@query(r"""SELECT page_id, i - 1 AS block_no, replace(replace(replace(replace(replace(replace(replace(replace(replace(b[i], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&#34;', '"'), '&#xA;', chr(10)), '&#xD;', chr(13)), '&amp;', '&') AS body
+    FROM (SELECT page_id, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS b FROM pages))""")
+def html_blocks(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(scalars.blocks(F.col("html"), "p")).alias("block_no", "body"))
+    return rows.select("page_id", F.col("block_no").cast("long").alias("block_no"), scalars.decode_entities(F.col("body")).alias("body"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS file_name FROM pages""")
+def url_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"), scalars.clean_file_name(F.col("url")).alias("file_name"))
+
+
+@query(r"""SELECT file_id, t.line AS line, count(*) AS n, sum(('0x' || substr(md5(t.tok), 1, 8))::bigint)::bigint AS syms
+    FROM (SELECT file_id, unnest(flatten(list_transform(range(1, len(l) + 1), lambda i: list_transform(list_filter(string_split_regex(l[i], '[ \t\n\r\f]+'), lambda t: t <> ''), lambda t: {'line': i, 'tok': t})))) AS t
+          FROM (SELECT doc_id AS file_id, string_split(lower(text), chr(10)) AS l FROM documents)) GROUP BY file_id, t.line""")
+def token_stream(spark, sf_dir):
+    rows = tokens.token_stream(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.groupBy("file_id", "line").agg(F.count("*").alias("n"), F.sum("sym").alias("syms"))
+
+
+@query(r"""SELECT tok AS token, count(*) AS n, count(DISTINCT doc_id) AS n_files FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \t\n\r\f]+'), lambda t: t <> '')) AS tok FROM documents) GROUP BY tok""")
+def symbol_dictionary(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens.text_tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_files"))
+
+
+@query("""WITH brands AS (SELECT row_number() OVER (ORDER BY p_brand) AS id, p_brand FROM (SELECT DISTINCT p_brand FROM part))
+    SELECT p_partkey, id AS brand_id FROM part JOIN brands USING (p_brand)""")
+def dictionary_encode(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return dictionary.encode(part, dictionary.fresh_ids(part, "p_brand"), "p_brand", "brand_id")
+
+
+@query("""WITH old AS (SELECT row_number() OVER (ORDER BY p_type) AS id, p_type FROM (SELECT DISTINCT p_type FROM part WHERE p_size <= 5)),
+    new AS (SELECT row_number() OVER (ORDER BY p_type) + (SELECT max(id) FROM old) AS id, p_type FROM (SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM old)))
+    SELECT id, p_type FROM old UNION ALL SELECT id, p_type FROM new""")
+def insert_or_ignore(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return dictionary.insert_or_ignore(dictionary.fresh_ids(part.where("p_size <= 5"), "p_type"), part, "p_type")
+
+
+@query("SELECT p_partkey, ((p_size | (length(p_brand) << 16)) & 65535)::bigint AS symbol, ((p_size | (length(p_brand) << 16)) >> 16)::bigint AS field FROM part")
+def pack_symbols(spark, sf_dir):
+    packed = scalars.pack_symbol(F.col("p_size"), F.length("p_brand"))
+    symbol, field = scalars.unpack_symbol(packed)
+    return table(spark, sf_dir, "part").select("p_partkey", symbol.alias("symbol"), field.alias("field"))
+
+
+# Windows and matches
+
+
+@query(f"WITH {tok('t', 'documents', 'doc_id')}, {win('w', 't', K)} SELECT file_id, count(*) AS n, sum(fp)::bigint AS fps, min(fp) AS least, max(fp) AS most FROM w GROUP BY file_id")
+def window_fingerprints(spark, sf_dir):
+    rows = search.windows(base_files(spark, sf_dir), K)
+    return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("fp").alias("fps"), F.min("fp").alias("least"), F.max("fp").alias("most"))
+
+
+@query(f"WITH {tok('t', 'benchmark', 'item_id')}, {win('w', 't', K)} SELECT fp, count(*) AS n, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file FROM w GROUP BY fp")
+def window_index(spark, sf_dir):
+    rows = search.window_index(search_files(spark, sf_dir), K)
+    return rows.select("fp", F.size("positions").cast("long").alias("n"), F.size(F.array_distinct("positions.file_id")).cast("long").alias("n_files"), F.col("positions")[0]["file_id"].alias("first_file"))
+
+
+@query(f"{match_sql()} SELECT * FROM cand")
+def match_candidates(spark, sf_dir):
+    return search.candidates(base_files(spark, sf_dir), search_files(spark, sf_dir), K)
+
+
+@query(f"{match_sql()} SELECT * FROM hits")
+def match_verified(spark, sf_dir):
+    base, wanted = base_files(spark, sf_dir), search_files(spark, sf_dir)
+    return search.verified(search.candidates(base, wanted, K), base, wanted, K)
+
+
+@query(f"{match_sql()} SELECT DISTINCT base_id, search_id FROM hits")
+def match_fast(spark, sf_dir):
+    return search.search(base_files(spark, sf_dir), search_files(spark, sf_dir), K, fast=True)
+
+
+@query(f"{match_sql()} SELECT DISTINCT search_id FROM hits")
+def match_exists(spark, sf_dir):
+    return search.shares_window(base_files(spark, sf_dir), search_files(spark, sf_dir), K)
+
+
+@query(f"{match_sql()} SELECT * FROM ranges")
+def match_ranges(spark, sf_dir):
+    return ranges(spark, sf_dir)
+
+
+@query(f"{match_sql()} SELECT *, base_end - base_start + 1 AS length FROM ranges ORDER BY length DESC, base_id, search_id, base_start, search_start LIMIT 10")
+def match_longest(spark, sf_dir):
+    return search.longest(ranges(spark, sf_dir), 10)
+
+
+@query(f"""{match_sql()}, marks AS (SELECT search_id, unnest(range(search_start, search_end + 1)) AS p FROM ranges)
+    SELECT r.search_id, r.n_ranges, r.n_bases, m.covered FROM (SELECT search_id, count(*) AS n_ranges, count(DISTINCT base_id) AS n_bases FROM ranges GROUP BY search_id) r JOIN (SELECT search_id, count(DISTINCT p) AS covered FROM marks GROUP BY search_id) m USING (search_id)""")
+def match_coverage(spark, sf_dir):
+    return search.coverage(ranges(spark, sf_dir))
+
+
+@query(f"""{match_sql()}, o AS (SELECT *, row_number() OVER w AS rn, lag(search_start) OVER w AS b, lead(search_start) OVER w AS a FROM ranges WINDOW w AS (PARTITION BY search_id ORDER BY search_start, search_end, base_id, base_start))
+    SELECT base_id, search_id, base_start, base_end, search_start, search_end, coalesce(b, search_start) AS previous_start, coalesce(a, search_start) AS next_start FROM o""")
+def match_neighbours(spark, sf_dir):
+    return search.neighbours(ranges(spark, sf_dir))
+
+
+_LINES = r"""(SELECT {key} AS file_id, unnest(flatten(list_transform(range(1, len(l) + 1), lambda i: list_transform(list_filter(string_split_regex(l[i], '[ \t\n\r\f]+'), lambda t: t <> ''), lambda t: i)))) AS line,
+    generate_subscripts(flatten(list_transform(range(1, len(l) + 1), lambda i: list_transform(list_filter(string_split_regex(l[i], '[ \t\n\r\f]+'), lambda t: t <> ''), lambda t: i))), 1) - 1 AS pos
+    FROM (SELECT {key}, string_split(lower(text), chr(10)) AS l FROM {source}))"""
+
+
+def _lined(spark, sf_dir):
+    base = tokens.token_stream(table(spark, sf_dir, "documents"), "doc_id").select("file_id", "pos", "line")
+    wanted = tokens.token_stream(table(spark, sf_dir, "benchmark"), "item_id").select("file_id", "pos", "line")
+    return search.line_ranges(ranges(spark, sf_dir), base, wanted)
+
+
+_LINED = f"""{match_sql()}, lb AS {_LINES.format(key="doc_id", source="documents")}, ls AS {_LINES.format(key="item_id", source="benchmark")},
+    lined AS (SELECT r.*, a.line AS base_start_line, b.line AS base_end_line, c.line AS search_start_line, d.line AS search_end_line FROM ranges r
+    JOIN lb a ON a.file_id = base_id AND a.pos = base_start JOIN lb b ON b.file_id = base_id AND b.pos = base_end JOIN ls c ON c.file_id = search_id AND c.pos = search_start JOIN ls d ON d.file_id = search_id AND d.pos = search_end)"""
+
+
+@query(f"{_LINED} SELECT * FROM lined")
+def match_lines(spark, sf_dir):
+    return _lined(spark, sf_dir)
+
+
+_LICENCE = "CASE WHEN contains(text, 'GNU General Public License') THEN 'GPL' WHEN contains(text, 'Apache License') THEN 'Apache-2.0' WHEN contains(text, 'MIT License') THEN 'MIT' WHEN contains(text, 'CC BY-NC') THEN 'CC-BY-NC' ELSE '' END"
+
+
+@query(f"""{_LINED} SELECT base_id, search_id, base_start, search_start, {_LICENCE} AS licence, array_to_string(string_split(text, chr(10))[base_start_line:base_end_line], chr(10)) AS content FROM lined JOIN documents ON doc_id = base_id""")
+def match_with_content(spark, sf_dir):
+    contents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text", rules.licence_of(F.col("text")).alias("licence"))
+    return search.with_content(_lined(spark, sf_dir), contents).select("base_id", "search_id", "base_start", "search_start", "licence", "content")
+
+
+_SELF = f"""WITH {tok("t0", "documents", "doc_id")}, t AS (SELECT min(file_id) AS file_id, m FROM t0 GROUP BY m), {win("w", "t", SELF_K)},
+    cand AS (SELECT b.file_id AS base_id, s.file_id AS search_id, b.pos AS base_pos, s.pos AS search_pos FROM w b JOIN w s ON b.fp = s.fp AND b.file_id < s.file_id),
+    hits AS (SELECT c.* FROM cand c JOIN t a ON a.file_id = base_id JOIN t b ON b.file_id = search_id WHERE a.m[base_pos + 1:base_pos + {SELF_K}] = b.m[search_pos + 1:search_pos + {SELF_K}])"""
+
+
+@query(f"{_SELF} {ranges_sql('hits', SELF_K)}")
+def self_search(spark, sf_dir):
+    return search.self_search(base_files(spark, sf_dir), SELF_K)
+
+
+@query(f"WITH {tok('t', 'documents', 'doc_id')} SELECT file_id, min(file_id) OVER (PARTITION BY m) AS class_id FROM t")
+def self_search_classes(spark, sf_dir):
+    return search.classes(base_files(spark, sf_dir))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS content FROM documents")
+def line_slices(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.line_slice(F.col("text"), F.lit(2), F.lit(3)).alias("content"))
+
+
+# Licences and rules
+
+
+@query(f"SELECT doc_id, {_LICENCE} AS licence FROM documents")
+def licence_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    named = docs.select("doc_id", rules.licence_of(F.col("text")).alias("licence")).where("licence <> ''")
+    return store.lookup(docs.select("doc_id"), named, "doc_id", "licence", "")
+
+
+# One annotation file, as text.
+_RULES = "key=outside\n[a]\ntype=Content\ndbFile=src1\nsearchFile=en\nreason=Licensed ; kept\n[b]\ndbFile=src2\nsearchFile=fr\nreason=Generated\n; [c]\n[d]\ntype=Ignore\ndir=x\n[e]\ntype=CVE\nid=CVE-1\nstatus=Closed\ncomment=done\n[f]\ntype=CVE\nid=CVE-2\nstatus=Odd\n[g]\ntype=Other\n[empty]\n"
+
+
+def _rules(spark):
+    return ini.rules(ini.ini_items(spark.createDataFrame([("lib/rules.analytic", _RULES)], "path string, content string")))
+
+
+@query("""SELECT * FROM (VALUES ('lib', 'a', 'Content', 'src1', 'en', 'Unknown', NULL, NULL, NULL), ('lib', 'b', 'Content', 'src2', 'fr', 'Generated', NULL, NULL, NULL), ('lib', 'd', 'Ignore', NULL, NULL, NULL, NULL, NULL, NULL),
+    ('lib', 'e', 'CVE', NULL, NULL, NULL, 'done', 'CVE-1', 'Close'), ('lib', 'f', 'CVE', NULL, NULL, NULL, NULL, 'CVE-2', 'Open'), ('lib', '', 'Content', NULL, NULL, 'Unknown', NULL, NULL, NULL)) t(dir, block, type, db_file, search_file, reason, comment, cve, status)""")
+def ini_rules(spark, sf_dir):
+    return _rules(spark)
+
+
+@query("SELECT doc_id, source AS db_file, lang AS search_file FROM documents WHERE NOT ((source = 'src1' AND lang = 'en') OR (source = 'src2' AND lang = 'fr'))")
+def filter_matches_by_rule(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("db_file"), F.col("lang").alias("search_file"))
+    return rules.drop_suppressed(rows, _rules(spark)).select("doc_id", "db_file", "search_file")
+
+
+@query("SELECT doc_id, source AS db_file, lang AS search_file, CASE WHEN source = 'src1' THEN 'Unknown' ELSE 'Generated' END AS reason FROM documents WHERE (source = 'src1' AND lang = 'en') OR (source = 'src2' AND lang = 'fr')")
+def suppressed_matches(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("db_file"), F.col("lang").alias("search_file"))
+    return rules.suppressed(rows, _rules(spark)).select("doc_id", "db_file", "search_file", "reason")
+
+
+@query(r"""SELECT page_id, path FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages) WHERE NOT regexp_matches(path, '^[^/]+/(en|fr)/')""")
+def ignore_folders(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
+    hosts = rows.select(F.regexp_extract("path", "^[^/]+", 0).alias("host")).distinct()
+    return rules.drop_ignored(rows, hosts.select(F.explode(F.array(F.concat("host", F.lit("/en")), F.concat("host", F.lit("/fr")))).alias("dir")))
+
+
+# Dedup, batches and codecs
+
+
+@query("SELECT min(doc_id) AS keep_id, count(*) AS n FROM documents GROUP BY text")
+def dedup_exact(spark, sf_dir):
+    return dedup.dedup_exact(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT sha256(l) AS unit, count(*) AS n, count(DISTINCT doc_id) AS n_files FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY l")
+def dedup_lines(spark, sf_dir):
+    _, index = dedup.reduce_lines(table(spark, sf_dir, "documents"), "doc_id")
+    return index.groupBy("unit").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"))
+
+
+@query("SELECT doc_id AS file_id, text FROM documents")
+def rebuild_documents(spark, sf_dir):
+    return dedup.rebuild(*dedup.reduce_lines(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS data_index FROM documents")
+def batch_index(spark, sf_dir):
+    return batches.batch_index(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query("""WITH RECURSIVE s AS (SELECT source, doc_id, strlen(text) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+    f AS (SELECT source, doc_id, rn, b AS total, 0::bigint AS batch_no FROM s WHERE rn = 1
+    UNION ALL SELECT s.source, s.doc_id, s.rn, CASE WHEN f.total > 20000 THEN 0 ELSE f.total END + s.b, f.batch_no + (f.total > 20000)::bigint FROM f JOIN s ON s.source = f.source AND s.rn = f.rn + 1)
+    SELECT source, doc_id, batch_no FROM f""")
+def size_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("bytes"))
+    return batches.size_batches(rows, "source", "doc_id", "bytes", 20000)
+
+
+@query("SELECT o_custkey, o_orderkey, (((o_orderkey & 255) - coalesce(lag(o_orderkey & 255) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0)) & 255)::bigint AS b FROM orders")
+def delta_encode(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").bitwiseAND(255).alias("b"))
+    return codec.delta_encode(rows, "o_custkey", "o_orderkey", "b")
+
+
+@query("SELECT o_custkey, o_orderkey, (o_orderkey & 255)::bigint AS b FROM orders")
+def delta_round_trip(spark, sf_dir):
+    return codec.delta_decode(delta_encode(spark, sf_dir), "o_custkey", "o_orderkey", "b")
+
+
+@query()
+def codec_choice(spark, sf_dir):
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    return codec.choose(codec.sizes(blobs))
+
+
+@query()
+def codec_ratio(spark, sf_dir):
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    return codec.ratio_report(codec.sizes(blobs))
+
+
+# Increments and the catalogue; orders stand for tags and scans, customers for repositories
+
+
+def _tags(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("tag"), F.col("o_orderstatus").alias("sha"))
+
+
+@query("SELECT o_custkey AS repo, o_orderkey AS tag, o_orderstatus AS sha FROM orders WHERE o_orderstatus <> 'F'")
+def new_tags(spark, sf_dir):
+    tags = _tags(spark, sf_dir)
+    return incremental.new_tags(tags, tags.where("sha = 'F'"))
+
+
+@query("SELECT c_custkey AS repo FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def empty_marker(spark, sf_dir):
+    repos = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"))
+    return incremental.without_marker(repos, table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("repo")))
+
+
+@query("""WITH c AS (SELECT o_custkey AS repo, max(o_orderkey) AS tag FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), p AS (SELECT o_custkey AS repo, max(o_orderkey) AS tag FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    SELECT repo, coalesce(c.tag, p.tag) AS tag, c.tag IS NULL AS seeded FROM c FULL JOIN p USING (repo)""")
+def seed_fallback(spark, sf_dir):
+    tags = _tags(spark, sf_dir)
+    newest = lambda sha: tags.where(F.col("sha") == sha).groupBy("repo").agg(F.max("tag").alias("tag"))
+    return incremental.seeded(newest("O"), newest("F"), "repo", "tag")
+
+
+@query("SELECT user_id, arg_max(event_id, row(ts, event_id)) AS event_id, arg_max(event_type, row(ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def upsert_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return incremental.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", ("ts", "event_id")).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT o_custkey AS repo, arg_max(o_orderstatus, o_orderkey) AS sha FROM orders GROUP BY o_custkey")
+def tags_last_wins(spark, sf_dir):
+    return store.last_by(_tags(spark, sf_dir), "repo", "sha", "tag")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def first_rows(spark, sf_dir):
+    return store.first_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ("o_custkey",), "o_orderkey")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00'")
+def change_feed(spark, sf_dir):
+    return incremental.since(table(spark, sf_dir, "events"), "ts", "2024-01-05 00:00:00").select("event_id", "user_id")
+
+
+@query("SELECT event_id, (props->>'$.k')::bigint AS k FROM events")
+def json_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+
+
+@query("SELECT c_custkey AS repo_id, c_name AS name, count(o_orderkey) AS n_tags, max(o_orderstatus) AS last_sha FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def repo_json_round_trip(spark, sf_dir):
+    tags = _tags(spark, sf_dir).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct(F.col("tag").cast("string").alias("name"), F.col("sha").alias("commit_sha")))).alias("tags"))
+    repos = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_name").alias("name"), F.col("c_name").alias("full_name"))
+    repos = repos.join(tags, repos["repo_id"] == tags["repo"], "left").drop("repo").withColumn("tags", F.coalesce("tags", F.array()))
+    back = files.repo_from_json(files.repo_to_json(repos))
+    return back.select("repo_id", "name", F.size("tags").cast("long").alias("n_tags"), F.array_max(F.transform("tags", lambda t: t.commit_sha)).alias("last_sha"))
+
+
+def _scans(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "Started").when(F.col("o_orderstatus") == "P", "Running").otherwise("Finished")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("version_id"), F.col("o_orderpriority").alias("name"), status.alias("status"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS name FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 1")
+def next_scan(spark, sf_dir):
+    return catalogue.next_scan(_scans(spark, sf_dir)).select("id", "name")
+
+
+@query("SELECT l_orderkey AS scan_id, count(*) AS max_count, count(*) FILTER (l_linestatus = 'F') AS finished_count FROM lineitem GROUP BY l_orderkey")
+def scan_progress(spark, sf_dir):
+    return catalogue.progress(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), (F.col("l_linestatus") == "F").alias("done")))
+
+
+def _levels(spark, sf_dir):
+    return {
+        "group": table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name")),
+        "project": table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("group_id")),
+        "version": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("project_id")),
+        "scan": _scans(spark, sf_dir),
+    }
+
+
+@query("""SELECT o_orderkey AS id, o_custkey AS version_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1)""")
+def hierarchy_cascade(spark, sf_dir):
+    return catalogue.remove(_levels(spark, sf_dir), "group", 1)["scan"].select("id", "version_id")
+
+
+@query("""SELECT n_regionkey::bigint AS group_id, n_nationkey::bigint AS project_id, c_custkey AS version_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_scans FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def hierarchy_nested(spark, sf_dir):
+    return catalogue.nested(_levels(spark, sf_dir)).select("group_id", "project_id", "version_id", F.coalesce(F.size("scans"), F.lit(0)).cast("long").alias("n_scans"))
+
+
+@query("SELECT n_nationkey::bigint AS id, n_name AS name FROM nation WHERE n_regionkey = 2")
+def list_children(spark, sf_dir):
+    return catalogue.children(_levels(spark, sf_dir)["project"], "group_id", 2)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey = 1 THEN 'Started' WHEN o_orderstatus = 'O' THEN 'Started' WHEN o_orderstatus = 'P' THEN 'Running' ELSE 'Finished' END AS status FROM orders")
+def restart_scan(spark, sf_dir):
+    return catalogue.moved(_scans(spark, sf_dir), 1, "Started").select("id", "status")
+
+
+# Sources with their own readers
+
+
+# A few files of code: the second is the first with other names, the third with another operator.
+_CODE = {
+    "a.cpp": "int sum(int n) {\n  int total = 0; // all\n  for (int i = 0; i < n; ++i) total += i * 2;\n  return total;\n}\n",
+    "b.cpp": "int add(int count) { /* same */\n  int acc = 0;\n  for (int k = 0; k < count; ++k)\n    acc += k * 7;\n  return acc;\n}\n",
+    "c.cpp": "int sum(int n) {\n  int total = 0;\n  for (int i = 0; i < n; ++i) total -= i * 2;\n  return total;\n}\n",
+    "readme.txt": "sum of numbers",
+    "skip.bin": "no",
+}
+
+
+@query("SELECT * FROM (VALUES ('a.cpp', 'b.cpp', 0, 35), ('a.cpp', 'c.cpp', 0, 26), ('b.cpp', 'c.cpp', 0, 26)) t(base_path, search_path, base_start, base_end)")
+def cpp_search(spark, sf_dir):
+    found = files.scan_buffers(spark, _CODE).where("source_type = 'cpp'")
+    arrays = tokens.symbol_arrays(files.streams(found)).join(found.select(F.xxhash64("path").alias("file_id"), "path"), "file_id")
+    by_name = F.row_number().over(search.Window.orderBy("path"))  # five files
+    arrays = arrays.select(by_name.cast("long").alias("file_id"), "path", "syms")
+    hits = search.candidates(arrays, arrays, 10).where("base_id < search_id and base_pos = search_pos")
+    out = search.merged(search.verified(hits, arrays, arrays, 10), 10)
+    names = arrays.select("file_id", "path")
+    out = out.join(names.toDF("base_id", "base_path"), "base_id").join(names.toDF("search_id", "search_path"), "search_id")
+    return out.groupBy("base_path", "search_path").agg(F.min("base_start").cast("int").alias("base_start"), F.max("base_end").cast("int").alias("base_end"))
