@@ -25,7 +25,7 @@ _WS = r"[\x20\x09-\x0D]+"
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(tables(spark, sf_dir, "documents"), words=4, radius=4)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

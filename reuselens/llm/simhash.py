@@ -10,41 +10,45 @@ from pyspark.sql import functions as F
 
 from .common import materialise, scratch
 from .components import connected_components
+from .seeds import scrambled
 
 #: Fingerprints that one bucket may hold before it is dealt again by finer masks.
 BUCKET = 4096
 _SEED = 7
+_APART = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Of the shingles' XXH64 (seed 42): a bit is 1 if more than half of them have it."""
+def fingerprint(text: bytes, words: int, prints: int = 1) -> list[int]:
+    """Of the shingles' XXH64 (seed 42): a bit is 1 if more than half of them have it. Further prints take the same of hashes that are a scrambled form of the first ones."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return [0] * prints
     line = b" ".join(tokens)
     ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(0, len(tokens) - words)
     digest = xxhash.xxh64_digest
     pieces = [digest(line[a:b], 42) for a, b in zip(starts[: last + 1].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)]
-    total = np.zeros(64, np.int64)
+    total = np.zeros((prints, 64), np.int64)
     for k in range(0, len(pieces), 65536):
-        bits = np.unpackbits(np.frombuffer(b"".join(pieces[k : k + 65536]), np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * total > len(pieces)).tobytes(), "big", signed=True)
+        hashes = np.frombuffer(b"".join(pieces[k : k + 65536]), ">u8").astype(np.uint64)
+        for p in range(prints):
+            bits = np.unpackbits((scrambled(hashes ^ np.uint64(p)) if p else hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            total[p] += bits.sum(axis=0, dtype=np.uint32)
+    return [int.from_bytes(np.packbits(2 * t > len(pieces)).tobytes(), "big", signed=True) for t in total]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, the columns keep) of every row of docs. A null text is an empty one, and a text without words has fingerprint 0; a shorter text is one shingle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, prints: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fps, the columns keep) of every row of docs, fps an array of `prints` fingerprints. A null text is an empty one, and a text without words has fingerprints 0; a shorter text is one shingle."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t or b"", words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
+            fps = [fingerprint(t or b"", words, prints) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), *batch.columns[2:]], ["doc_id", "fps", *batch.schema.names[2:]])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_text"), *keep)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, f"doc_id long, fp long{kinds}")
+    return rows.mapInArrow(run, f"doc_id long, fps array<bigint>{kinds}")
 
 
 def covering_masks(radius: int, bits: tuple[int, ...], seed: int) -> list[int]:
@@ -61,8 +65,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """Links (a, b) between values of equal group that differ in at most radius bits; a forest, so no more links than values. The groups are runs, of BUCKET values at most."""
+def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, position of a) between values of equal group that differ in at most radius bits; a forest, so no more links than values. The groups are runs, of BUCKET values at most."""
     n, root = len(fps), np.arange(len(fps))
     at = np.arange(n)
     for lag in range(1, BUCKET):
@@ -70,86 +74,91 @@ def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
         at = at[group[at] == group[at + lag]]
         if not len(at):
             break
-        apart = np.bitwise_count(fps[at] ^ fps[at + lag])
-        i, j = (x[apart <= radius] for x in (at, at + lag))
-        new = root[i] != root[j]
-        for i, j in zip(i[new].tolist(), j[new].tolist(), strict=True):
+        near = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= radius]
+        near = near[root[near] != root[near + lag]]
+        for i, j in zip(near.tolist(), (near + lag).tolist(), strict=True):
             while root[i] != i:
                 root[i] = i = root[root[i]]
             while root[j] != j:
                 root[j] = j = root[root[j]]
             if i != j:
                 root[max(i, j)] = min(i, j)
-    for i in range(n):
+    for i in np.flatnonzero(root != np.arange(n)).tolist():
         root[i] = root[root[i]]
     own = np.flatnonzero(root != np.arange(n))
-    found = np.stack([fps[own], fps[root[own]]], axis=1) if len(own) else np.empty((0, 2), np.uint64)
-    return found.view(np.int64)
+    return fps[own].view(np.int64), fps[root[own]].view(np.int64), own
 
 
 def _bucket_links(radius: int):
-    """Over rows (mask, fp) sorted by mask and the bits of fp that it keeps, the bucket: links as (a, b, null), and the values of buckets beyond BUCKET as (fp, null, mask) for the next round."""
+    """Over rows (p, mask, fp) sorted by p, mask and the bits of fp that it keeps, the bucket: links as (p, a, b, null), and the values of buckets beyond BUCKET as (p, fp, null, mask) for the next round."""
 
-    def out(links: np.ndarray, over: list[tuple[np.ndarray, int]]):
-        a = np.concatenate([links[:, 0], *(x for x, _ in over)]) if len(links) or over else np.empty(0, np.int64)
-        n, m = len(links), sum(len(x) for x, _ in over)
-        b = pa.array(np.append(links[:, 1], np.zeros(m, np.int64)), mask=np.arange(n + m) >= n)
-        mask = np.concatenate([np.zeros(n, np.int64), *(np.full(len(x), k, np.int64) for x, k in over)])
-        key = pa.array(mask, mask=np.arange(n + m) < n)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, key], ["a", "b", "mask"])
+    def out(p: np.ndarray, a: np.ndarray, b: np.ndarray | None, mask: np.ndarray | None):
+        empty = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(a, pa.int64()), empty if b is None else pa.array(b, pa.int64()), empty if mask is None else pa.array(mask, pa.int64())], ["p", "a", "b", "mask"])
 
     def run(batches):
-        held: list[tuple[int, int, np.ndarray]] = []  # the last bucket, which the next batch may continue, up to BUCKET values
-        large: tuple[int, int] | None = None  # the bucket that is being handed on
+        held = None  # the last bucket, which the next batch may continue, up to BUCKET values
+        large = None  # the bucket that is being handed on
         for batch in batches:
-            mask, fp = (np.asarray(batch.column(k)) for k in range(2))
-            key = fp & mask
+            p, mask, fp = (np.asarray(x) for x in batch.columns)
             if held:
-                mask, key, fp = np.append(held[0], mask), np.append(held[1], key), np.append(held[2], fp)
-                held = []
-            if not len(fp):
+                p, mask, fp = (np.append(x, y) for x, y in zip(held, (p, mask, fp), strict=True))
+                held = None
+            n = len(fp)
+            if not n:
                 continue
-            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.append(cuts, len(fp))
-            size = ends - starts
-            over, keep = [], np.ones(len(fp), bool)
-            for k in np.flatnonzero((size > BUCKET) | ((mask[starts] == large[0]) & (key[starts] == large[1]) if large else False)).tolist():
-                over.append((fp[starts[k] : ends[k]], int(mask[starts[k]])))
-                keep[starts[k] : ends[k]] = False
-            large = (int(mask[-1]), int(key[-1])) if not keep[-1] else None
-            if keep[-1]:
-                keep[starts[-1] :] = False
-                held = [mask[starts[-1] :].copy(), key[starts[-1] :].copy(), fp[starts[-1] :].copy()]
-            group = np.repeat(np.arange(len(starts)), size)[keep]
-            yield out(_near(fp[keep].view(np.uint64), group, radius), over)
+            key = fp & mask
+            cuts = np.flatnonzero((p[1:] != p[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+            starts, size = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [n])))
+            over = size > BUCKET
+            if large is not None and (p[0], mask[0], key[0]) == large:
+                over[0] = True
+            group = np.repeat(np.arange(len(starts)), size)
+            beyond = over[group]
+            if beyond.any():
+                yield out(p[beyond], fp[beyond], None, mask[beyond])
+            large = (p[-1], mask[-1], key[-1]) if over[-1] else None
+            now = ~beyond
+            if not over[-1]:
+                now &= group != group[-1]
+                held = tuple(x[starts[-1] :].copy() for x in (p, mask, fp))
+            # Buckets of one value, most of them, have no links.
+            now &= size[group] > 1
+            if now.any():
+                a, b, at = _near(fp[now].view(np.uint64), group[now], radius)
+                yield out(p[now][at], a, b, None)
         if held:
-            yield out(_near(held[2].view(np.uint64), np.zeros(len(held[2]), int), radius), [])
+            a, b, at = _near(held[2].view(np.uint64), np.zeros(len(held[2]), int), radius)
+            yield out(held[0][at], a, b, None)
 
     return run
 
 
 def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) that connect the distinct values fp which differ in at most radius of their 64 bits, directly or over others.
+    """Links (p, a, b) that connect the distinct values fp of each p which differ in at most radius of their 64 bits, directly or over others.
 
     Round 1 deals every value to 2 ** (radius + 1) - 1 covering masks, and compares what meets in a
     bucket. A bucket of more than BUCKET values is not compared: its values, which agree on the bits
     of its mask, are dealt again by covering masks of the bits that are left, about half of them. So
-    the third round at the latest has so few bits left that no bucket can be larger, unless it holds
+    the fourth round at the latest has so few bits left that no bucket can be larger, unless it holds
     more values than there are. Each bucket gives a spanning forest of its links, not all its pairs.
     """
     spark, at = values.sparkSession, scratch(values.sparkSession)
-    todo = values.select("fp", F.lit(0).cast("long").alias("fixed"))
-    found, fixed = [], [0]
+    found, todo = [], values.select("p", "fp")
+    key = F.col("fp").bitwiseAND(F.col("mask"))
     for step in range(6):
-        masks = [(f, f | m) for f in fixed for m in covering_masks(radius, tuple(b for b in range(64) if not f >> b & 1), _SEED + step)]
-        # A function of radius and step alone, with 31 ** (step + 1) rows at most.
-        table = F.broadcast(spark.createDataFrame([(_signed(f), _signed(m)) for f, m in masks], "fixed long, mask long"))
-        key = F.col("fp").bitwiseAND(F.col("mask"))
-        dealt = todo.join(table, "fixed").select("mask", "fp").repartition("mask", key).sortWithinPartitions("mask", key)
-        made = materialise(dealt.mapInArrow(_bucket_links(radius), "a long, b long, mask long"), f"{at}/{step}")
-        found.append(made.where("mask is null").select("a", "b"))
-        todo = made.where("mask is not null").select(F.col("a").alias("fp"), F.col("mask").alias("fixed")).distinct()
-        fixed = sorted(r.fixed & (1 << 64) - 1 for r in todo.select("fixed").distinct().collect())  # masks, 31 ** round at most
+        if not step:
+            masks = covering_masks(radius, tuple(range(64)), _SEED)
+            dealt = todo.select("p", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"), "fp")
+        else:
+            # One row per mask that some large bucket was dealt by, and mask of its other bits.
+            table = [(_signed(f), _signed(f | m)) for f in fixed for m in covering_masks(radius, tuple(b for b in range(64) if not f >> b & 1), _SEED + step)]
+            dealt = todo.join(F.broadcast(spark.createDataFrame(table, "fixed long, mask long")), "fixed").select("p", "mask", "fp")
+        dealt = dealt.repartition("p", "mask", key).sortWithinPartitions("p", "mask", key)
+        made = materialise(dealt.mapInArrow(_bucket_links(radius), "p int, a long, b long, mask long"), f"{at}/{step}")
+        found.append(made.where("mask is null").select("p", "a", "b"))
+        todo = made.where("mask is not null").select("p", F.col("a").alias("fp"), F.col("mask").alias("fixed")).distinct()
+        fixed = sorted(r.fixed & (1 << 64) - 1 for r in todo.select("fixed").distinct().collect())  # masks of this step, a function of radius and seed
         if not fixed:
             break
     else:
@@ -160,19 +169,31 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
     return links
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, fp, the columns keep and component_id, the smallest doc_id that links of fingerprints within radius bits reach.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, prints: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, fps (its fingerprints), the columns keep and component_id, the smallest doc_id that links reach. Documents are linked if any of their `prints` independent fingerprints differ in at most radius bits.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Equal fingerprints are one
+    Null and empty texts have fingerprints 0 and are linked like any other. Equal fingerprints are one
     class throughout, so copies are never compared with each other. Null ids take part, but give a
     component its id only if it has no other. An empty table gives an empty result.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    rows = materialise(fingerprints(docs, id_col, text_col, words, keep), f"{at}/fps")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{at}/classes")
-    roots = connected_components(hamming_links(classes.select("fp"), radius))
-    of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows = materialise(fingerprints(docs, id_col, text_col, words, prints, keep), f"{at}/fps")
+    classes = materialise(rows.groupBy("fps").agg(F.min("doc_id").alias("first")), f"{at}/classes")
+    # A node of the graph is a value of a print; values of different prints are kept apart by a constant.
+    node = lambda p, value: value.bitwiseXOR(F.element_at(F.array(*(F.lit(_signed(_APART * k & (1 << 64) - 1)) for k in range(prints))), p + 1))
+    values = classes.select(F.posexplode("fps").alias("p", "fp")).groupBy("p", "fp").agg(F.count("*").alias("n"))
+    values = materialise(values, f"{at}/values")
+    links = hamming_links(values, radius).select(node(F.col("p"), F.col("a")).alias("a"), node(F.col("p"), F.col("b")).alias("b"))
+    if prints > 1:
+        # A class ties its values together: those of later prints that have links, or that other classes have too.
+        links = materialise(links, f"{at}/links")
+        shared = values.where("p > 0 and n > 1").select(node(F.col("p"), F.col("fp")).alias("b"))
+        useful = links.select(F.explode(F.array("a", "b")).alias("b")).union(shared).distinct()
+        ties = classes.select(F.col("fps")[0].alias("a"), F.posexplode("fps").alias("p", "fp")).where("p > 0").select("a", node(F.col("p"), F.col("fp")).alias("b"))
+        links = links.union(ties.join(useful, "b", "left_semi").select("a", "b"))
+    roots = connected_components(links)
+    of = classes.join(roots, F.col("fps")[0] == F.col("node"), "left").select("fps", "first", F.coalesce("root", F.col("fps")[0]).alias("root"))
     of = materialise(of, f"{at}/roots")
     ids = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = materialise(of.join(materialise(ids, f"{at}/ids"), "root").select("fp", "component_id"), f"{at}/components")
-    return rows.join(ids, "fp").select("doc_id", "fp", *keep, "component_id")
+    ids = materialise(of.join(materialise(ids, f"{at}/ids"), "root").select("fps", "component_id"), f"{at}/components")
+    return rows.join(ids, "fps").select("doc_id", "fps", *keep, "component_id")
