@@ -85,6 +85,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded), *part.columns[2:]], ["doc_id", "ids", "decoded", *part.schema.names[2:]])
                     at, held, lengths, decoded = k + 1, [], [], []
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     return rows.mapInArrow(run, f"doc_id long, ids array<int>, decoded string{kinds}")
