@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import scratch, tables
 from .exact import exact_dedup
 from .licenses import license_scan
@@ -20,8 +21,6 @@ from .suffixes import repeated_substrings
 from .tokenfiles import read_token_files, write_token_files
 from .warc import read_archives, resolved, write_archives
 
-_WS = r"[\x20\x09-\x0D]+"
-
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(tables(spark, sf_dir, "documents"), words=4, radius=4)
@@ -70,13 +69,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-_OP7 = rf"""
-WITH norm AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g')) AS text_sha256 FROM documents)
-SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, text_sha256
-FROM norm WINDOW same AS (PARTITION BY text_sha256)
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -90,5 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
-    "op7_exact_dedup": _OP7,
+    "op3_quality_rules": oracles.OP3,
+    "op4_repeated_passages": oracles.OP4,
+    "op6_repeated_substrings": oracles.OP6,
+    "op7_exact_dedup": oracles.OP7,
+    "op8_source_mix": oracles.OP8,
+    "op10_warc": oracles.OP10,
 }
