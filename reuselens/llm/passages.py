@@ -18,7 +18,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 def _units():
     """Text to the hashes of its words."""
-    table = per_worker(("word hashes",), lambda: Recent(xxhash.xxh64_digest))
+    table = per_worker(("word hashes",), lambda: Recent(xxhash.xxh64_digest, 200_000))
     return lambda text: np.frombuffer(b"".join(map(table.__getitem__, text.split())), np.uint64)
 
 

@@ -14,6 +14,8 @@ from .common import Recent, per_worker
 
 #: Bytes of ids after which a task hands on what it has.
 FLUSH = 8 << 20
+#: Words that a task's tables keep, and twice as many at most: about 150 MB.
+WORDS = 200_000
 _MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
 
@@ -34,8 +36,8 @@ def crossing_pieces(model) -> list[str]:
 def _tables(model) -> tuple[Recent, Recent]:
     """Word to its ids as little-endian int32 bytes, and a word's ids to its text with the space in front."""
     lone, guard = np.array([model.piece_to_id(_MARK)], "<i4").tobytes(), model.piece_to_id("a")
-    segments = Recent(lambda word: array("i", model.encode(word)).tobytes() if word else lone)
-    texts = Recent(lambda ids: model.decode([guard, *np.frombuffer(ids, "<i4").tolist()])[1:])
+    segments = Recent(lambda word: array("i", model.encode(word)).tobytes() if word else lone, WORDS)
+    texts = Recent(lambda ids: model.decode([guard, *np.frombuffer(ids, "<i4").tolist()])[1:], WORDS)
     return segments, texts
 
 

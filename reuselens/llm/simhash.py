@@ -90,7 +90,7 @@ def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def _bucket_links(radius: int):
-    """Over rows (p, mask, fp) sorted by p, mask and the bits of fp that it keeps, the bucket: links as (p, a, b, null), and the values of buckets beyond BUCKET as (p, fp, null, mask) for the next round."""
+    """Over rows (p, mask, fp) sorted by p, mask, the bits of fp that it keeps, the bucket, and fp: links as (p, a, b, null), and the values of buckets beyond BUCKET as (p, fp, null, mask) for the next round."""
 
     def out(p: np.ndarray, a: np.ndarray, b: np.ndarray | None, mask: np.ndarray | None):
         empty = pa.nulls(len(a), pa.int64())
@@ -154,7 +154,8 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
             # One row per mask that some large bucket was dealt by, and mask of its other bits.
             table = [(_signed(f), _signed(f | m)) for f in fixed for m in covering_masks(radius, tuple(b for b in range(64) if not f >> b & 1), _SEED + step)]
             dealt = todo.join(F.broadcast(spark.createDataFrame(table, "fixed long, mask long")), "fixed").select("p", "mask", "fp")
-        dealt = dealt.repartition("p", "mask", key).sortWithinPartitions("p", "mask", key)
+        # In order of the values, so that buckets which hold the same group link it to the same few values.
+        dealt = dealt.repartition("p", "mask", key).sortWithinPartitions("p", "mask", key, "fp")
         made = materialise(dealt.mapInArrow(_bucket_links(radius), "p int, a long, b long, mask long"), f"{at}/{step}")
         found.append(made.where("mask is null").select("p", "a", "b"))
         todo = made.where("mask is not null").select("p", F.col("a").alias("fp"), F.col("mask").alias("fixed")).distinct()
