@@ -91,13 +91,19 @@ def _encoder(path: str):
     first = Recent(lambda word: pieced("", first, word), WORDS)
     later = Recent(lambda word: pieced(" ", later, word), WORDS)
 
+    def spaced(text: str) -> bytes:
+        words = text.split(" ")
+        return first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
+
     def encode(text: str) -> bytes:
         if not text:
             return b""
         if not by_word or "  " in text:
             return direct(text)
-        words = text.split(" ")
-        return first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
+        lines = text.split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            return spaced(text)
+        return first["\n"].join(map(spaced, lines))  # a line end between two words is a word of its own
 
     return encode
 
