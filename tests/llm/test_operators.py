@@ -484,3 +484,23 @@ def test_broken_archives():
         warc._assembled("o", {"warc-payload-digest": "sha1:wrong"}, block + warc.chunked(b"x"))
     with pytest.raises(ValueError):
         list(warc.parse_records(warc.page_records(1, "u", b"x", None, False)[0] + b"junk"))
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_groups_that_go_over_batches(spark, small_batches, monkeypatch, tmp_path):
+    """What an operator keeps from batch to batch: groups here are larger than a batch."""
+    texts = corpus(8, 120, 150)
+    got = rows(passages.repeated_passages(table(spark, texts)), "n_words", "n_removed", "kept")
+    assert got == passages_of(list(enumerate(texts)), 50)
+    got = rows(suffixes.repeated_substrings(table(spark, texts)), "n_bytes", "n_removed", "n_spans", "kept")
+    assert {k: (*v[:3], bytes(v[3])) for k, v in got.items()} == substrings_of(list(enumerate(texts)), 100)
+    for bucket in (4096, 3):
+        test_hamming_links(spark, bucket, monkeypatch)
+    monkeypatch.undo()
+    test_archives(spark, tmp_path)
