@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fresh_ids(values: DataFrame, value: str, first: int = 1) -> DataFrame:
+def fresh_ids(values: DataFrame, value: str, first: int = 1, prefix: int = 3) -> DataFrame:
     """(id, value): the distinct values numbered in their order, without gaps.
 
-    The values are sorted by ranges; only the counts of the ranges meet, so no task has to number
-    them all.
+    Values are numbered within their first characters; only the counts of these prefixes are summed
+    in one place, so no task has to number all values. The numbers depend on the values alone,
+    whatever is run again.
     """
-    rows = values.where(F.col(value).isNotNull()).select(value).distinct().repartitionByRange(value).sortWithinPartitions(value)
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_row", 33))
-    counts = rows.groupBy("_part").count()
-    before = counts.select(F.col("_part").alias("_p"), F.col("count").alias("_n")).join(counts.select(F.col("_part").alias("_q")), F.col("_p") < F.col("_q")).groupBy("_q").agg(F.sum("_n").alias("_before"))
-    out = rows.join(F.broadcast(before), F.col("_part") == F.col("_q"), "left")  # one row per range
-    return out.select((F.coalesce("_before", F.lit(0)) + F.col("_row").bitwiseAND((1 << 33) - 1) + first).alias("id"), value)
+    rows = values.where(F.col(value).isNotNull()).select(value).distinct().withColumn("_prefix", F.substring(value, 1, prefix))
+    counts = rows.groupBy("_prefix").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_prefix", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_prefix").orderBy(value))
+    return rows.withColumn("_own", own).join(offsets, "_prefix").select((F.col("_before") + F.col("_own") + first - 1).alias("id"), value)
 
 
 def insert_or_ignore(existing: DataFrame, values: DataFrame, value: str) -> DataFrame:
