@@ -24,8 +24,8 @@ def fresh_ids(values: DataFrame, value: str, first: int = 1, prefix: int = 3) ->
 def insert_or_ignore(existing: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """existing (id, value) and the values that it lacks, numbered after its largest id."""
     new = values.select(value).join(existing.select(value), value, "left_anti")
-    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    added = fresh_ids(new, value).crossJoin(F.broadcast(last)).select((F.col("id") + F.col("_last")).alias("id"), value)  # last is one row
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    added = fresh_ids(new, value).select((F.col("id") + last).alias("id"), value)
     return existing.select("id", value).unionByName(added)
 
 
