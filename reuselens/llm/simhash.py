@@ -167,7 +167,11 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
-    return links
+    # In a dense group each table links a value to another first value of its bucket. These few are
+    # chained to each other, so that the value needs one link only. It has one link a table at most.
+    firsts = links.groupBy("p", "a").agg(F.sort_array(F.collect_set("b")).alias("h"))
+    chained = firsts.select("p", F.explode(F.expr("transform(h, (x, i) -> if(i = 0, struct(a as a, x as b), struct(x as a, h[i - 1] as b)))")).alias("x"))
+    return chained.select("p", "x.a", "x.b").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, prints: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
