@@ -14,6 +14,8 @@ from .seeds import scrambled
 
 #: Fingerprints that one bucket may hold before it is dealt again by finer masks.
 BUCKET = 4096
+#: Links that a task reduces to a forest at a time.
+LINKS = 1 << 20
 _SEED = 7
 _APART = 0x9E3779B97F4A7C15
 
@@ -167,11 +169,38 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
-    # In a dense group each table links a value to another first value of its bucket. These few are
-    # chained to each other, so that the value needs one link only. It has one link a table at most.
-    firsts = links.groupBy("p", "a").agg(F.sort_array(F.collect_set("b")).alias("h"))
-    chained = firsts.select("p", F.explode(F.expr("transform(h, (x, i) -> if(i = 0, struct(a as a, x as b), struct(x as a, h[i - 1] as b)))")).alias("x"))
-    return chained.select("p", "x.a", "x.b").distinct()
+    return links
+
+
+def _forest(batches):
+    """Over links (a, b), LINKS at a time: links of each node to the smallest that it reaches by them, so no more links than nodes."""
+
+    def flush(held):
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        parent = list(range(len(ids)))
+        for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            while parent[j] != j:
+                parent[j] = j = parent[parent[j]]
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+        for i in range(len(parent)):
+            parent[i] = parent[parent[i]]
+        root = np.array(parent)
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        n += len(batch)
+        if n >= LINKS:
+            yield flush(held)
+            held, n = [], 0
+    if n:
+        yield flush(held)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, prints: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -189,9 +218,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     values = classes.select(F.posexplode("fps").alias("p", "fp")).groupBy("p", "fp").agg(F.count("*").alias("n"))
     values = materialise(values, f"{at}/values")
     links = hamming_links(values, radius).select(node(F.col("p"), F.col("a")).alias("a"), node(F.col("p"), F.col("b")).alias("b"))
+    # The tables find a dense group many times over. Two passes over what tasks read together leave few links of it.
+    for k in range(2):
+        links = materialise(links.mapInArrow(_forest, "a long, b long"), f"{at}/forest-{k}")
     if prints > 1:
         # A class ties its values together: those of later prints that have links, or that other classes have too.
-        links = materialise(links, f"{at}/links")
         shared = values.where("p > 0 and n > 1").select(node(F.col("p"), F.col("fp")).alias("b"))
         useful = links.select(F.explode(F.array("a", "b")).alias("b")).union(shared).distinct()
         ties = classes.select(F.col("fps")[0].alias("a"), F.posexplode("fps").alias("p", "fp")).where("p > 0").select("a", node(F.col("p"), F.col("fp")).alias("b"))
