@@ -1,4 +1,4 @@
-"""Source-reuse analytics on Spark: match, dedup, rules, catalogue and feeds as DataFrame plans."""
+"""Finds reused text and code with Spark: match, dedup, rules, catalogue and feeds as DataFrame plans."""
 
 import sys
 

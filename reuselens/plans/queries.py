@@ -247,15 +247,15 @@ def licence_lookup(spark, sf_dir):
 
 
 # One annotation file, as text.
-_RULES = "key=outside\n[a]\ntype=Content\ndbFile=src1\nsearchFile=en\nreason=Licensed ; kept\n[b]\ndbFile=src2\nsearchFile=fr\nreason=Generated\n; [c]\n[d]\ntype=Ignore\ndir=x\n[e]\ntype=CVE\nid=CVE-1\nstatus=Closed\ncomment=done\n[f]\ntype=CVE\nid=CVE-2\nstatus=Odd\n[g]\ntype=Other\n[empty]\n"
+_RULES = "key=outside\n[a]\ntype=Content\ndbFile=src1\nsearchFile=en\nreason=Other ; kept\n[b]\ndbFile=src2\nsearchFile=fr\nreason=AllowedByAuthor\n; [c]\n[d]\ntype=Ignore\ndir=x\n[e]\ntype=CVE\nid=CVE-1\nstatus=Closed\ncomment=done\n[f]\ntype=CVE\nid=CVE-2\nstatus=Odd\n[g]\ntype=Other\n[empty]\n"
 
 
 def _rules(spark):
-    return ini.rules(ini.ini_items(spark.createDataFrame([("lib/rules.analytic", _RULES)], "path string, content string")))
+    return ini.rules(ini.ini_items(spark.createDataFrame([("lib/rules.ini", _RULES)], "path string, content string")))
 
 
-@query("""SELECT * FROM (VALUES ('lib', 'a', 'Content', 'src1', 'en', 'Unknown', NULL, NULL, NULL), ('lib', 'b', 'Content', 'src2', 'fr', 'Generated', NULL, NULL, NULL), ('lib', 'd', 'Ignore', NULL, NULL, NULL, NULL, NULL, NULL),
-    ('lib', 'e', 'CVE', NULL, NULL, NULL, 'done', 'CVE-1', 'Close'), ('lib', 'f', 'CVE', NULL, NULL, NULL, NULL, 'CVE-2', 'Open'), ('lib', '', 'Content', NULL, NULL, 'Unknown', NULL, NULL, NULL)) t(dir, block, type, db_file, search_file, reason, comment, cve, status)""")
+@query("""SELECT * FROM (VALUES ('lib', 'a', 'Content', 'src1', 'en', 'FalsePositive', '', NULL, NULL), ('lib', 'b', 'Content', 'src2', 'fr', 'AllowedByAuthor', '', NULL, NULL), ('lib', 'd', 'Ignore', NULL, NULL, NULL, NULL, NULL, NULL),
+    ('lib', 'e', 'CVE', NULL, NULL, NULL, 'done', 'CVE-1', 'Close'), ('lib', 'f', 'CVE', NULL, NULL, NULL, '', 'CVE-2', 'Open'), ('lib', '', 'Content', '', '', 'FalsePositive', '', NULL, NULL)) t(dir, block, type, db_file, search_file, reason, comment, cve, status)""")
 def ini_rules(spark, sf_dir):
     return _rules(spark)
 
@@ -266,7 +266,7 @@ def filter_matches_by_rule(spark, sf_dir):
     return rules.drop_suppressed(rows, _rules(spark)).select("doc_id", "db_file", "search_file")
 
 
-@query("SELECT doc_id, source AS db_file, lang AS search_file, CASE WHEN source = 'src1' THEN 'Unknown' ELSE 'Generated' END AS reason FROM documents WHERE (source = 'src1' AND lang = 'en') OR (source = 'src2' AND lang = 'fr')")
+@query("SELECT doc_id, source AS db_file, lang AS search_file, CASE WHEN source = 'src1' THEN 'FalsePositive' ELSE 'AllowedByAuthor' END AS reason FROM documents WHERE (source = 'src1' AND lang = 'en') OR (source = 'src2' AND lang = 'fr')")
 def suppressed_matches(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("db_file"), F.col("lang").alias("search_file"))
     return rules.suppressed(rows, _rules(spark)).select("doc_id", "db_file", "search_file", "reason")

@@ -29,15 +29,35 @@ def ini_value(items: DataFrame, block: str, key: str, default: str) -> DataFrame
     return items.select("path").distinct().join(found, "path", "left").select("path", F.coalesce("value", F.lit(default)).alias("value"))
 
 
+# Values of the format: reasons of a Content block, the first being the default, and the keys of a 3rdParty block.
+REASONS = ("FalsePositive", "NoCreativeValue", "AllowedByAuthor", "Other")
+THIRD_PARTY = ("vendor", "product", "copyright", "version", "displayName", "displayVersion", "url", "date")
+
+
+def _get(key: str, default: str | None = ""):
+    return F.coalesce(F.max(F.when(F.col("key") == key, F.col("value"))), F.lit(default))
+
+
+def _folder():
+    return F.regexp_replace(F.col("path"), r"/?[^/]*$", "").alias("dir")
+
+
 def rules(items: DataFrame) -> DataFrame:
-    """One row per block: (dir, block, type, db_file, search_file, reason, comment, cve, status). dir is the folder of the file; an unknown type gives no rule; a missing one is Content; `Closed` is read as `Close`."""
-    get = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
-    rows = items.groupBy("path", "block").agg(*(get(k).alias(n) for k, n in (("type", "type"), ("dbFile", "db_file"), ("searchFile", "search_file"), ("reason", "reason"), ("comment", "comment"), ("id", "cve"), ("status", "status"))))
-    rows = rows.withColumn("type", F.coalesce("type", F.lit("Content"))).where(F.col("type").isin("Content", "3rdParty", "CVE", "Ignore"))
-    status = F.when(F.col("type") == "CVE", F.when(F.col("status").isin("Close", "Closed"), "Close").otherwise("Open"))
-    reason = F.when(F.col("type") == "Content", F.when(F.col("reason").isin("Generated", "Licensed", "OwnCode", "FalsePositive"), F.col("reason")).otherwise("Unknown"))
-    folder = F.regexp_replace(F.col("path"), r"/?[^/]*$", "")
-    return rows.select(folder.alias("dir"), "block", "type", "db_file", "search_file", reason.alias("reason"), "comment", "cve", status.alias("status"))
+    """One row per block: (dir, block, type, db_file, search_file, reason, comment, cve, status). dir is the folder of the file; an unknown type gives no rule; a missing one is Content. An unknown reason is the first of REASONS; `Closed` is read as `Close`, all else but `Close` as `Open`. Fields that a type does not have are null."""
+    rows = items.groupBy("path", "block").agg(_get("type", "Content").alias("type"), *(_get(k).alias(n) for k, n in (("dbFile", "db_file"), ("searchFile", "search_file"), ("reason", "reason"), ("comment", "comment"), ("id", "cve"), ("status", "status"))))
+    rows = rows.where(F.col("type").isin("Content", "3rdParty", "CVE", "Ignore"))
+    of = lambda kind, value: F.when(F.col("type").isin(*kind), value)
+    return rows.select(
+        _folder(), "block", "type", of(("Content",), F.col("db_file")).alias("db_file"), of(("Content",), F.col("search_file")).alias("search_file"),
+        of(("Content",), F.when(F.col("reason").isin(*REASONS), F.col("reason")).otherwise(REASONS[0])).alias("reason"), of(("Content", "CVE"), F.col("comment")).alias("comment"),
+        of(("CVE",), F.col("cve")).alias("cve"), of(("CVE",), F.when(F.col("status").isin("Close", "Closed"), "Close").otherwise("Open")).alias("status"),
+    )
+
+
+def third_party(items: DataFrame) -> DataFrame:
+    """(dir, block, vendor, product, copyright, version, displayName, displayVersion, url, date) of the 3rdParty blocks."""
+    rows = items.groupBy("path", "block").agg(_get("type", "Content").alias("type"), *(_get(k).alias(k) for k in THIRD_PARTY))
+    return rows.where("type = '3rdParty'").select(_folder(), "block", *THIRD_PARTY)
 
 
 def file_types(items: DataFrame) -> DataFrame:

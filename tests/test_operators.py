@@ -91,6 +91,13 @@ def test_ini_semantics(spark):
     assert ini.ini_value(items, "b", "none", "d").first().value == "d"
 
 
+def test_third_party_blocks(spark):
+    items = ini.ini_items(spark.createDataFrame([("a/b/f.ini", "[x]\ntype=3rdParty\nvendor=v\nurl=http://u=1\n[y]\ntype=Ignore\n")], "path string, content string"))
+    row = ini.third_party(items).first()
+    assert (row.dir, row.vendor, row.url, row.version) == ("a/b", "v", "http://u=1", "")
+    assert ini.file_types(items).first().type == "Ignore"
+
+
 def test_folder_rules_meet_whole_names(spark):
     paths = spark.createDataFrame([("lib/a/x.c",), ("lib/ab/x.c",), ("lib/a/b/x.c",), ("x.c",)], "path string")
     kept = rules.drop_ignored(paths, spark.createDataFrame([("lib/a",)], "dir string"))
