@@ -24,23 +24,26 @@ WINDOW = 64
 
 @dataclass(frozen=True)
 class Settings:
+    """Folders and search window. The two servers are not part of this library; their addresses are kept for those who run them."""
+
     database: str
-    workspace: str
+    work: str
+    data: str
+    scans: str
     window: int = WINDOW
-    scan_host: str = "127.0.0.1"
-    scan_port: int = 8080
-    update_host: str = "127.0.0.1"
-    update_port: int = 8081
+    scan_server: tuple[str, int] = ("127.0.0.1", 9080)
+    update_server: tuple[str, int] = ("127.0.0.1", 9081)
 
 
 def read_settings(path: str) -> Settings:
     """Settings from an INI file; relative folders are taken from the file's own folder."""
-    parser = configparser.ConfigParser()
+    # Sections, keys and defaults are fixed by the format.
+    parser = configparser.ConfigParser(interpolation=None)
     parser.read(path)
     base = os.path.dirname(os.path.abspath(path))
-    at = lambda p: os.path.normpath(p if os.path.isabs(p) else os.path.join(base, p))
-    get = lambda s, k, d: parser.get(s, k, fallback=d)
+    folder = lambda key: os.path.normpath(os.path.join(base, parser.get("pathes", key, fallback="")))
+    server = lambda name, port: (parser.get(name, "addr", fallback="127.0.0.1"), parser.getint(name, "port", fallback=port))
     return Settings(
-        at(get("folders", "database", "db")), at(get("folders", "workspace", "work")), int(get("search", "window", str(WINDOW))),
-        get("scan", "host", "127.0.0.1"), int(get("scan", "port", "8080")), get("update", "host", "127.0.0.1"), int(get("update", "port", "8081")),
+        folder("dbPath"), folder("workPath"), folder("dataPath"), folder("scanPath"),
+        parser.getint("search", "windowSize", fallback=WINDOW), server("ScanServer", 9080), server("UpdateServer", 9081),
     )

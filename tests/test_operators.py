@@ -204,9 +204,9 @@ def test_scalars(spark):
 
 
 def test_settings(tmp_path):
-    (tmp_path / "s.cfg").write_text("[folders]\ndatabase=../db\n[search]\nwindow=128\n")
+    (tmp_path / "s.cfg").write_text("[pathes]\ndbPath=../db\n[search]\nwindowSize=128\n")
     got = model.read_settings(str(tmp_path / "s.cfg"))
-    assert got.window == 128 and got.database == str(tmp_path.parent / "db")
+    assert got.window == 128 and got.database == str(tmp_path.parent / "db") and got.scan_server == ("127.0.0.1", 9080)
 
 
 def test_stream_keeps_the_newest(spark, tmp_path):
