@@ -16,8 +16,8 @@ from .common import Recent, per_worker
 
 #: Ids of a block, whose planes are transposed together, and ids after which a chunk is closed at the end of a document.
 BLOCK, CHUNK = 4096, 1 << 17
-#: Words that a task's table keeps, and twice as many at most: about 200 MB.
-WORDS = 1_000_000
+#: Words that each of a worker's two tables keeps, and twice as many at most: about 80 MB each. An executor may hold several idle workers with their tables, so this is kept small.
+WORDS = 250_000
 _HEAD = "<4sBBHII"
 _MAGIC = b"TKBP"
 _PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
