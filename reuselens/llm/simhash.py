@@ -20,17 +20,27 @@ _SEED = 7
 _APART = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: bytes, words: int, prints: int = 1) -> list[int]:
-    """Of the shingles' XXH64 (seed 42): a bit is 1 if more than half of them have it. Further prints take the same of hashes that are a scrambled form of the first ones."""
+def shingle_hashes(text: bytes, words: int) -> list[bytes]:
+    """XXH64 (seed 42) of the shingles of a text, in order; a text shorter than a shingle is one."""
     tokens = text.lower().split()
     if not tokens:
-        return [0] * prints
+        return []
     line = b" ".join(tokens)
     ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(0, len(tokens) - words)
     digest = xxhash.xxh64_digest
-    pieces = [digest(line[a:b], 42) for a, b in zip(starts[: last + 1].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)]
+    return [digest(line[a:b], 42) for a, b in zip(starts[: last + 1].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, words: int, prints: int = 1) -> list[int]:
+    """Of the shingles' XXH64: a bit is 1 if more than half of them have it. Further prints take the same of hashes that are a scrambled form of the first ones."""
+    return print_of_hashes(shingle_hashes(text, words), prints)
+
+
+def print_of_hashes(pieces: list[bytes], prints: int = 1) -> list[int]:
+    if not pieces:
+        return [0] * prints
     total = np.zeros((prints, 64), np.int64)
     for k in range(0, len(pieces), 65536):
         hashes = np.frombuffer(b"".join(pieces[k : k + 65536]), ">u8").astype(np.uint64)
@@ -92,11 +102,11 @@ def _near(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def _bucket_links(radius: int):
-    """Over rows (p, mask, fp) sorted by p, mask, the bits of fp that it keeps, the bucket, and fp: links as (p, a, b, null), and the values of buckets beyond BUCKET as (p, fp, null, mask) for the next round."""
+    """Over rows (p, mask, fp) sorted by p, mask, the bits of fp that it keeps, the bucket, and fp: links as (p, a, b, mask), and the values of buckets beyond BUCKET as (p, fp, null, mask) for the next round."""
 
-    def out(p: np.ndarray, a: np.ndarray, b: np.ndarray | None, mask: np.ndarray | None):
+    def out(p: np.ndarray, a: np.ndarray, b: np.ndarray | None, mask: np.ndarray):
         empty = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(a, pa.int64()), empty if b is None else pa.array(b, pa.int64()), empty if mask is None else pa.array(mask, pa.int64())], ["p", "a", "b", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(a, pa.int64()), empty if b is None else pa.array(b, pa.int64()), pa.array(mask, pa.int64())], ["p", "a", "b", "mask"])
 
     def run(batches):
         held = None  # the last bucket, which the next batch may continue, up to BUCKET values
@@ -128,16 +138,21 @@ def _bucket_links(radius: int):
             now &= size[group] > 1
             if now.any():
                 a, b, at = _near(fp[now].view(np.uint64), group[now], radius)
-                yield out(p[now][at], a, b, None)
+                yield out(p[now][at], a, b, mask[now][at])
         if held:
             a, b, at = _near(held[2].view(np.uint64), np.zeros(len(held[2]), int), radius)
-            yield out(held[0][at], a, b, None)
+            yield out(held[0][at], a, b, held[1][at])
 
     return run
 
 
 def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (p, a, b) that connect the distinct values fp of each p which differ in at most radius of their 64 bits, directly or over others.
+    """Links (p, a, b) that connect the distinct values fp of each p which differ in at most radius of their 64 bits, directly or over others."""
+    return bucket_forests(values, radius).select("p", "a", "b")
+
+
+def bucket_forests(values: DataFrame, radius: int, reach: int | None = None, first: list[int] | None = None) -> DataFrame:
+    """(p, mask, a, b): in the bucket of a by a mask, b is the smallest value that steps of at most reach bits (radius if not given) lead to. Masks `first` may take the place of the covering ones in round 1.
 
     Round 1 deals every value to 2 ** (radius + 1) - 1 covering masks, and compares what meets in a
     bucket. A bucket of more than BUCKET values is not compared: its values, which agree on the bits
@@ -150,7 +165,7 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
     key = F.col("fp").bitwiseAND(F.col("mask"))
     for step in range(6):
         if not step:
-            masks = covering_masks(radius, tuple(range(64)), _SEED)
+            masks = first or covering_masks(radius, tuple(range(64)), _SEED)
             dealt = todo.select("p", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"), "fp")
         else:
             # One row per mask that some large bucket was dealt by, and mask of its other bits.
@@ -158,9 +173,9 @@ def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
             dealt = todo.join(F.broadcast(spark.createDataFrame(table, "fixed long, mask long")), "fixed").select("p", "mask", "fp")
         # In order of the values, so that buckets which hold the same group link it to the same few values.
         dealt = dealt.repartition("p", "mask", key).sortWithinPartitions("p", "mask", key, "fp")
-        made = materialise(dealt.mapInArrow(_bucket_links(radius), "p int, a long, b long, mask long"), f"{at}/{step}")
-        found.append(made.where("mask is null").select("p", "a", "b"))
-        todo = made.where("mask is not null").select("p", F.col("a").alias("fp"), F.col("mask").alias("fixed")).distinct()
+        made = materialise(dealt.mapInArrow(_bucket_links(reach or radius), "p int, a long, b long, mask long"), f"{at}/{step}")
+        found.append(made.where("b is not null").select("p", "mask", "a", "b"))
+        todo = made.where("b is null").select("p", F.col("a").alias("fp"), F.col("mask").alias("fixed")).distinct()
         fixed = sorted(r.fixed & (1 << 64) - 1 for r in todo.select("fixed").distinct().collect())  # masks of this step, a function of radius and seed
         if not fixed:
             break
