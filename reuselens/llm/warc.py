@@ -94,6 +94,33 @@ def parse_records(data: bytes):
         at = stop + len(_END)
 
 
+def members(content: bytes):
+    """The decoded data of each gzip member of a file, in order; a ValueError if the last one is cut off."""
+    while content:
+        part = zlib.decompressobj(47)
+        data = part.decompress(content) + part.flush()
+        if not part.eof:
+            raise ValueError("the last member of an archive is cut off")
+        yield data
+        # Zeros after a member are padding.
+        content = part.unused_data.lstrip(b"\0")
+
+
+def file_records(content: bytes):
+    """(headers, block) of each record of a gzipped archive. A record may go over the ends of members."""
+    rest = b""
+    for data in members(content):
+        rest += data
+        if data.endswith(_END):
+            try:
+                found = list(parse_records(rest))
+            except (ValueError, IndexError):
+                continue  # the block of a record holds this end
+            yield from found
+            rest = b""
+    yield from parse_records(rest)
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, segment: int = SEGMENT) -> None:
     """Writes a record per row of pages to gzipped archives at path.
 
@@ -154,8 +181,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for content in batch.column(0):
-                data, out = zlib.decompress(content.as_py(), 47), []
-                for h, block in parse_records(data):
+                out = []
+                for h, block in file_records(content.as_py()):
                     kind, own, number = h["warc-type"], h["warc-record-id"], h.get("warc-segment-number")
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     refers = page(h["warc-refers-to"]) if "warc-refers-to" in h else None
