@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U32 = 4294967295
@@ -73,9 +73,21 @@ def line_slice(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, start, F.greatest(F.least(last.cast("int"), F.size(lines)) - start + 1, F.lit(0))), "\n")
 
 
+# The constant of the hash, fixed by the format.
+_GOLDEN = 0x9E3779B9
+
+
 def vector_hash(values: Column) -> Column:
-    """A hash of an array; equal arrays have equal hashes."""
-    return F.xxhash64(values)
+    """A 64-bit hash of an array of 32-bit numbers: from its size on, each number x turns a seed s into s ^ (x + constant + (s << 6) + (s >> 2)), all unsigned. Sums are taken in halves, as they wrap around."""
+    low = lambda x: x.bitwiseAND(U32)
+    high = lambda x: F.shiftrightunsigned(x, 32)
+
+    def step(seed: Column, x: Column) -> Column:
+        left, right = F.shiftleft(seed, 6), F.shiftrightunsigned(seed, 2)
+        lows = low(left) + low(right) + x + F.lit(_GOLDEN)
+        return seed.bitwiseXOR(F.shiftleft(high(left) + high(right) + high(lows), 32).bitwiseOR(low(lows)))
+
+    return F.aggregate(values, F.size(values).cast("long"), step)
 
 
 def path_ancestors(path: Column) -> Column:
@@ -84,18 +96,32 @@ def path_ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
-def sliding_sum(values: Column, width: int) -> Column:
-    """Sums of all `width` neighbours of an array, by doubling: about log2(width) passes, no shuffle. Shorter arrays give an empty one."""
-    n = F.size(values)
+def _doubled(rows: DataFrame, values: Column, width: int, out: str, join) -> DataFrame:
+    """rows with out, join of all `width` neighbours of an array. Each doubling is a column of its own step, so it is made once: about 2 * log2(width) passes, no shuffle. Arrays shorter than width give an empty one."""
+    rows = rows.withColumn("_power", values).withColumn("_n", F.size("_power"))
 
-    def joined(a: Column, wa: int, b: Column, wb: int) -> Column:
-        m = F.greatest(n - (wa + wb) + 1, F.lit(0))
-        return F.zip_with(F.slice(a, F.lit(1), m), F.slice(b, F.lit(wa + 1), m), lambda x, y: x + y)
+    def joined(a: str, wa: int, b: str, wb: int) -> Column:
+        m = F.greatest(F.col("_n") - (wa + wb) + 1, F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), m), F.slice(b, F.lit(wa + 1), m), join)
 
-    have, total, power, size = 0, None, values, 1
+    have, size = 0, 1
     while True:
         if width & size:
-            total, have = (power, size) if total is None else (joined(total, have, power, size), have + size)
+            rows = rows.withColumn("_total", joined("_total", have, "_power", size) if have else F.col("_power"))
+            have += size
         if 2 * size > width:
-            return F.when(n >= width, total).otherwise(F.array().cast("array<bigint>"))
-        power, size = joined(power, size, power, size), 2 * size
+            return rows.withColumn(out, F.when(F.col("_n") >= width, F.col("_total")).otherwise(F.array().cast("array<bigint>"))).drop("_power", "_total", "_n")
+        rows, size = rows.withColumn("_power", joined("_power", size, "_power", size)), 2 * size
+
+
+def sliding_sum(rows: DataFrame, values: Column, width: int, out: str) -> DataFrame:
+    return _doubled(rows, values, width, out, lambda x, y: x + y)
+
+
+def sliding_hash(rows: DataFrame, values: Column, width: int, out: str) -> DataFrame:
+    """Hashes of all `width` neighbours that, unlike sums, see their order."""
+    return _doubled(rows, values, width, out, lambda x, y: F.xxhash64(x, y))
+
+
+def sliding_least(rows: DataFrame, values: Column, width: int, out: str) -> DataFrame:
+    return _doubled(rows, values, width, out, lambda x, y: F.least(x, y))

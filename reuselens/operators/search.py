@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import U32, line_slice, mixed_symbol, sliding_sum
+from ..functions.scalars import U32, line_slice, mixed_symbol, sliding_hash, sliding_least, sliding_sum
 from ..model import WINDOW
+from ..shared import materialise
 
 
 def check_window(k: int, strict: bool = False) -> int:
@@ -17,13 +18,20 @@ def check_window(k: int, strict: bool = False) -> int:
 
 def windows(files: DataFrame, k: int) -> DataFrame:
     """(file_id, pos, fp) of every window of k symbols of files (file_id, syms). The sums are taken inside the row; nothing is shuffled. Shorter files have none."""
-    sums = sliding_sum(F.transform("syms", mixed_symbol), check_window(k))
-    return files.select("file_id", F.posexplode(sums).alias("pos", "sum")).select("file_id", F.col("pos").cast("long").alias("pos"), F.col("sum").bitwiseAND(U32).alias("fp"))
+    sums = sliding_sum(files.select("file_id", "syms"), F.transform("syms", mixed_symbol), check_window(k), "_sums")
+    return sums.select("file_id", F.posexplode("_sums").alias("pos", "sum")).select("file_id", F.col("pos").cast("long").alias("pos"), F.col("sum").bitwiseAND(U32).alias("fp"))
+
+
+def windows_deep(files: DataFrame, k: int) -> DataFrame:
+    """(file_id, pos, fp, name, line): windows() of deep files (file_id, syms, names, lines), with the name and line of each window's first symbol."""
+    sums = sliding_sum(files.select("file_id", "syms", "names", "lines"), F.transform("syms", mixed_symbol), check_window(k), "_sums")
+    rows = sums.select("file_id", F.posexplode(F.arrays_zip(F.col("_sums").alias("sum"), F.slice("names", F.lit(1), F.size("_sums")).alias("name"), F.slice("lines", F.lit(1), F.size("_sums")).alias("line"))).alias("pos", "w"))
+    return rows.select("file_id", F.col("pos").cast("long").alias("pos"), F.col("w.sum").bitwiseAND(U32).alias("fp"), "w.name", "w.line")
 
 
 def window_index(files: DataFrame, k: int) -> DataFrame:
-    """(fp, positions): the inverted index, positions as (file_id, pos) in order."""
-    return windows(files, k).groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("file_id", "pos"))).alias("positions"))
+    """(fp, file_id, positions): the inverted index. A row holds the positions of one file, as many as it has symbols at most, so a fingerprint that most files have is many rows."""
+    return windows(files, k).groupBy("fp", "file_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def candidates(base: DataFrame, search: DataFrame, k: int) -> DataFrame:
@@ -33,10 +41,16 @@ def candidates(base: DataFrame, search: DataFrame, k: int) -> DataFrame:
     return b.join(s, "fp").select("base_id", "search_id", "base_pos", "search_pos")
 
 
+def touched(files: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The files that found names in id_col. The semi join is pushed to the scan, so what is derived from a file is made for those files only."""
+    return files.join(found.select(F.col(id_col).alias("file_id")).distinct(), "file_id", "left_semi")
+
+
 def verified(found: DataFrame, base: DataFrame, search: DataFrame, k: int) -> DataFrame:
-    """Candidates whose windows are equal symbol by symbol: a fingerprint does not see the order of symbols. Arrays are joined to candidates only."""
-    b = base.select(F.col("file_id").alias("base_id"), F.col("syms").alias("_b"))
-    s = search.select(F.col("file_id").alias("search_id"), F.col("syms").alias("_s"))
+    """Candidates whose windows are equal symbol by symbol: a fingerprint does not see the order of symbols. Arrays are made for and joined to candidates only."""
+    found = materialise(found)
+    b = touched(base, found, "base_id").select(F.col("file_id").alias("base_id"), F.col("syms").alias("_b"))
+    s = touched(search, found, "search_id").select(F.col("file_id").alias("search_id"), F.col("syms").alias("_s"))
     same = F.slice("_b", F.col("base_pos").cast("int") + 1, F.lit(k)) == F.slice("_s", F.col("search_pos").cast("int") + 1, F.lit(k))
     return found.join(b, "base_id").join(s, "search_id").where(same).select("base_id", "search_id", "base_pos", "search_pos")
 
@@ -67,31 +81,83 @@ def shares_window(base: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def classes(files: DataFrame) -> DataFrame:
-    """(file_id, class_id): files of equal symbols, by the smallest id."""
-    keyed = files.select("file_id", F.sha2(F.array_join(F.transform("syms", lambda x: x.cast("string")), ","), 256).alias("_key"))
-    least = keyed.groupBy("_key").agg(F.min("file_id").alias("class_id"))
-    return keyed.join(least, "_key").select("file_id", "class_id")
+    """(file_id, class_id): files of equal symbols, by the smallest id. Arrays meet as 128 bits of hashes."""
+    keyed = files.select("file_id", F.xxhash64("syms").alias("_h"), F.xxhash64(F.lit("second"), "syms").alias("_g"))
+    least = keyed.groupBy("_h", "_g").agg(F.min("file_id").alias("class_id"))
+    return keyed.join(least, ["_h", "_g"]).select("file_id", "class_id")
+
+
+def anchors(files: DataFrame, k: int) -> DataFrame:
+    """(file_id, pos, fp): of every window of k symbols the part of about half its length with the least scrambled fingerprint, so windows of equal content have equal anchors. About one position in k / 4 is one."""
+    part = (k + 1) // 2
+    rows = sliding_sum(files.select("file_id", "syms"), F.transform("syms", mixed_symbol), part, "_sums")
+    # 32 bits of a scrambled fingerprint, then the position.
+    order = F.transform("_sums", lambda x, i: F.shiftleft(F.xxhash64(x.bitwiseAND(U32)).bitwiseAND(0x7FFFFFFF), 32).bitwiseOR(i.cast("long")))
+    rows = sliding_least(rows, order, k - part + 1, "_least")
+    rows = rows.select("file_id", "_sums", F.explode(F.transform(F.array_distinct("_least"), lambda x: x.bitwiseAND(U32))).alias("pos"))
+    return rows.select("file_id", "pos", F.element_at("_sums", F.col("pos").cast("int") + 1).bitwiseAND(U32).alias("fp"))
 
 
 def self_search(files: DataFrame, k: int = WINDOW) -> DataFrame:
-    """Ranges between files of one set, base_id < search_id. Files of equal symbols are one class, and only the classes' first files are compared; classes() tells the members."""
+    """Ranges between files of one set, base_id < search_id. Files of equal symbols are one class, and only the classes' first files are compared; classes() tells the members.
+
+    Files meet on anchors, which any shared window has. What several files have of them gives pairs
+    of files and the shift between them, each once; on a shift the equal runs of at least k symbols
+    are the ranges. There are as many rows as pairs of files share passages; reuse() links each
+    passage with its first file only.
+    """
     first = files.join(classes(files).where("file_id = class_id").select("file_id"), "file_id", "left_semi")
-    hits = candidates(first, first, k).where("base_id < search_id")
-    return merged(verified(hits, first, first, k), k)
+    found = materialise(anchors(first, k))
+    shared = found.groupBy("fp").agg(F.min("file_id").alias("_a"), F.max("file_id").alias("_z")).where("_a < _z").select("fp")
+    found = materialise(found.join(shared, "fp", "left_semi"))
+    b, s = (found.select(F.col("file_id").alias(f"{side}_id"), F.col("pos").alias(f"{side}_pos"), "fp") for side in ("base", "search"))
+    pairs = b.join(s, "fp").where("base_id < search_id").select("base_id", "search_id", (F.col("base_pos") - F.col("search_pos")).alias("shift")).distinct()
+    return equal_runs(materialise(pairs), files, k)
+
+
+def equal_runs(pairs: DataFrame, files: DataFrame, k: int) -> DataFrame:
+    """The ranges of at least k equal symbols of pairs (base_id, search_id, shift), where shift is base_pos - search_pos."""
+    b = touched(files, pairs, "base_id").select(F.col("file_id").alias("base_id"), F.col("syms").alias("_b"))
+    s = touched(files, pairs, "search_id").select(F.col("file_id").alias("search_id"), F.col("syms").alias("_s"))
+    both = pairs.join(b, "base_id").join(s, "search_id").withColumn("_from", F.expr("cast(greatest(0, -shift) as int)")).withColumn("_n", F.expr("cast(least(size(_s) - _from, size(_b) - shift - _from) as int)"))
+    # Positions of the search file that differ from the base file, with one before and one after the part they share.
+    other = F.expr("""concat(array(_from - 1), filter(transform(zip_with(slice(_s, _from + 1, _n), slice(_b, cast(_from + shift as int) + 1, _n), (x, y) -> x = y), (same, i) -> if(same, -2, i + _from)), x -> x >= 0), array(_from + _n))""")
+    both = both.withColumn("_other", other).select("base_id", "search_id", "shift", F.explode(F.expr(f"filter(transform(_other, (x, i) -> struct(if(i = 0, x, _other[i - 1]) as a, x as z)), r -> r.z - r.a > {k})")).alias("r"))
+    start, end = F.col("r.a").cast("long") + 1, F.col("r.z").cast("long") - 1
+    return both.select("base_id", "search_id", (start + F.col("shift")).alias("base_start"), (end + F.col("shift")).alias("base_end"), start.alias("search_start"), end.alias("search_end"))
+
+
+def reuse(files: DataFrame, k: int = WINDOW) -> DataFrame:
+    """Ranges of files whose windows another file of the set has too, each window linked with the file of the smallest id that has it: (base_id, search_id, base_start, base_end, search_start, search_end). A passage that very many files share gives a row for each, not for each pair."""
+    hashed = sliding_hash(files.select("file_id", "syms"), F.col("syms"), check_window(k), "_hashes")
+    w = materialise(hashed.select("file_id", F.posexplode("_hashes").alias("pos", "fp")).withColumn("pos", F.col("pos").cast("long")))
+    first = w.groupBy("fp").agg(F.min(F.struct("file_id", "pos")).alias("_f"), F.max("file_id").alias("_z")).where("_f.file_id < _z")
+    first = materialise(first.select("fp", F.col("_f.file_id").alias("base_id"), F.col("_f.pos").alias("base_pos")))
+    found = w.join(first, "fp").where("file_id > base_id").select("base_id", F.col("file_id").alias("search_id"), "base_pos", F.col("pos").alias("search_pos"))
+    return merged(verified(found, files, files, k), k)
+
+
+def deep_ranges(ranges: DataFrame, base: DataFrame, search: DataFrame) -> DataFrame:
+    """The second phase of a search, over its hits only: ranges with the lines, counted from 1, that they begin and end on, and n_renamed, the symbols whose names differ. base and search are deep files (file_id, names, lines); they are made for the files of ranges only."""
+    for side, files in (("base", base), ("search", search)):
+        deep = touched(files, ranges, f"{side}_id").select(F.col("file_id").alias(f"{side}_id"), F.col("names").alias(f"_{side}_names"), F.col("lines").alias(f"_{side}_lines"))
+        ranges = ranges.join(deep, f"{side}_id")
+        for end in ("start", "end"):
+            ranges = ranges.withColumn(f"{side}_{end}_line", F.element_at(f"_{side}_lines", F.col(f"{side}_{end}").cast("int") + 1).cast("long"))
+    part = lambda side: F.slice(f"_{side}_names", F.col(f"{side}_start").cast("int") + 1, (F.col(f"{side}_end") - F.col(f"{side}_start") + 1).cast("int"))
+    renamed = F.size(F.filter(F.zip_with(part("base"), part("search"), lambda x, y: x != y), lambda x: x)).cast("long")
+    return ranges.withColumn("n_renamed", renamed).drop(*(f"_{side}_{x}" for side in ("base", "search") for x in ("names", "lines")))
 
 
-def line_ranges(ranges: DataFrame, base_stream: DataFrame, search_stream: DataFrame) -> DataFrame:
-    """ranges with the lines, counted from 1, that they begin and end on; streams are (file_id, pos, line)."""
-    for side, stream in (("base", base_stream), ("search", search_stream)):
-        for end in ("start", "end"):
-            lines = stream.select(F.col("file_id").alias(f"{side}_id"), F.col("pos").alias(f"{side}_{end}"), F.col("line").alias(f"{side}_{end}_line"))
-            ranges = ranges.join(lines, [f"{side}_id", f"{side}_{end}"])
-    return ranges
+def search_deep(base: DataFrame, wanted: DataFrame, k: int = WINDOW) -> DataFrame:
+    """search() with lines and renamed symbols, of deep files (file_id, syms, names, lines)."""
+    found = materialise(search(base, wanted, k))
+    return deep_ranges(found, base, wanted)
 
 
 def with_content(ranges: DataFrame, contents: DataFrame, side: str = "base") -> DataFrame:
-    """ranges with the lines of contents (file_id, text, licence) that they cover; texts are joined when the ranges are final."""
-    c = contents.select(F.col("file_id").alias(f"{side}_id"), F.col("text").alias("_text"), F.coalesce("licence", F.lit("")).alias("licence"))
+    """ranges with the lines of contents (file_id, text, licence) that they cover; texts are joined when the ranges are final, and only those of their files."""
+    c = touched(contents, ranges, f"{side}_id").select(F.col("file_id").alias(f"{side}_id"), F.col("text").alias("_text"), F.coalesce("licence", F.lit("")).alias("licence"))
     out = ranges.join(c, f"{side}_id", "left")
     return out.withColumn("content", line_slice(F.col("_text"), F.col(f"{side}_start_line"), F.col(f"{side}_end_line"))).drop("_text")
 

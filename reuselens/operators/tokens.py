@@ -33,6 +33,15 @@ def token_stream(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFr
     return rows.select("file_id", F.col("pos").cast("long").alias("pos"), symbol_of(F.col("t.name")).alias("sym"), F.col("t.name").alias("name"), F.col("t.line").cast("long").alias("line"))
 
 
+def text_deep(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(file_id, syms, names, lines): text_symbols with the token and the line of each symbol, made inside the row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("file_id"), F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1).alias("_lines"))
+    rows = rows.withColumn("_tokens", F.transform("_lines", lambda body: F.filter(F.split(body, BLANKS), lambda t: t != "")))
+    lines = F.flatten(F.transform("_tokens", lambda some, k: F.transform(some, lambda t: (k + 1).cast("long"))))
+    rows = rows.select("file_id", F.flatten("_tokens").alias("names"), lines.alias("lines"))
+    return rows.select("file_id", F.transform("names", symbol_of).alias("syms"), "names", "lines")
+
+
 # Words of C and C++ that are symbols of their own, fixed by the languages.
 CPP_KEYWORDS = (
     "alignas alignof asm auto bool break case catch char class const constexpr const_cast continue decltype default delete do double dynamic_cast else enum explicit export extern false float for friend goto if inline int long mutable namespace new noexcept nullptr operator private protected public register reinterpret_cast return short signed sizeof static static_assert static_cast struct switch template this throw true try typedef typeid typename union unsigned using virtual void volatile while"

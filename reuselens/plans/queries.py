@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import batches, catalogue, codec, dedup, dictionary, incremental, rules, search, store, tokens
+from ..shared import materialise
 from ..sources import files, ini
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,10 +138,10 @@ def window_fingerprints(spark, sf_dir):
     return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("fp").alias("fps"), F.min("fp").alias("least"), F.max("fp").alias("most"))
 
 
-@query(f"WITH {tok('t', 'benchmark', 'item_id')}, {win('w', 't', K)} SELECT fp, count(*) AS n, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file FROM w GROUP BY fp")
+@query(f"WITH {tok('t', 'documents', 'doc_id')}, {win('w', 't', K)} SELECT fp, count(*) AS n, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file FROM w GROUP BY fp")
 def window_index(spark, sf_dir):
-    rows = search.window_index(search_files(spark, sf_dir), K)
-    return rows.select("fp", F.size("positions").cast("long").alias("n"), F.size(F.array_distinct("positions.file_id")).cast("long").alias("n_files"), F.col("positions")[0]["file_id"].alias("first_file"))
+    rows = search.window_index(base_files(spark, sf_dir), K)
+    return rows.groupBy("fp").agg(F.sum(F.size("positions")).alias("n"), F.count("*").alias("n_files"), F.min("file_id").alias("first_file"))
 
 
 @query(f"{match_sql()} SELECT * FROM cand")
@@ -192,9 +193,8 @@ _LINES = r"""(SELECT {key} AS file_id, unnest(flatten(list_transform(range(1, le
 
 
 def _lined(spark, sf_dir):
-    base = tokens.token_stream(table(spark, sf_dir, "documents"), "doc_id").select("file_id", "pos", "line")
-    wanted = tokens.token_stream(table(spark, sf_dir, "benchmark"), "item_id").select("file_id", "pos", "line")
-    return search.line_ranges(ranges(spark, sf_dir), base, wanted)
+    base, wanted = (tokens.text_deep(table(spark, sf_dir, name), key) for name, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    return search.deep_ranges(materialise(ranges(spark, sf_dir)), base, wanted)
 
 
 _LINED = f"""{match_sql()}, lb AS {_LINES.format(key="doc_id", source="documents")}, ls AS {_LINES.format(key="item_id", source="benchmark")},
@@ -204,7 +204,7 @@ _LINED = f"""{match_sql()}, lb AS {_LINES.format(key="doc_id", source="documents
 
 @query(f"{_LINED} SELECT * FROM lined")
 def match_lines(spark, sf_dir):
-    return _lined(spark, sf_dir)
+    return _lined(spark, sf_dir).drop("n_renamed")
 
 
 _LICENCE = "CASE WHEN contains(text, 'GNU General Public License') THEN 'GPL' WHEN contains(text, 'Apache License') THEN 'Apache-2.0' WHEN contains(text, 'MIT License') THEN 'MIT' WHEN contains(text, 'CC BY-NC') THEN 'CC-BY-NC' ELSE '' END"
@@ -226,6 +226,14 @@ def self_search(spark, sf_dir):
     return search.self_search(base_files(spark, sf_dir), SELF_K)
 
 
+@query(f"""WITH {tok("t", "documents", "doc_id")}, w AS (SELECT file_id, i AS pos, md5(array_to_string(m[i + 1:i + {SELF_K}], ' ')) AS s FROM (SELECT file_id, m, unnest(range(0, len(m) - {SELF_K} + 1)) AS i FROM t)),
+    first AS (SELECT s, arg_min(file_id, (file_id, pos)) AS base_id, arg_min(pos, (file_id, pos)) AS base_pos FROM w GROUP BY s),
+    hits AS (SELECT base_id, w.file_id AS search_id, base_pos, w.pos AS search_pos FROM w JOIN first USING (s) WHERE w.file_id > base_id)
+    {ranges_sql("hits", SELF_K)}""")
+def self_reuse(spark, sf_dir):
+    return search.reuse(base_files(spark, sf_dir), SELF_K)
+
+
 @query(f"WITH {tok('t', 'documents', 'doc_id')} SELECT file_id, min(file_id) OVER (PARTITION BY m) AS class_id FROM t")
 def self_search_classes(spark, sf_dir):
     return search.classes(base_files(spark, sf_dir))

@@ -52,7 +52,7 @@ def test_order_is_verified(spark):
 @pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 13, 64])
 def test_sliding_sum(spark, width):
     values = [(k * 7919) % 101 for k in range(70)]
-    row = arrays(spark, [(1, values)]).select(scalars.sliding_sum(F.col("syms"), width).alias("s")).first()
+    row = scalars.sliding_sum(arrays(spark, [(1, values)]), F.col("syms"), width, "s").first()
     assert row.s == [sum(values[i : i + width]) for i in range(len(values) - width + 1)]
 
 
