@@ -52,9 +52,8 @@ def _op3() -> str:
         "capitals": "CASE WHEN word_chars > 0 THEN 100.0::double * n_capitals / word_chars ELSE 0 END",
         "shouts": "CASE WHEN n_words > 0 THEN 100.0::double * n_shouts / n_words ELSE 0 END",
     }
-    risk = quality.RISK / len(quality.GRID)
-    grid = ", ".join(f"('{s}', {k}, {float(c)}::double)" for s, cuts in quality.GRID.items() for k, c in enumerate(cuts))
-    values = ", ".join(f"('{s}', {s})" for s in signals)
+    risk = quality.RISK
+    rung = "least(" + ", ".join("1 + " + " + ".join(f"({x} <= {float(c)}::double)::int" for c in quality.LADDER[k]) for k, x in signals.items()) + ")"
     return rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
 win AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS i FROM t)),
@@ -62,18 +61,13 @@ again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i,
 m AS (SELECT doc_id, lang, len(w) AS n_words, length(regexp_replace(text, '{WS}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     (len(l) - len(list_distinct(l)))::bigint AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(l) AS n_lines,
     length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts FROM t LEFT JOIN again USING (doc_id)),
-s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{x} AS {k}" for k, x in signals.items())} FROM m),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rung} AS rung FROM m),
 held AS (SELECT s.* FROM s SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE NOT base_failed),
-named AS (SELECT lang FROM held WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {quality.STRATA}),
-strata AS (SELECT held.*, coalesce(named.lang, chr(1) || 'rest') AS stratum FROM held LEFT JOIN named ON held.lang = named.lang),
-grid AS (SELECT * FROM (VALUES {grid}) g(signal, k, cutoff)),
-tests AS (SELECT stratum, signal, k, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS x
-    FROM (SELECT stratum, v.signal, v.value FROM strata, LATERAL (VALUES {values}) v(signal, value)) JOIN grid USING (signal) GROUP BY ALL),
+tests AS (SELECT lang, k, count(*) AS n, count(*) FILTER (rung <= k) AS x FROM held, range(1, {quality.RUNGS + 1}) r(k) GROUP BY lang, k),
 judged AS (SELECT *, CASE WHEN x >= n * {risk} THEN 1 ELSE list_sum(list_transform(range(0, x + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln({1 - risk})))) END
-    <= {quality.DELTA} / ({len(quality.GRID)} * (SELECT count(DISTINCT stratum) FROM strata)) AS passed FROM tests),
-cuts AS (SELECT stratum, signal, min(cutoff) AS cutoff FROM (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, signal ORDER BY k) AS so_far FROM judged) WHERE so_far GROUP BY stratum, signal),
-failed AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, coalesce(named.lang, chr(1) || 'rest') AS stratum, v.signal, v.value FROM s LEFT JOIN named ON s.lang = named.lang, LATERAL (VALUES {values}) v(signal, value)) JOIN cuts USING (stratum, signal) WHERE value > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed.doc_id IS NULL AS kept FROM s LEFT JOIN failed USING (doc_id)
+    <= n * {quality.DELTA} / (SELECT count(*) FROM held) AS passed FROM tests),
+fit AS (SELECT lang, coalesce(min(k) FILTER (NOT passed), {quality.RUNGS + 1}) - 1 AS certified FROM judged GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rung > coalesce(certified, 0) AS kept FROM s LEFT JOIN fit ON s.lang IS NOT DISTINCT FROM fit.lang
 """
 
 

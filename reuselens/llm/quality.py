@@ -7,29 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, materialise, scratch, text_or_empty, words_of
 
-#: Cutoffs of each signal, the most lenient first; a document above the cutoff is rejected. All are per cent.
-GRID = {
+#: Cutoffs of each signal, all per cent, from the most lenient on: together the k-th ones are rung k of the ladder, which rejects a document if any signal is above its cutoff. So each rung rejects what the one before it does, and more.
+LADDER = {
     "symbols": (250, 200, 150, 100, 75, 50, 40, 30, 20, 15, 10),
-    "dup_lines": (95, 90, 80, 70, 60, 50, 45),
-    "repeats": (45, 40, 35, 30),
-    "capitals": (90, 80, 70, 60, 50, 40, 30),
-    "shouts": (90, 80, 70, 60, 50, 40, 30, 20),
+    "dup_lines": (98, 95, 90, 85, 80, 75, 70, 60, 55, 50, 45),
+    "repeats": (49, 48, 47, 46, 45, 44, 42, 40, 38, 36, 35),
+    "capitals": (95, 90, 85, 80, 75, 70, 60, 50, 40, 35, 30),
+    "shouts": (150, 120, 100, 90, 80, 70, 60, 50, 40, 30, 20),
 }
-#: Share of the good documents of a stratum that all rules together may reject, and the chance that some stratum exceeds it.
+RUNGS = 11
+#: Share of the good documents of a stratum that its rung may reject, and the chance that some stratum exceeds it.
 RISK, DELTA = 0.02, 0.05
-#: Strata of their own, by number of good labelled documents; all others share one. So the table of cutoffs has this many rows at most, and one.
-STRATA = 64
-#: Terms of the binomial tail that are summed; a geometric bound on what is left out is added, so a p-value is never too small.
-TERMS = 4000
-
-_REST = "\x01rest"
+#: Terms of a binomial tail that are summed in a row; a longer tail is several rows.
+TERMS = 4096
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
-    """One row per row of docs: its id, the columns keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the signals of GRID.
+    """One row per row of docs: its id, the columns keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the signals of LADDER and rung, the first rung that rejects it, RUNGS + 1 if none does.
 
-    Everything is counted inside the row by array functions; nothing is shuffled. A null text has no
-    words, and a text without words has all signals at 0.
+    Everything is counted inside the row by array functions, whatever the length of a text; nothing is
+    shuffled. A null text has no words, and a text without words has all signals at 0.
     """
     text = F.col("_text")
     d = docs.select(F.col(id_col).alias("doc_id"), *keep, text_or_empty(text_col).alias("_text"))
@@ -56,7 +53,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *ke
         F.length(F.regexp_replace(text, "[^!]+", "")).cast("long").alias("_n_shouts"),
     )
     share = lambda part, whole: F.when(F.col(whole) > 0, 100.0 * F.col(part) / F.col(whole)).otherwise(0.0)
-    return d.select(
+    d = d.select(
         "doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         share("n_symbols", "n_words").alias("symbols"),
@@ -65,75 +62,72 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *ke
         share("_n_capitals", "word_chars").alias("capitals"),
         share("_n_shouts", "n_words").alias("shouts"),
     )
+    # The first rung of a signal is one more than its cutoffs that are not exceeded.
+    rung = F.least(*(sum(((F.col(s) <= float(c)).cast("int") for c in cuts), F.lit(1)) for s, cuts in LADDER.items()))
+    return d.withColumn("rung", rung)
 
 
 #: ln(n!): exact to 20, Stirling's series beyond.
 _LN_FACT = "if({n} <= 20, ln(factorial(cast({n} as int))), {n} * ln({n}) - {n} + 0.5 * ln(6.283185307179586D * {n}) + 1D / (12 * {n}) - 1D / (360 * pow({n}, 3)) + 1D / (1260 * pow({n}, 5)))"
 
 
-def binomial_tail(rejected: str, n: str, risk: float) -> str:
-    """SQL for an upper bound, equal to within rounding, on P(Binomial(n, risk) <= rejected); 1 from the mean on, where it is never small."""
+def log_term(n: str, j: str, risk: float) -> str:
+    """SQL for the logarithm of P(Binomial(n, risk) = j)."""
     fact = lambda x: _LN_FACT.format(n=x)
-    log_term = f"({fact(f'double({n})')} - ({fact('double(j)')}) - ({fact(f'double({n} - j)')}) + j * ln({risk}D) + ({n} - j) * ln({1 - risk}D))"
-    low = f"greatest(0L, {rejected} - {TERMS - 1})"
-    total = f"aggregate(transform(sequence({low}, {rejected}), j -> exp({log_term})), 0D, (a, x) -> a + x)"
-    # Below the mean the terms fall faster than a geometric row as j falls.
-    ratio = f"({low} * {1 - risk}D / (({n} - {low} + 1) * {risk}D))"
-    left = f"aggregate(array({low}), 0D, (a, j) -> a + if(j = 0, 0D, exp({log_term}) * {ratio} / (1 - {ratio})))"
-    return f"if({rejected} >= {n} * {risk}D, 1D, {total} + {left})"
-
-
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per stratum: stratum and a certified cutoff per signal, null where none could be certified.
-
-    The holdout is every labelled good document that passes the base rules. For a stratum and a
-    signal the cutoffs are tested from the most lenient on: the hypothesis "it rejects more than
-    risk / signals of the good documents" falls if the exact binomial probability of so few
-    rejections is at most delta / (signals * strata). Tests stop at the first that stands (fixed
-    sequence), so within a signal no further correction is due; across signals and strata it is
-    Bonferroni's. Counts are sums over all labelled rows.
+    return f"({fact(f'double({n})')} - ({fact(f'double({j})')}) - ({fact(f'double({n} - {j})')}) + {j} * ln({risk}D) + ({n} - {j}) * ln({1 - risk}D))"
+
+
+def binomial_tails(tests: DataFrame, keys: tuple[str, ...], risk: float) -> DataFrame:
+    """tests (keys, x, n) with p = P(Binomial(n, risk) <= x), summed term by term, in rows of TERMS terms each; 1 from the mean on, where it is never small."""
+    small = tests.where(F.col("x") < F.col("n") * risk).withColumn("_low", F.explode(F.expr(f"sequence(0L, x, {TERMS}L)")))
+    part = F.expr(f"aggregate(transform(sequence(_low, least(x, _low + {TERMS - 1})), j -> exp({log_term('n', 'j', risk)})), 0D, (a, t) -> a + t)")
+    sums = small.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.sum(part).alias("_p"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return tests.join(sums, same, "left").withColumn("p", F.coalesce("_p", F.lit(1.0))).drop("_p", *(f"_{k}" for k in keys))
+
+
+def fit_rungs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, certified) of the strata for which a rung could be certified: the strictest that surely rejects at most `risk` of the good documents.
+
+    The holdout is every labelled good document that passes the base rules. In a stratum the rungs
+    are tested from the most lenient on: the hypothesis "it rejects more than risk of the good
+    documents" falls if the exact binomial probability of so few rejections is at most the
+    stratum's level. Tests stop at the first that stands (fixed sequence over nested rungs), so no
+    further correction is due within a stratum; across strata delta is shared in proportion to their
+    good labels (weighted Bonferroni), which the tests do not look at. With no rejection n good labels
+    certify a rung if (1 - risk) ** n is at most the level. A stratum, null included, is judged by
+    its own labels only; one without labels has no row.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
     held = measured.where("not base_failed").join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    aims = [f"sum(cast({s} > {float(c)}D as long)) as {s}_{k}" for s, cuts in GRID.items() for k, c in enumerate(cuts)]
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *(F.expr(x) for x in aims))
-    named = counts.where("stratum is not null").orderBy(F.desc("n"), "stratum").limit(STRATA).select(F.col("stratum").alias("_named"))
-    counts = counts.join(named, F.col("stratum") == F.col("_named"), "left")
-    sums = [F.sum(f"{s}_{k}").alias(f"{s}_{k}") for s, cuts in GRID.items() for k in range(len(cuts))]
-    counts = counts.groupBy(F.coalesce("_named", F.lit(_REST)).alias("stratum")).agg(F.sum("n").alias("n"), *sums)
+    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("rung") <= k) for k in range(1, RUNGS + 1))).alias("_x"))
     counts = materialise(counts, f"{scratch(measured.sparkSession)}/counts")
-    n_strata = counts.count()
-    level, share = delta / (len(GRID) * max(1, n_strata)), risk / len(GRID)
-    cutoffs = []
-    for s, cuts in GRID.items():
-        passed = [F.expr(f"{binomial_tail(f'{s}_{k}', 'n', share)} <= {level}D") for k in range(len(cuts))]
-        certified, so_far = F.lit(None).cast("double"), F.lit(True)
-        for k, c in enumerate(cuts):
-            so_far = so_far & F.col(f"_{s}_{k}")
-            certified = F.when(so_far, float(c)).otherwise(certified)
-        counts = counts.select("*", *(p.alias(f"_{s}_{k}") for k, p in enumerate(passed)))
-        cutoffs.append(certified.alias(f"cut_{s}"))
-    return counts.select("stratum", *cutoffs)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    tests = counts.select("stratum", "n", F.posexplode("_x").alias("k", "x"))
+    judged = binomial_tails(tests, ("stratum", "k"), risk).withColumn("passed", F.col("p") <= F.col("n") * delta / total)
+    # k counts from 0: the first that stands is the number of rungs certified before it.
+    fell = judged.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("passed"), F.col("k"))), F.lit(RUNGS)).cast("int").alias("certified"))
+    return fell.where("certified > 0")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", keep: tuple[str, ...] = (), risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The measures of every row of docs, with kept: false if the base rules fail or a signal is above its stratum's certified cutoff.
+    """The measures of every row of docs, with kept: false if the base rules fail or the stratum's certified rung rejects it.
 
-    labels has doc_id and quality (1 is good; null is no label). An empty table of labels certifies
-    nothing, and the base rules alone decide. A null stratum belongs with those that have no
-    cutoffs of their own. Columns named in keep are carried along, and written with the measures.
+    labels has doc_id and quality (1 is good; null is no label; repeated rows count once). An empty
+    table of labels certifies nothing, and the base rules alone decide, as they do in strata without
+    enough labels. A null stratum is a stratum. Rows of docs that repeat a doc_id are judged each by its
+    own text, and each counts as labelled. An empty table gives an empty result. Columns named in keep
+    are carried along, whatever their names but those of the result.
     """
-    docs = docs.withColumn("_stratum", F.col(stratum_col).cast("string"))
     at = scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.struct(F.col(stratum_col).cast("string").alias("stratum"), *(F.col(c) for c in keep)).alias("__kept"))
     # The measures are a few numbers a document: written once, they serve the fit and the verdicts.
-    measured = materialise(measure(docs, id_col, text_col, "_stratum", *keep), f"{at}/measured")
-    cutoffs = materialise(fit_cutoffs(measured, labels, "_stratum", risk, delta), f"{at}/cutoffs")
-    # The table of cutoffs has STRATA + 1 rows at most.
-    named = F.broadcast(cutoffs.where(F.col("stratum") != _REST).select("stratum", F.struct(*(f"cut_{s}" for s in GRID)).alias("_own")))
-    rest = F.broadcast(cutoffs.where(F.col("stratum") == _REST).select(F.struct(*(f"cut_{s}" for s in GRID)).alias("_others"), F.lit(1).alias("_one")))
-    out = measured.join(named, F.col("_stratum") == F.col("stratum"), "left").withColumn("_1", F.lit(1)).join(rest, F.col("_1") == F.col("_one"), "left")
-    fails = F.lit(False)
-    for s in GRID:
-        cut = F.when(F.col("stratum").isNotNull(), F.col(f"_own.cut_{s}")).otherwise(F.col(f"_others.cut_{s}"))
-        fails = fails | F.coalesce(F.col(s) > cut, F.lit(False))
-    return out.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~fails).alias("kept"), *GRID)
+    measured = materialise(measure(rows, "doc_id", "__text", "__kept"), f"{at}/measured")
+    fitted = fit_rungs(measured.withColumn("__stratum", F.col("__kept.stratum")), labels, "__stratum", risk, delta)
+    # One row per certified stratum; both sides have known sizes, so few strata are broadcast and many are not.
+    fitted = materialise(fitted, f"{at}/rungs")
+    out = measured.join(fitted, F.col("__kept.stratum").eqNullSafe(F.col("stratum")), "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("rung") > F.col("certified"), F.lit(True))
+    return out.select("doc_id", *(F.col("__kept").getField(c).alias(c) for c in keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *LADDER, "rung")
