@@ -65,7 +65,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/archives"
     write_archives(tables(spark, sf_dir, "pages"), path)
-    found = read_archives(spark, path).withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload", "url")
+    found = read_archives(spark, path).where("record_type in ('response', 'revisit')").withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload", "url", "record_id")
     return resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
