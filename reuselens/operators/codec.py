@@ -7,6 +7,7 @@ import lzma
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,15 +29,11 @@ def delta_decode(rows: DataFrame, group: str, order: str, value: str) -> DataFra
 
 
 def _delta(data: bytes) -> bytes:
-    return bytes((a - b) & 255 for a, b in zip(data, b"\0" + data, strict=False))
+    return np.diff(np.frombuffer(data, np.uint8), prepend=np.uint8(0)).tobytes()
 
 
 def _undelta(data: bytes) -> bytes:
-    total, out = 0, bytearray()
-    for b in data:
-        total = (total + b) & 255
-        out.append(total)
-    return bytes(out)
+    return np.cumsum(np.frombuffer(data, np.uint8), dtype=np.uint8).tobytes()
 
 
 def pack(data: bytes, codec: str, modifier: str = "none") -> bytes:
@@ -75,6 +72,18 @@ def sizes(blobs: DataFrame, codecs: tuple[str, ...] = ("none", "zlib", "lzma"),
     return blobs.select("id", "data").mapInPandas(run, "id long, codec string, modifier string, original long, packed long")
 
 
+def round_trips(blobs: DataFrame, codecs: tuple[str, ...] = tuple(CODECS), modifiers: tuple[str, ...] = tuple(MODIFIERS)) -> DataFrame:
+    """(id, codec, modifier, original, same) for blobs (id, data): whether every choice gives the data back."""
+    choices = [(c, m) for c in codecs for m in modifiers]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, c, m, len(d), (d if c == m == "none" else unpack(pack(d, c, m))) == d) for i, d in zip(pdf.id, map(bytes, pdf.data), strict=True) for c, m in choices]
+            yield pd.DataFrame(rows, columns=["id", "codec", "modifier", "original", "same"])
+
+    return blobs.select("id", "data").mapInPandas(run, "id long, codec string, modifier string, original long, same boolean")
+
+
 def choose(found: DataFrame, force: str | None = None) -> DataFrame:
     """(id, codec, modifier, original, packed) of the smallest, or of the forced codec however large; ties by name."""
     if force:

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import ranked
 
-def fresh_ids(values: DataFrame, value: str, first: int = 1, prefix: int = 3) -> DataFrame:
-    """(id, value): the distinct values numbered in their order, without gaps.
 
-    Values are numbered within their first characters; only the counts of these prefixes are summed
-    in one place, so no task has to number all values. The numbers depend on the values alone,
-    whatever is run again.
-    """
-    rows = values.where(F.col(value).isNotNull()).select(value).distinct().withColumn("_prefix", F.substring(value, 1, prefix))
-    counts = rows.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_prefix", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_prefix").orderBy(value))
-    return rows.withColumn("_own", own).join(offsets, "_prefix").select((F.col("_before") + F.col("_own") + first - 1).alias("id"), value)
+def fresh_ids(values: DataFrame, value: str, first: int = 1) -> DataFrame:
+    """(id, value): the distinct values numbered in their order, without gaps. Ranges of values are numbered by tasks of their own, whatever the values begin with. The numbers depend on the values alone."""
+    rows = values.where(F.col(value).isNotNull()).select(value).distinct()
+    return ranked(rows, (), (value,), "_id").select((F.col("_id") + first).alias("id"), value)
 
 
 def insert_or_ignore(existing: DataFrame, values: DataFrame, value: str) -> DataFrame:

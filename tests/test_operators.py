@@ -1,6 +1,7 @@
 """Planted copies, round trips and edge cases of the operators."""
 
 import json
+import random
 import zipfile
 
 import pytest
@@ -131,6 +132,24 @@ def test_size_batches(spark):
     assert [got[("a", k)] for k in range(6)] == [0, 0, 1, 1, 2, 2] and got[("b", 9)] == 0
 
 
+@pytest.mark.parametrize("limit", [5, 40, 1000])
+def test_size_batches_over_many_runs(spark, limit):
+    rng = random.Random(limit)
+    data = [(g, k, rng.choice([0, 0, 1, 3, 7, 60])) for g in ("a", None) for k in range(700 if g else 90)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {(r.g, r.k): r.batch_no for r in batches.size_batches(spark.createDataFrame(data, "g string, k long, s long"), "g", "k", "s", limit).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, last = {}, ()
+    for g, k, size in data:
+        if last != (g,):
+            last, total, no = (g,), 0, 0
+        elif total > limit:
+            total, no = 0, no + 1
+        total += size
+        want[g, k] = no
+    assert got == want
+
+
 @pytest.mark.parametrize("modifier", codec.MODIFIERS)
 @pytest.mark.parametrize("name", codec.CODECS)
 @pytest.mark.parametrize("width", [1, 4])
