@@ -146,13 +146,28 @@ def _bucket_links(radius: int):
     return run
 
 
-def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (p, a, b) that connect the distinct values fp of each p which differ in at most radius of their 64 bits, directly or over others."""
-    return bucket_forests(values, radius).select("p", "a", "b")
+def _finer(radius: int, step: int):
+    """Over rows (p, fp, fixed): (p, mask, fp) by the covering masks of the bits that fixed leaves free. Masks are made where they are needed, so no table of them travels."""
 
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            p, fp, fixed = (np.asarray(x) for x in batch.columns)
+            for f in np.unique(fixed).tolist():
+                if f not in known:
+                    bits = f & (1 << 64) - 1
+                    known[f] = np.array([_signed(bits | m) for m in covering_masks(radius, tuple(b for b in range(64) if not bits >> b & 1), _SEED + step)], np.int64)
+                some = np.flatnonzero(fixed == f)
+                for at in range(0, len(some), 1024):
+                    part = some[at : at + 1024]
+                    times = len(known[f])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p[part], times)), pa.array(np.tile(known[f], len(part))), pa.array(np.repeat(fp[part], times))], ["p", "mask", "fp"])
 
-def bucket_forests(values: DataFrame, radius: int, reach: int | None = None, first: list[int] | None = None) -> DataFrame:
-    """(p, mask, a, b): in the bucket of a by a mask, b is the smallest value that steps of at most reach bits (radius if not given) lead to. Masks `first` may take the place of the covering ones in round 1.
+    return run
+
+
+def hamming_links(values: DataFrame, radius: int = 4) -> DataFrame:
+    """Links (p, a, b) that connect the distinct values fp of each p which differ in at most radius of their 64 bits, directly or over others.
 
     Round 1 deals every value to 2 ** (radius + 1) - 1 covering masks, and compares what meets in a
     bucket. A bucket of more than BUCKET values is not compared: its values, which agree on the bits
@@ -160,24 +175,20 @@ def bucket_forests(values: DataFrame, radius: int, reach: int | None = None, fir
     the fourth round at the latest has so few bits left that no bucket can be larger, unless it holds
     more values than there are. Each bucket gives a spanning forest of its links, not all its pairs.
     """
-    spark, at = values.sparkSession, scratch(values.sparkSession)
+    at = scratch(values.sparkSession)
     found, todo = [], values.select("p", "fp")
     key = F.col("fp").bitwiseAND(F.col("mask"))
     for step in range(6):
-        if not step:
-            masks = first or covering_masks(radius, tuple(range(64)), _SEED)
-            dealt = todo.select("p", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"), "fp")
+        if step:
+            dealt = todo.select("p", "fp", "fixed").mapInArrow(_finer(radius, step), "p int, mask long, fp long")
         else:
-            # One row per mask that some large bucket was dealt by, and mask of its other bits.
-            table = [(_signed(f), _signed(f | m)) for f in fixed for m in covering_masks(radius, tuple(b for b in range(64) if not f >> b & 1), _SEED + step)]
-            dealt = todo.join(F.broadcast(spark.createDataFrame(table, "fixed long, mask long")), "fixed").select("p", "mask", "fp")
+            dealt = todo.select("p", F.explode(F.array(*(F.lit(_signed(m)) for m in covering_masks(radius, tuple(range(64)), _SEED)))).alias("mask"), "fp")
         # In order of the values, so that buckets which hold the same group link it to the same few values.
         dealt = dealt.repartition("p", "mask", key).sortWithinPartitions("p", "mask", key, "fp")
-        made = materialise(dealt.mapInArrow(_bucket_links(reach or radius), "p int, a long, b long, mask long"), f"{at}/{step}")
-        found.append(made.where("b is not null").select("p", "mask", "a", "b"))
+        made = materialise(dealt.mapInArrow(_bucket_links(radius), "p int, a long, b long, mask long"), f"{at}/{step}")
+        found.append(made.where("b is not null").select("p", "a", "b"))
         todo = made.where("b is null").select("p", F.col("a").alias("fp"), F.col("mask").alias("fixed")).distinct()
-        fixed = sorted(r.fixed & (1 << 64) - 1 for r in todo.select("fixed").distinct().collect())  # masks of this step, a function of radius and seed
-        if not fixed:
+        if todo.isEmpty():
             break
     else:
         raise RuntimeError("buckets did not shrink")
@@ -223,7 +234,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts have fingerprints 0 and are linked like any other. Equal fingerprints are one
     class throughout, so copies are never compared with each other. Null ids take part, but give a
-    component its id only if it has no other. An empty table gives an empty result.
+    component its id only if it has no other. Rows that repeat a doc_id are rows of their own, and
+    texts are read whole, however long. An empty table gives an empty result. Other columns of docs
+    are not read but for keep.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     rows = materialise(fingerprints(docs, id_col, text_col, words, prints, keep), f"{at}/fps")
