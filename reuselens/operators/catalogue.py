@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATES = ("Idle", "Started", "Running", "Aborted", "Finished")
@@ -61,3 +61,13 @@ def nested(tables: dict[str, DataFrame]) -> DataFrame:
     p = tables["project"].select(F.col("id").alias("project_id"), "group_id")
     s = tables["scan"].groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("id", "name"))).alias("scans"))
     return v.join(p, "project_id").join(s, "version_id", "left").select("group_id", "project_id", "version_id", "scans")
+
+
+def save(tables: dict[str, DataFrame], path: str) -> None:
+    """Writes the catalogue's tables below path, each as a whole, so a reader meets the old table or the new one."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("group", "project", "version", "scan")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 
 def dedup_exact(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(keep_id, n): the smallest id of each distinct text and how many have it. Texts meet as digests."""
@@ -24,18 +26,34 @@ def rebuild(units: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(units, "unit").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x.body), "\n").alias("text"))
 
 
-def reduce_blocks(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units (unit, syms), index (file_id, pos, unit)) of a symbol stream with depth: the top-level runs between brackets stand for subtrees; names and lines do not count."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("file_id").orderBy("pos")
-    ends = (F.col("depth") == 0) & F.coalesce(F.lag("depth").over(w) == 0, F.lit(True)) & F.coalesce(F.lag("name").over(w).isin("}", ";"), F.lit(True))
-    parts = stream.withColumn("_new", ends.cast("int")).withColumn("part", F.sum("_new").over(w))
-    parts = parts.groupBy("file_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x.sym).alias("syms"))
-    parts = parts.withColumn("unit", F.sha2(F.array_join(F.transform("syms", lambda x: x.cast("string")), ","), 256))
-    return parts.groupBy("unit").agg(F.first("syms").alias("syms")), parts.select("file_id", F.col("part").cast("long").alias("pos"), "unit")
-
-
-def rebuild_blocks(units: DataFrame, index: DataFrame) -> DataFrame:
-    """(file_id, syms): the inverse of reduce_blocks."""
-    return index.join(units, "unit").groupBy("file_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "syms"))), lambda x: x.syms)).alias("syms"))
+def reduce_tree(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units (unit, items), roots (file_id, items)) of a symbol stream with parent and end: each distinct subtree, which is a bracket and what it holds, once. items are (sym, unit) in order: a symbol, or a symbol that opens the subtree unit. Names and lines do not count.
+
+    A subtree is a run of its file's symbols, so its unit is the hash of that run, taken inside the row
+    of the file, and separate runs of a job agree on it.
+    """
+    held = stream.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym", "parent", "end"))).alias("_t"))
+    held = held.withColumn("_syms", F.col("_t.sym"))
+    hashed = F.transform("_t", lambda t: F.struct(t.pos.alias("pos"), t.sym.alias("sym"), t.parent.alias("parent"), F.when(t.end > t.pos, F.sha2(F.array_join(F.slice("_syms", t.pos.cast("int") + 1, (t.end - t.pos + 1).cast("int")).cast("array<string>"), ","), 256)).alias("unit")))
+    rows = held.select("file_id", F.explode(hashed).alias("t")).select("file_id", "t.*")
+    nodes = rows.groupBy("file_id", "parent").agg(F.array_sort(F.collect_list(F.struct("pos", "sym", "unit"))).alias("_i"))
+    nodes = nodes.select("file_id", "parent", F.transform("_i", lambda x: F.struct(x.sym.alias("sym"), x.unit.alias("unit"))).alias("items"))
+    named = rows.where("unit is not null").select("file_id", F.col("pos").alias("parent"), "unit")
+    return nodes.join(named, ["file_id", "parent"]).groupBy("unit").agg(F.first("items").alias("items")), nodes.where("parent = -1").select("file_id", "items")
+
+
+def rebuild_tree(units: DataFrame, roots: DataFrame) -> DataFrame:
+    """(file_id, syms): the inverse of reduce_tree. Each round opens the subtrees of one level, so there are as many rounds as the deepest tree has levels."""
+    units = materialise(units)
+    open_ = roots.select("file_id", F.posexplode("items").alias("k", "i")).select("file_id", F.array("k").alias("at"), "i.*")
+    done = None
+    while True:
+        open_ = materialise(open_)
+        done = open_.select("file_id", "at", "sym") if done is None else done.union(open_.select("file_id", "at", "sym"))
+        inner = open_.where("unit is not null")
+        if inner.isEmpty():
+            break
+        inner = inner.select("file_id", "at", "unit").join(units, "unit").select("file_id", "at", F.posexplode("items").alias("k", "i"))
+        open_ = inner.select("file_id", F.concat("at", F.array("k")).alias("at"), "i.*")
+    # A bracket comes before what it holds, as a shorter array comes before a longer one that begins with it.
+    return done.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sym"))), lambda x: x.sym).alias("syms"))

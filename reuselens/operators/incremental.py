@@ -45,6 +45,31 @@ def since(rows: DataFrame, time_col: str, moment: str) -> DataFrame:
     return rows.where(F.col(time_col) > F.lit(moment).cast("timestamp"))
 
 
+def passes_filters(repos: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """The repository records worth a second request: of a language that is searched, with a name and a licence, and not empty of pushes."""
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return repos.where(F.col("language").isin(*languages) & named("full_name") & named("license") & named("last_pushed"))
+
+
+def resolved_tags(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """(repo, tag, sha) of refs (repo, tag, sha, annotated): an annotated tag gets the commit that its tag object names; objects is (sha, commit_sha). A tag whose object is missing, or names no commit, is dropped."""
+    o = objects.groupBy(F.col("sha").alias("_sha")).agg(F.max("commit_sha").alias("_commit"))
+    found = refs.join(o, refs["sha"] == o["_sha"], "left").withColumn("sha", F.when(F.col("annotated"), F.col("_commit")).otherwise(F.col("sha")))
+    return found.where("sha is not null").select("repo", "tag", "sha")
+
+
+def cursor(rows: DataFrame, time_col: str, id_col: str) -> DataFrame:
+    """(moment, last_id): how far a crawl has come, by time and then id; one row, null for no rows."""
+    return rows.agg(F.max(F.struct(F.col(time_col).alias("moment"), F.col(id_col).alias("last_id"))).alias("_c")).select("_c.moment", "_c.last_id")
+
+
+def after_cursor(rows: DataFrame, at: DataFrame, time_col: str, id_col: str) -> DataFrame:
+    """The rows that a cursor has not reached. at has one row, so its values become part of the filter."""
+    moment, last = (at.select(c).scalar() for c in ("moment", "last_id"))
+    later = (F.col(time_col) > moment) | ((F.col(time_col) == moment) & (F.col(id_col) > last))
+    return rows.where(moment.isNull() | later)
+
+
 def select_repos(repos: DataFrame, languages: tuple[str, ...], need_tags: bool = True) -> DataFrame:
     """(repo, tag, sha) of repos of the languages; with need_tags false also repos without tags, once, with null."""
     rows = repos.where(F.col("language").isin(*languages))

@@ -75,6 +75,15 @@ def search(base: DataFrame, wanted: DataFrame, k: int = WINDOW, fast: bool = Fal
     return hits.select("base_id", "search_id").distinct() if fast else merged(hits, k)
 
 
+def search_all(bases: dict[str, DataFrame], wanted: DataFrame, k: int = WINDOW) -> DataFrame:
+    """search() in several sets of files, with the set's name as origin."""
+    found = [search(base, wanted, k).withColumn("origin", F.lit(name)) for name, base in bases.items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def shares_window(base: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(search_id) of the files of wanted that share a window with any of base."""
     return search(base, wanted, k, fast=True).select("search_id").distinct()

@@ -25,6 +25,26 @@ def files_of(rows: DataFrame, data_id: int, tag_id: int) -> DataFrame:
     return rows.select(F.xxhash64(F.lit(data_id), F.lit(tag_id), "file_index").alias("id"), F.lit(data_id).cast("long").alias("data_id"), "file_index", "path_id", F.lit(tag_id).cast("long").alias("tag_id"))
 
 
+def tags_of(tags: DataFrame) -> DataFrame:
+    """Tag rows (id, tag_name, sha) of tags (repo, tag, sha): a tag of a repository at a commit has one id, whoever writes it."""
+    return tags.select(F.xxhash64("repo", "tag", "sha").alias("id"), F.col("tag").alias("tag_name"), "sha").dropDuplicates(["id"])
+
+
+def names_of(values: DataFrame, value: str) -> DataFrame:
+    """Rows (id, name) of the distinct values of a column, for paths and licences; ids come from the values."""
+    return values.where(F.col(value).isNotNull()).select(F.xxhash64(value).alias("id"), F.col(value).alias("name")).distinct()
+
+
+def snippets_of(rows: DataFrame, data_id: int) -> DataFrame:
+    """Snippet rows (id, internal_id, licence_id, data_id, data_index) of rows (internal_id, licence, data_index) whose trees are in one blob."""
+    return rows.select(F.xxhash64(F.lit(data_id), "data_index").alias("id"), "internal_id", F.xxhash64("licence").alias("licence_id"), F.lit(data_id).cast("long").alias("data_id"), "data_index")
+
+
+def results(found: DataFrame, scan_id: int, kind: str, path: str) -> None:
+    """Adds results of a scan, "shallow" or "deep", to the table at path."""
+    append(found.withColumn("scan_id", F.lit(scan_id).cast("long")).withColumn("kind", F.lit(kind)), path, ("scan_id", "kind"))
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
     """rows with the value that table (key, value) has for their key, else the default. Of repeated keys the largest value counts, so no row is doubled."""
     t = table.groupBy(F.col(key).alias("_k")).agg(F.max(value).alias(value))

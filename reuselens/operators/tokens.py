@@ -69,24 +69,55 @@ def cpp_tokens(source: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
+# Marks of C and C++ that stand alone, fixed by the languages.
+CPP_MARKS = frozenset("{}[]()#<>=+-*/%&|^!~?:;,.")
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+
+
+def nested(found: list[tuple[int, int, str, str]]) -> tuple[list[int], list[int], list[bool]]:
+    """(parent, end, error) of tokens as cpp_tokens gives them: the place of the bracket that a token stands in, -1 at the top; the last place of what a bracket opens, itself for other tokens; and whether it is an error: a mark that the language does not have, a bracket that closes nothing, or one that is never closed. A closing bracket stands in what it closes."""
+    parent, end, error, open_ = [], [], [], []
+    for k, (_, _, kind, text) in enumerate(found):
+        bad = len(kind) == 1 and not kind.isalnum() and kind not in CPP_MARKS
+        closes = kind in _PAIRS and any(found[i][2] == _PAIRS[kind] for i in open_)
+        bad |= kind in _PAIRS and not closes
+        while closes and found[open_[-1]][2] != _PAIRS[kind]:  # what was not closed ends before
+            i = open_.pop()
+            error[i], end[i] = True, k - 1
+        parent.append(open_[-1] if open_ else -1)
+        end.append(k)
+        error.append(bad)
+        if closes:
+            end[open_.pop()] = k
+        elif kind in _PAIRS.values():
+            open_.append(k)
+    for i in open_:
+        error[i], end[i] = True, len(found) - 1
+    return parent, end, error
+
+
 def cpp_stream(files: DataFrame, id_col: str, text_col: str = "content") -> DataFrame:
-    """(file_id, pos, sym, name, line, depth) of C and C++ files; a symbol stands for a token's class."""
+    """(file_id, pos, sym, name, line, depth, parent, end, error) of C and C++ files; a symbol stands for a token's class, and parent, end and error are those of nested()."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, k, kind, name, line, depth) for i, text in zip(pdf.file_id, pdf.text, strict=True) for k, (line, depth, kind, name) in enumerate(cpp_tokens(text or ""))]
-            yield pd.DataFrame(rows, columns=["file_id", "pos", "kind", "name", "line", "depth"])
+            rows = []
+            for i, text in zip(pdf.file_id, pdf.text, strict=True):
+                found = cpp_tokens(text or "")
+                rows += [(i, k, kind, name, line, depth, *more) for k, ((line, depth, kind, name), more) in enumerate(zip(found, zip(*nested(found), strict=True), strict=True))]
+            yield pd.DataFrame(rows, columns=["file_id", "pos", "kind", "name", "line", "depth", "parent", "end", "error"])
 
     rows = files.select(F.col(id_col).cast("long").alias("file_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(run, "file_id long, pos long, kind string, name string, line long, depth long")
-    return out.select("file_id", "pos", symbol_of(F.col("kind")).alias("sym"), "name", "line", "depth")
+    out = rows.mapInPandas(run, "file_id long, pos long, kind string, name string, line long, depth long, parent long, end long, error boolean")
+    return out.select("file_id", "pos", symbol_of(F.col("kind")).alias("sym"), "name", "line", "depth", "parent", "end", "error")
 
 
 def text_stream(files: DataFrame, id_col: str, text_col: str = "content") -> DataFrame:
-    return token_stream(files, id_col, text_col).withColumn("depth", F.lit(0).cast("long"))
+    rows = token_stream(files, id_col, text_col)
+    return rows.select("*", F.lit(0).cast("long").alias("depth"), F.lit(-1).cast("long").alias("parent"), F.col("pos").alias("end"), F.lit(False).alias("error"))
 
 
-#: Source type to what makes (file_id, pos, sym, name, line, depth) of its files; register() adds to it.
+#: Source type to what makes (file_id, pos, sym, name, line, depth, parent, end, error) of its files; register() adds to it.
 HANDLERS: dict[str, Callable[..., DataFrame]] = {"cpp": cpp_stream, "text": text_stream}
 #: Extension to source type.
 FILE_TYPES = {"c": "cpp", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "h": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "txt": "text", "md": "text"}
@@ -102,6 +133,12 @@ def symbol_arrays(stream: DataFrame) -> DataFrame:
     return stream.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym"))), lambda x: x.sym).alias("syms"))
 
 
+def deep_arrays(stream: DataFrame) -> DataFrame:
+    """(file_id, syms, names, lines) of a stream: symbol_arrays with the name and line of each symbol."""
+    held = stream.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym", "name", "line"))).alias("_t"))
+    return held.select("file_id", F.col("_t.sym").alias("syms"), F.col("_t.name").alias("names"), F.col("_t.line").alias("lines"))
+
+
 def rewrite_symbols(stream: DataFrame, mapping: DataFrame) -> DataFrame:
     """A handler's filter: symbols that mapping (sym, new_sym) names are replaced, and dropped where new_sym is null."""
     joined = stream.join(mapping.withColumnRenamed("sym", "_sym").withColumn("_in", F.lit(True)), stream["sym"] == F.col("_sym"), "left")
@@ -109,6 +146,5 @@ def rewrite_symbols(stream: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def error_share(stream: DataFrame) -> DataFrame:
-    """(file_id, n_tokens, n_errors): marks that no token of the language has."""
-    odd = F.col("name").isin("@", "$", "`")
-    return stream.groupBy("file_id").agg(F.count("*").alias("n_tokens"), F.count_if(odd).alias("n_errors"))
+    """(file_id, n_tokens, n_errors) of a stream: marks that the language does not have and brackets without their counterpart."""
+    return stream.groupBy("file_id").agg(F.count("*").alias("n_tokens"), F.count_if("error").alias("n_errors"))

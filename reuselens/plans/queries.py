@@ -462,14 +462,203 @@ _CODE = {
 }
 
 
-@query("SELECT * FROM (VALUES ('a.cpp', 'b.cpp', 0, 35), ('a.cpp', 'c.cpp', 0, 26), ('b.cpp', 'c.cpp', 0, 26)) t(base_path, search_path, base_start, base_end)")
+def _code(spark):
+    return files.scan_buffers(spark, _CODE).where("source_type = 'cpp'")
+
+
+_PATHS = ("base_path", "search_path", "base_start", "base_end", "search_start", "search_end")
+
+
+def _code_ranges(spark, deep: bool):
+    """Shared runs of 10 symbols and more between the files of code, each pair of files once."""
+    scanned = files.scan_deep(_code(spark))
+    pairs = materialise(search.search(scanned, scanned, 10).where("base_id < search_id"))
+    pairs = search.deep_ranges(pairs, scanned, scanned) if deep else pairs
+    names = scanned.select("file_id", "path")
+    out = pairs.join(names.toDF("base_id", "base_path"), "base_id").join(names.toDF("search_id", "search_path"), "search_id")
+    # Ids are hashes of paths; the pair is told in order of the paths.
+    swap = F.col("base_path") > F.col("search_path")
+    sides = [(f"base_{x}", f"search_{x}") for x in ("path", "start", "end", *(("start_line", "end_line") if deep else ()))]
+    return out.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in sides), *(F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in sides), *(("n_renamed",) if deep else ()))
+
+
+@query("""SELECT base_path, search_path, base_start::bigint AS base_start, base_end::bigint AS base_end, search_start::bigint AS search_start, search_end::bigint AS search_end
+    FROM (VALUES ('a.cpp', 'b.cpp', 0, 35, 0, 35), ('a.cpp', 'c.cpp', 0, 26, 0, 26), ('b.cpp', 'c.cpp', 0, 26, 0, 26)) t(base_path, search_path, base_start, base_end, search_start, search_end)""")
 def cpp_search(spark, sf_dir):
-    found = files.scan_buffers(spark, _CODE).where("source_type = 'cpp'")
-    arrays = tokens.symbol_arrays(files.streams(found)).join(found.select(F.xxhash64("path").alias("file_id"), "path"), "file_id")
-    by_name = F.row_number().over(search.Window.orderBy("path"))  # five files
-    arrays = arrays.select(by_name.cast("long").alias("file_id"), "path", "syms")
-    hits = search.candidates(arrays, arrays, 10).where("base_id < search_id and base_pos = search_pos")
-    out = search.merged(search.verified(hits, arrays, arrays, 10), 10)
-    names = arrays.select("file_id", "path")
-    out = out.join(names.toDF("base_id", "base_path"), "base_id").join(names.toDF("search_id", "search_path"), "search_id")
-    return out.groupBy("base_path", "search_path").agg(F.min("base_start").cast("int").alias("base_start"), F.max("base_end").cast("int").alias("base_end"))
+    return _code_ranges(spark, deep=False)
+
+
+@query("""SELECT base_path, search_path, base_start::bigint AS base_start, base_end::bigint AS base_end, search_start::bigint AS search_start, search_end::bigint AS search_end, base_start_line::bigint AS base_start_line, base_end_line::bigint AS base_end_line,
+    search_start_line::bigint AS search_start_line, search_end_line::bigint AS search_end_line, n_renamed::bigint AS n_renamed
+    FROM (VALUES ('a.cpp', 'b.cpp', 0, 35, 0, 35, 1, 5, 1, 6, 11), ('a.cpp', 'c.cpp', 0, 26, 0, 26, 1, 3, 1, 3, 0), ('b.cpp', 'c.cpp', 0, 26, 0, 26, 1, 4, 1, 3, 8))
+    t(base_path, search_path, base_start, base_end, search_start, search_end, base_start_line, base_end_line, search_start_line, search_end_line, n_renamed)""")
+def cpp_search_deep(spark, sf_dir):
+    return _code_ranges(spark, deep=True)
+
+
+@query("SELECT * FROM (VALUES ('a.cpp', 36::bigint, true), ('b.cpp', 36, true), ('c.cpp', 36, true)) t(path, n_symbols, same)")
+def tree_round_trip(spark, sf_dir):
+    """Trees of code are reduced to distinct subtrees and rebuilt."""
+    scanned = files.scan_deep(_code(spark)).select("file_id", "path", "syms")
+    back = dedup.rebuild_tree(*dedup.reduce_tree(files.streams(_code(spark)))).select("file_id", F.col("syms").alias("back"))
+    return scanned.join(back, "file_id", "left").select("path", F.size("syms").cast("long").alias("n_symbols"), F.coalesce(F.col("syms") == F.col("back"), F.lit(False)).alias("same"))
+
+
+@query("SELECT * FROM (VALUES ('bad.cpp', 14::bigint, 5::bigint), ('good.cpp', 11, 0)) t(path, n_tokens, n_errors)")
+def error_tokens(spark, sf_dir):
+    found = files.scan_buffers(spark, {"good.cpp": "int f(int a) { return a; }", "bad.cpp": "int @f(int a)) { return a; ` ["})
+    counts = tokens.error_share(files.streams(found))
+    return found.select(F.xxhash64("path").alias("file_id"), "path").join(counts, "file_id").select("path", "n_tokens", "n_errors")
+
+
+# Dumps, stored tables and refs
+
+
+@query(r"""SELECT page_id AS snippet_id, body AS code FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(unnest(b), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&#34;', '"'), '&#xA;', chr(10)), '&#xD;', chr(13)), '&amp;', '&') AS body
+    FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS b FROM pages)) WHERE body <> ''""")
+def dump_snippets(spark, sf_dir):
+    posts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("snippet_id"), F.lit("").alias("date"), F.lit("").alias("licence"), F.col("html").alias("body"))
+    return files.dump_snippets(posts, "p").select("snippet_id", "code")
+
+
+@query("SELECT c_custkey, c_mktsegment AS owner, replace(c_name, '#', '-') AS name FROM customer")
+def repo_owners(spark, sf_dir):
+    url = F.concat(F.lit("https://host.org/"), "c_mktsegment", F.lit("/"), F.replace("c_name", F.lit("#"), F.lit("-")), F.lit(".git"))
+    owner, name = scalars.owner_and_name(url)
+    return table(spark, sf_dir, "customer").select("c_custkey", owner.alias("owner"), name.alias("name"))
+
+
+@query("SELECT o_orderkey, (o_orderpriority[1:1])::bigint AS number, CASE WHEN o_orderstatus IN ('O', 'F') THEN o_orderstatus ELSE '?' END AS status FROM orders")
+def header_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.header_long(F.col("o_orderpriority"), 0).alias("number"), scalars.one_of(F.col("o_orderstatus"), ("O", "F"), "?").alias("status"))
+
+
+def _trees(spark, sf_dir):
+    """Blobs with two trees each, of a part's numbers."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("data_id"), F.explode(F.array(F.struct(F.lit(1).cast("long").alias("data_index"), F.array(F.col("p_size").cast("long")).alias("syms")), F.struct(F.lit(2).cast("long").alias("data_index"), F.array(F.col("p_size").cast("long"), F.lit(7).cast("long")).alias("syms")))).alias("t"))
+    return rows.select("data_id", "t.data_index", "t.syms")
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS file_id, coalesce(s_name, '') AS path, o_orderpriority AS sha, CASE WHEN l_linenumber = 1 THEN p_size ELSE p_size + 7 END::bigint AS total
+    FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey > 3 WHERE l_linenumber <= 2""")
+def stored_files(spark, sf_dir):
+    """Files joined with their blob, tag and path; a file whose index its blob lacks is dropped."""
+    file = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("data_id"), F.col("l_linenumber").cast("long").alias("file_index"), F.col("l_suppkey").alias("path_id"), F.col("l_orderkey").alias("tag_id"))
+    tag = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("sha"))
+    name = table(spark, sf_dir, "supplier").where("s_suppkey > 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return store.files(file, tag, name, _trees(spark, sf_dir)).select("file_id", "path", "sha", F.aggregate("syms", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("""SELECT l_orderkey AS internal_id, coalesce(r_name, '') AS licence, CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END::bigint AS n FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN region ON r_regionkey = l_suppkey % 7 WHERE l_linenumber <= 2""")
+def stored_snippets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(0).cast("long").alias("id"), F.col("l_orderkey").alias("internal_id"), (F.col("l_suppkey") % 7).alias("licence_id"), F.col("l_partkey").alias("data_id"), F.col("l_linenumber").cast("long").alias("data_index"))
+    licence = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("licence"))
+    return store.snippets(rows, licence, _trees(spark, sf_dir)).select("internal_id", "licence", F.size("syms").cast("long").alias("n"))
+
+
+@query("SELECT o_custkey AS repo, o_orderkey::varchar AS tag, CASE WHEN o_orderstatus = 'O' THEN 'commit-' || o_orderkey ELSE o_orderpriority END AS sha FROM orders WHERE o_orderstatus <> 'P'")
+def resolved_refs(spark, sf_dir):
+    """Refs parsed from JSON; annotated tags get the commit of their tag object, and go if that is missing."""
+    annotated = F.col("o_orderstatus") != "F"
+    sha = F.when(annotated, F.concat(F.lit("object-"), "o_orderkey")).otherwise(F.col("o_orderpriority"))
+    ref = F.struct(F.concat(F.lit("refs/tags/"), "o_orderkey").alias("ref"), F.struct(sha.alias("sha"), F.when(annotated, "tag").otherwise("commit").alias("type")).alias("object"))
+    orders = table(spark, sf_dir, "orders")
+    held = orders.groupBy(F.col("o_custkey").alias("repo")).agg(F.to_json(F.collect_list(ref)).alias("json"))
+    objects = orders.where("o_orderstatus = 'O'").select(F.concat(F.lit("object-"), "o_orderkey").alias("sha"), F.concat(F.lit("commit-"), "o_orderkey").alias("commit_sha"))
+    return incremental.resolved_tags(files.refs(held), objects)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey <> 3 AND c_acctbal >= 0")
+def worth_a_request(spark, sf_dir):
+    repos = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("language"), F.when(F.col("c_nationkey") != 3, "MIT").alias("license"), F.when(F.col("c_acctbal") >= 0, "2024").otherwise("").alias("last_pushed"))
+    return incremental.passes_filters(repos, ("BUILDING", "MACHINERY")).select("c_custkey")
+
+
+@query("SELECT c_name AS repo, o_orderkey::varchar AS tag, o_orderstatus AS sha FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def tags_of_repos(spark, sf_dir):
+    tags = _tags(spark, sf_dir).groupBy("repo").agg(F.collect_list(F.struct(F.col("tag").cast("string").alias("name"), F.col("sha").alias("commit_sha"))).alias("tags"))
+    repos = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("language"))
+    return incremental.select_repos(repos.join(tags, "repo").drop("repo"), ("BUILDING",))
+
+
+@query("""WITH now AS (SELECT user_id, max(ts) AS t FROM events GROUP BY user_id), old AS (SELECT user_id, max(ts) AS t FROM events WHERE event_id % 3 <> 0 GROUP BY user_id)
+    SELECT now.user_id FROM now LEFT JOIN old USING (user_id) WHERE now.t IS DISTINCT FROM old.t""")
+def stale_repos(spark, sf_dir):
+    pushed = lambda rows: rows.groupBy(F.col("user_id").alias("full_name")).agg(F.max("ts").alias("pushed_at"))
+    events = table(spark, sf_dir, "events")
+    return incremental.stale(pushed(events), pushed(events.where("event_id % 3 <> 0"))).select(F.col("full_name").alias("user_id"))
+
+
+@query("SELECT p_partkey, p_partkey % 5 <> 0 AND p_size <= 25 AS reused FROM part")
+def files_to_parse(spark, sf_dir):
+    """A file is parsed again if its path or its content is new."""
+    part = table(spark, sf_dir, "part")
+    now = part.select("p_partkey", F.col("p_partkey").alias("path"), F.col("p_type").alias("content_hash"))
+    before = part.where("p_size <= 25").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")).otherwise("other").alias("content_hash"))
+    changed, reused = incremental.changed_files(now, before)
+    return changed.select("p_partkey", F.lit(False).alias("reused")).unionByName(reused.select("p_partkey", F.lit(True).alias("reused")))
+
+
+@query("WITH c AS (SELECT max(row(ts, event_id)) AS at FROM events WHERE event_id % 10 = 3 AND ts < TIMESTAMP '2024-01-10 00:00:00') SELECT event_id FROM events, c WHERE row(ts, event_id) > c.at")
+def after_the_cursor(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    at = incremental.cursor(events.where("event_id % 10 = 3 and ts < timestamp'2024-01-10 00:00:00'"), "ts", "event_id")
+    return incremental.after_cursor(events, at, "ts", "event_id").select("event_id")
+
+
+# Symbols and codecs
+
+
+@query(r"""WITH t AS (SELECT doc_id AS file_id, unnest(list_filter(string_split_regex(lower(text), '[ \t\n\r\f]+'), lambda t: t <> '')) AS tok FROM documents)
+    SELECT file_id, count(*) AS n, sum(CASE WHEN length(tok) = 3 THEN 3 ELSE ('0x' || substr(md5(tok), 1, 8))::bigint END)::bigint AS syms FROM t WHERE length(tok) <> 2 GROUP BY file_id""")
+def rewritten_symbols(spark, sf_dir):
+    """Words of three characters become one symbol, words of two are dropped."""
+    stream = tokens.token_stream(table(spark, sf_dir, "documents"), "doc_id")
+    short = stream.where(F.length("name").isin(2, 3)).groupBy("sym").agg(F.max(F.when(F.length("name") == 3, F.lit(3).cast("long"))).alias("new_sym"))
+    return tokens.rewrite_symbols(stream, short).groupBy("file_id").agg(F.count("*").alias("n"), F.sum("sym").alias("syms"))
+
+
+@query(f"""WITH {tok("t", "documents", "doc_id")}, h AS (SELECT file_id, list_reduce(list_prepend(len(m)::hugeint, m::hugeint[]), lambda a, x: xor(a, (x + 2654435769 + (a * 64) % 18446744073709551616 + a // 4) % 18446744073709551616)) AS h FROM t)
+    SELECT file_id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::bigint AS hash FROM h""")
+def vector_hashes(spark, sf_dir):
+    return base_files(spark, sf_dir).select("file_id", scalars.vector_hash(F.col("syms")).alias("hash"))
+
+
+@query(rf"""{match_sql()} SELECT r.*, coalesce(lang, '') AS origin FROM ranges r JOIN documents ON doc_id = base_id""")
+def search_by_origin(spark, sf_dir):
+    """The corpus as one set of files for each language, searched one by one."""
+    docs = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
+    names = sorted(r.lang for r in docs.select("lang").distinct().collect())  # the sets, a handful
+    bases = {name: tokens.text_symbols(docs.where(F.col("lang") == name), "doc_id") for name in names}
+    return search.search_all(bases, search_files(spark, sf_dir), K)
+
+
+@query(rf"""WITH l AS {_LINES.format(key="doc_id", source="documents")}, n AS (SELECT file_id, count(*) AS n FROM l GROUP BY file_id) SELECT file_id, count(*) AS n, sum(line)::bigint AS lines FROM l JOIN n USING (file_id) WHERE pos <= n - {K} GROUP BY file_id""")
+def deep_windows(spark, sf_dir):
+    rows = search.windows_deep(tokens.text_deep(table(spark, sf_dir, "documents"), "doc_id"), K)
+    return rows.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+
+
+@query("SELECT doc_id AS id, codec, modifier, strlen(text)::bigint AS original, true AS same FROM documents, (VALUES ('none'), ('lzma'), ('zlib'), ('bz2')) c(codec), (VALUES ('none'), ('delta')) m(modifier)")
+def codec_round_trips(spark, sf_dir):
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    return codec.round_trips(blobs)
+
+
+@query("SELECT doc_id AS id, strlen(text)::bigint AS original, true AS least FROM documents")
+def codec_choice_is_least(spark, sf_dir):
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    sizes = materialise(codec.sizes(blobs))
+    least = sizes.groupBy("id").agg(F.min("packed").alias("_least"))
+    return codec.choose(sizes).join(least, "id").select("id", "original", (F.col("packed") == F.col("_least")).alias("least"))
+
+
+@query("SELECT codec, count(*) AS n, sum(strlen(text))::bigint AS original, CASE WHEN codec = 'none' THEN 1000 END::bigint AS per_mille FROM documents, (VALUES ('none'), ('lzma'), ('zlib')) c(codec) GROUP BY codec")
+def codec_totals(spark, sf_dir):
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    return codec.ratio_report(codec.sizes(blobs)).select("codec", "n", "original", F.when(F.col("codec") == "none", F.col("per_mille")).alias("per_mille"))
+
+
+@query("SELECT * FROM (VALUES ('CVE-1', 'done', 'Close'), ('CVE-2', '', 'Open')) t(cve, comment, status)")
+def cve_status(spark, sf_dir):
+    return rules.cve_status(_rules(spark))

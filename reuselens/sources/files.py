@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blocks, decode_entities, extension
 from ..model import MAX_BYTES, REPO
-from ..operators.tokens import FILE_TYPES, HANDLERS
+from ..operators.tokens import FILE_TYPES, HANDLERS, deep_arrays
 
 
 def file_types(spark: SparkSession) -> DataFrame:
@@ -19,24 +19,44 @@ def file_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(FILE_TYPES.items()), "ext string, source_type string")
 
 
-def typed(files: DataFrame) -> DataFrame:
-    """files (path, content) of a known type and of MAX_BYTES at most, with source_type."""
+def typed(files: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """files (path, content) of a known type and of max_bytes at most, with source_type; None for files of any size. skipped() tells what is left out."""
     kinds = F.create_map(*(F.lit(x) for pair in sorted(FILE_TYPES.items()) for x in pair))
-    return files.where(F.octet_length("content") <= MAX_BYTES).withColumn("source_type", F.try_element_at(kinds, extension(F.col("path")))).where("source_type is not null")
+    files = files if max_bytes is None else files.where(F.octet_length("content") <= max_bytes)
+    return files.withColumn("source_type", F.try_element_at(kinds, extension(F.col("path")))).where("source_type is not null")
 
 
-def scan_path(spark: SparkSession, path: str) -> DataFrame:
+def skipped(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, bytes) of the files below path that scan_path leaves out for their size; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.where(F.col("length") > max_bytes).select("path", F.col("length").alias("bytes"))
+
+
+def scan_path(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """(path, content, source_type) of the supported files below path; larger files are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= MAX_BYTES)
-    return typed(files.select("path", F.decode("content", "UTF-8").alias("content")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    return typed(files.select("path", F.decode("content", "UTF-8").alias("content")), max_bytes)
+
+
+def scan_buffers(spark: SparkSession, buffers: dict[str, str], max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    return typed(spark.createDataFrame(list(buffers.items()), "path string, content string"), max_bytes)
+
+
+def scan_sizes(files: DataFrame) -> DataFrame:
+    """(path, source_type, res_size) of scanned files: the bytes of their symbols, four each."""
+    counts = streams(files).groupBy("file_id").agg((4 * F.count("*")).alias("res_size"))
+    named = files.select(F.xxhash64("path").alias("file_id"), "path", "source_type")
+    return named.join(counts, "file_id", "left").select("path", "source_type", F.coalesce("res_size", F.lit(0)).alias("res_size"))
 
 
-def scan_buffers(spark: SparkSession, buffers: dict[str, str]) -> DataFrame:
-    return typed(spark.createDataFrame(list(buffers.items()), "path string, content string"))
+def scan_deep(files: DataFrame) -> DataFrame:
+    """(file_id, path, source_type, syms, names, lines) of scanned files: the deep mode keeps the text and the line of each symbol."""
+    return deep_arrays(streams(files)).join(files.select(F.xxhash64("path").alias("file_id"), "path", "source_type"), "file_id")
 
 
 def streams(files: DataFrame) -> DataFrame:
-    """(file_id, pos, sym, name, line, depth, source_type) of files, by the handler of their type. file_id is the path's hash."""
+    """(file_id, pos, sym, name, line, depth, parent, end, error, source_type) of files, by the handler of their type. file_id is the path's hash."""
     out = None
     for source_type, handler in HANDLERS.items():
         some = files.where(F.col("source_type") == source_type).select(F.xxhash64("path").alias("file_id"), "content")
@@ -45,15 +65,15 @@ def streams(files: DataFrame) -> DataFrame:
     return out
 
 
-def unzip(archives: DataFrame) -> DataFrame:
-    """(archive, path, content) of the files in archives (path, content binary); each file is a row of its own."""
+def unzip(archives: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(archive, path, content) of the files in archives (path, content binary) of max_bytes at most; each file is a row of its own."""
 
     def run(batches):
         for pdf in batches:
             for name, data in zip(pdf.path, pdf.content, strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
                     for info in z.infolist():
-                        if not info.is_dir() and info.file_size <= MAX_BYTES:
+                        if not info.is_dir() and info.file_size <= max_bytes:
                             yield pd.DataFrame({"archive": [name], "path": [info.filename], "content": [z.read(info).decode("utf-8", "replace")]})
 
     return archives.select("path", "content").mapInPandas(run, "archive string, path string, content string")

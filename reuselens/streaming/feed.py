@@ -14,36 +14,55 @@ def changes(spark: SparkSession, path: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def keep_newest(stream: DataFrame, table: str, checkpoint: str, key: str, order: tuple[str, ...], buckets: int = 16, every: str | None = None) -> StreamingQuery:
-    """Upserts a stream into a Parquet table below the folder `table`, one version per batch.
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-    A batch writes version n from version n - 1 and a version that is already complete is left alone, so a
-    batch that is run again changes nothing. Without `every` the query ends when all files are read.
-    """
-    spark = stream.sparkSession
-    jvm = spark._jvm
 
-    def path(n: int) -> str:
-        return f"{table}/version={n}"
+def _buckets(spark: SparkSession, table: str) -> dict[int, list[tuple[int, str]]]:
+    """Bucket to its (version, path), oldest first, of the versions that are complete."""
+    fs, root = _fs(spark, table)
+    found: dict[int, list[tuple[int, str]]] = {}
+    for version in fs.listStatus(root) if fs.exists(root) else ():
+        name = version.getPath().getName()
+        if not name.startswith("version=") or not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(version.getPath(), "_SUCCESS")):
+            continue
+        for bucket in fs.listStatus(version.getPath()):
+            kind, _, number = bucket.getPath().getName().partition("=")
+            if kind == "_bucket":
+                found.setdefault(int(number), []).append((int(name.partition("=")[2]), bucket.getPath().toString()))
+    return {k: sorted(v) for k, v in found.items()}
+
 
-    def complete(n: int) -> bool:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path(n)}/_SUCCESS")
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def keep_newest(stream: DataFrame, table: str, checkpoint: str, key: str, order: tuple[str, ...], buckets: int = 16, every: str | None = None) -> StreamingQuery:
+    """Upserts a stream into Parquet files below the folder `table`. Keys are dealt to buckets; a batch writes a new version of the buckets that it touches, and no other.
+
+    A version that is complete is left alone, so a batch that is run again changes nothing. Of each
+    bucket the newest version and the one before it are kept, for readers that are under way. Without
+    `every` the query ends when all files are read.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
-        if complete(n):
+        spark = batch.sparkSession
+        fs, done = _fs(spark, f"{table}/version={n}/_SUCCESS")
+        if fs.exists(done):
             return
-        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        stored = spark.read.schema(batch.schema).parquet(path(n - 1)) if n else batch.limit(0)
-        upsert(stored, batch, key, order).write.mode("overwrite").partitionBy("_bucket").parquet(path(n))
+        held = _buckets(spark, table)
+        batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        stored = [held[b][-1] for b in touched if b in held]
+        rows = spark.read.option("basePath", table).schema(f"{batch.drop('_bucket').schema.simpleString()[7:-1].replace(':', ' ')}, version int, _bucket int").parquet(*(p for _, p in stored)).drop("version") if stored else batch.limit(0)
+        upsert(rows.select(*batch.columns), batch, key, order).write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/version={n}")
+        batch.unpersist()
+        for old in (p for b in touched for _, p in held.get(b, [])[:-1]):
+            where, path = _fs(spark, old)
+            where.delete(path, True)
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def latest(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of the table that keep_newest writes."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table)
-    names = [f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
-    newest = max(int(n.partition("=")[2]) for n in names if n.startswith("version="))
-    return spark.read.parquet(f"{table}/version={newest}").drop("_bucket")
+    """The newest version of each bucket of the table that keep_newest writes."""
+    paths = [versions[-1][1] for versions in _buckets(spark, table).values()]
+    return spark.read.option("basePath", table).parquet(*paths).drop("version", "_bucket")

@@ -119,11 +119,73 @@ def test_dictionary_ids_are_stable(spark):
 def test_rebuild(spark):
     df = spark.createDataFrame([(1, "a\nb\n\na"), (2, ""), (3, "x")], "id long, text string")
     assert ranges(dedup.rebuild(*dedup.reduce_lines(df, "id"))) == [(1, "a\nb\n\na"), (2, ""), (3, "x")]
-    code = spark.createDataFrame([(1, "int f() { return 1; } int f() { return 1; } int x;")], "id long, content string")
-    stream = tokens.cpp_stream(code, "id")
-    units, index = dedup.reduce_blocks(stream)
-    assert units.count() < index.count()
-    assert dedup.rebuild_blocks(units, index).first().syms == tokens.symbol_arrays(stream).first().syms
+
+
+def test_trees_are_reduced_and_rebuilt(spark):
+    texts = ["int f() { return g(1); } int f() { return g(1); } int x;", "a(b(c(d[1], {2}))); b(c(d[1], {2}));", "", "x } ) {", "( [ ( ( { } )", "}"]
+    stream = tokens.cpp_stream(spark.createDataFrame(list(enumerate(texts)), "id long, content string"), "id")
+    units, roots = dedup.reduce_tree(stream)
+    assert units.count() == units.select("unit").distinct().count() == 13
+    rebuilt = {r.file_id: r.syms for r in dedup.rebuild_tree(units, roots).collect()}
+    assert rebuilt == {r.file_id: r.syms for r in tokens.symbol_arrays(stream).collect()} and len(rebuilt) == 5
+    empty = dedup.reduce_tree(stream.where("false"))
+    assert dedup.rebuild_tree(*empty).count() == 0
+
+
+def test_nesting():
+    parent, end, error = tokens.nested(tokens.cpp_tokens("f(a[1]) { ( }"))
+    assert parent == [-1, -1, 1, 1, 3, 3, 1, -1, 7, 7] and end == [0, 6, 2, 5, 4, 5, 6, 9, 8, 9]
+    assert [k for k, e in enumerate(error) if e] == [8]
+    assert tokens.nested([]) == ([], [], [])
+
+
+def test_vector_hash(spark):
+    def hashed(values):
+        seed = len(values)
+        for x in values:
+            seed ^= (x + 0x9E3779B9 + (seed << 6) + (seed >> 2)) & (1 << 64) - 1
+            seed &= (1 << 64) - 1
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    rng = random.Random(1)
+    data = [[rng.randrange(1 << 32) for _ in range(n)] for n in (0, 1, 2, 5, 40)]
+    got = {r.file_id: r.h for r in arrays(spark, list(enumerate(data))).select("file_id", scalars.vector_hash(F.col("syms")).alias("h")).collect()}
+    assert got == {k: hashed(x) for k, x in enumerate(data)}
+
+
+def test_deep_search(spark):
+    rows = [(1, "one two three\nfour Five six seven"), (2, "x\n\none two\nthree four five six y")]
+    deep = tokens.text_deep(spark.createDataFrame(rows, "id long, text string"), "id")
+    found = search.search_deep(deep.where("file_id = 1"), deep.where("file_id = 2"), 4).collect()
+    assert [(r.base_start, r.base_end, r.search_start, r.base_start_line, r.base_end_line, r.search_start_line, r.search_end_line, r.n_renamed) for r in found] == [(0, 5, 1, 1, 2, 3, 4, 0)]
+    assert [(r.pos, r.name, r.line) for r in search.windows_deep(deep.where("file_id = 1"), 6).orderBy("pos").collect()] == [(0, "one", 1), (1, "two", 1)]
+
+
+def test_reuse_links_each_window_once(spark):
+    a = list(range(100))
+    rows = arrays(spark, [(1, a), (2, a), (3, [7, *a[:70]]), (4, list(range(500, 600)))])
+    assert ranges(search.reuse(rows, 64)) == [(1, 2, 0, 99, 0, 99), (1, 3, 0, 69, 1, 70)]
+
+
+def test_writers(spark, tmp_path):
+    rows = spark.createDataFrame([(11, "MIT", 0), (12, "GPL", 1), (13, "", 9)], "internal_id long, licence string, data_index long")
+    trees = spark.createDataFrame([(7, 0, [1]), (7, 1, [2])], "data_id long, data_index long, syms array<bigint>")
+    licence = store.names_of(rows.where("licence <> ''"), "licence").select("id", F.col("name").alias("licence"))
+    assert ranges(store.snippets(store.snippets_of(rows, 7), licence, trees)) == [(11, "MIT", [1]), (12, "GPL", [2])]
+    tags = spark.createDataFrame([("r", "v1", "a"), ("r", "v1", "a"), ("s", "v1", "a")], "repo string, tag string, sha string")
+    assert store.tags_of(tags).count() == 2
+    for scan, kind in ((1, "shallow"), (1, "deep"), (2, "shallow")):
+        store.results(rows, scan, kind, str(tmp_path / "results"))
+    assert spark.read.parquet(str(tmp_path / "results")).where("scan_id = 1").count() == 6
+    tables = {k: spark.createDataFrame([(1, k)], "id long, name string") for k in ("group", "project", "version", "scan")}
+    catalogue.save(tables, str(tmp_path / "catalogue"))
+    assert {k: v.first().name for k, v in catalogue.load(spark, str(tmp_path / "catalogue")).items()} == {k: k for k in tables}
+
+
+def test_cursor(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "id long, at long")
+    assert ranges(incremental.after_cursor(rows, incremental.cursor(rows.where("id = 1"), "at", "id"), "at", "id")) == [(2, 5), (3, 6)]
+    assert incremental.after_cursor(rows, incremental.cursor(rows.limit(0), "at", "id"), "at", "id").count() == 3
 
 
 def test_size_batches(spark):
@@ -203,6 +265,9 @@ def test_sources(spark, tmp_path):
     found = files.scan_path(spark, str(tmp_path / "src"))
     assert sorted(r.source_type for r in found.collect()) == ["cpp", "text"]
     assert files.streams(found).count() == 5
+    assert {r.res_size for r in files.scan_sizes(found).collect()} == {12, 8}
+    assert files.skipped(spark, str(tmp_path / "src")).count() == 1 and files.scan_path(spark, str(tmp_path / "src"), None).count() == 3
+    assert sorted((r.names, r.lines) for r in files.scan_deep(found).collect()) == [(["hello", "there"], [1, 1]), (["int", "x", ";"], [1, 1, 1])]
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("d/a.c", "int y;")
         z.writestr("d/n.exe", "no")
@@ -236,3 +301,5 @@ def test_stream_keeps_the_newest(spark, tmp_path):
         query = feed.keep_newest(feed.changes(spark, source, schema), table, str(tmp_path / "checkpoint"), "k", ("at",), buckets=2)
         query.awaitTermination()
     assert ranges(feed.latest(spark, table).select("k", "at", "v")) == [("a", 3, "z"), ("b", 1, "y")]
+    versions = feed._buckets(spark, table)
+    assert all(len(v) <= 2 for v in versions.values()) and sum(len(v) for v in versions.values()) < 6
