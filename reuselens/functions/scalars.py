@@ -96,6 +96,11 @@ def path_ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
+def exploded(rows: DataFrame, key: str, values: Column, pos: str, value: str) -> DataFrame:
+    """(key, pos, value) for every element of an array. With a plain explode the optimizer adds a filter on the array's size and makes the whole array a second time for it; the outer form has no such filter, and its row for an empty array is dropped."""
+    return rows.select(key, F.posexplode_outer(values).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def _doubled(rows: DataFrame, values: Column, width: int, out: str, join) -> DataFrame:
     """rows with out, join of all `width` neighbours of an array. Each doubling is a column of its own step, so it is made once: about 2 * log2(width) passes, no shuffle. Arrays shorter than width give an empty one."""
     rows = rows.withColumn("_power", values).withColumn("_n", F.size("_power"))

@@ -16,7 +16,7 @@ def dedup_exact(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
 
 def reduce_lines(docs: DataFrame, id_col: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(units (unit, body), index (file_id, pos, unit)): each distinct line once, and where it stands. unit is the line's digest, so separate runs agree on it."""
-    lines = docs.select(F.col(id_col).cast("long").alias("file_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "body"))
+    lines = docs.select(F.col(id_col).cast("long").alias("file_id"), F.posexplode_outer(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("pos", "body"))
     lines = lines.withColumn("pos", F.col("pos").cast("long")).withColumn("unit", F.sha2("body", 256))
     return lines.groupBy("unit").agg(F.first("body").alias("body")), lines.select("file_id", "pos", "unit")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import U32, line_slice, mixed_symbol, sliding_hash, sliding_least, sliding_sum
+from ..functions.scalars import U32, exploded, line_slice, mixed_symbol, sliding_hash, sliding_least, sliding_sum
 from ..model import WINDOW
 from ..shared import materialise
 
@@ -19,13 +19,13 @@ def check_window(k: int, strict: bool = False) -> int:
 def windows(files: DataFrame, k: int) -> DataFrame:
     """(file_id, pos, fp) of every window of k symbols of files (file_id, syms). The sums are taken inside the row; nothing is shuffled. Shorter files have none."""
     sums = sliding_sum(files.select("file_id", "syms"), F.transform("syms", mixed_symbol), check_window(k), "_sums")
-    return sums.select("file_id", F.posexplode("_sums").alias("pos", "sum")).select("file_id", F.col("pos").cast("long").alias("pos"), F.col("sum").bitwiseAND(U32).alias("fp"))
+    return exploded(sums, "file_id", F.col("_sums"), "pos", "sum").select("file_id", F.col("pos").cast("long").alias("pos"), F.col("sum").bitwiseAND(U32).alias("fp"))
 
 
 def windows_deep(files: DataFrame, k: int) -> DataFrame:
     """(file_id, pos, fp, name, line): windows() of deep files (file_id, syms, names, lines), with the name and line of each window's first symbol."""
     sums = sliding_sum(files.select("file_id", "syms", "names", "lines"), F.transform("syms", mixed_symbol), check_window(k), "_sums")
-    rows = sums.select("file_id", F.posexplode(F.arrays_zip(F.col("_sums").alias("sum"), F.slice("names", F.lit(1), F.size("_sums")).alias("name"), F.slice("lines", F.lit(1), F.size("_sums")).alias("line"))).alias("pos", "w"))
+    rows = exploded(sums, "file_id", F.arrays_zip(F.col("_sums").alias("sum"), F.slice("names", F.lit(1), F.size("_sums")).alias("name"), F.slice("lines", F.lit(1), F.size("_sums")).alias("line")), "pos", "w")
     return rows.select("file_id", F.col("pos").cast("long").alias("pos"), F.col("w.sum").bitwiseAND(U32).alias("fp"), "w.name", "w.line")
 
 
@@ -103,8 +103,8 @@ def anchors(files: DataFrame, k: int) -> DataFrame:
     # 32 bits of a scrambled fingerprint, then the position.
     order = F.transform("_sums", lambda x, i: F.shiftleft(F.xxhash64(x.bitwiseAND(U32)).bitwiseAND(0x7FFFFFFF), 32).bitwiseOR(i.cast("long")))
     rows = sliding_least(rows, order, k - part + 1, "_least")
-    rows = rows.select("file_id", "_sums", F.explode(F.transform(F.array_distinct("_least"), lambda x: x.bitwiseAND(U32))).alias("pos"))
-    return rows.select("file_id", "pos", F.element_at("_sums", F.col("pos").cast("int") + 1).bitwiseAND(U32).alias("fp"))
+    found = F.transform(F.array_distinct("_least"), lambda x: F.struct(x.bitwiseAND(U32).alias("pos"), F.element_at("_sums", x.bitwiseAND(U32).cast("int") + 1).bitwiseAND(U32).alias("fp")))
+    return exploded(rows, "file_id", found, "_k", "a").select("file_id", "a.pos", "a.fp")
 
 
 def self_search(files: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -131,7 +131,8 @@ def equal_runs(pairs: DataFrame, files: DataFrame, k: int) -> DataFrame:
     both = pairs.join(b, "base_id").join(s, "search_id").withColumn("_from", F.expr("cast(greatest(0, -shift) as int)")).withColumn("_n", F.expr("cast(least(size(_s) - _from, size(_b) - shift - _from) as int)"))
     # Positions of the search file that differ from the base file, with one before and one after the part they share.
     other = F.expr("""concat(array(_from - 1), filter(transform(zip_with(slice(_s, _from + 1, _n), slice(_b, cast(_from + shift as int) + 1, _n), (x, y) -> x = y), (same, i) -> if(same, -2, i + _from)), x -> x >= 0), array(_from + _n))""")
-    both = both.withColumn("_other", other).select("base_id", "search_id", "shift", F.explode(F.expr(f"filter(transform(_other, (x, i) -> struct(if(i = 0, x, _other[i - 1]) as a, x as z)), r -> r.z - r.a > {k})")).alias("r"))
+    runs = F.expr(f"filter(transform(_other, (x, i) -> struct(if(i = 0, x, _other[i - 1]) as a, x as z)), r -> r.z - r.a > {k})")
+    both = exploded(both.withColumn("_other", other).withColumn("_id", F.struct("base_id", "search_id", "shift")), "_id", runs, "_k", "r").select("_id.*", "r")
     start, end = F.col("r.a").cast("long") + 1, F.col("r.z").cast("long") - 1
     return both.select("base_id", "search_id", (start + F.col("shift")).alias("base_start"), (end + F.col("shift")).alias("base_end"), start.alias("search_start"), end.alias("search_end"))
 
@@ -139,7 +140,7 @@ def equal_runs(pairs: DataFrame, files: DataFrame, k: int) -> DataFrame:
 def reuse(files: DataFrame, k: int = WINDOW) -> DataFrame:
     """Ranges of files whose windows another file of the set has too, each window linked with the file of the smallest id that has it: (base_id, search_id, base_start, base_end, search_start, search_end). A passage that very many files share gives a row for each, not for each pair."""
     hashed = sliding_hash(files.select("file_id", "syms"), F.col("syms"), check_window(k), "_hashes")
-    w = materialise(hashed.select("file_id", F.posexplode("_hashes").alias("pos", "fp")).withColumn("pos", F.col("pos").cast("long")))
+    w = materialise(exploded(hashed, "file_id", F.col("_hashes"), "pos", "fp").withColumn("pos", F.col("pos").cast("long")))
     first = w.groupBy("fp").agg(F.min(F.struct("file_id", "pos")).alias("_f"), F.max("file_id").alias("_z")).where("_f.file_id < _z")
     first = materialise(first.select("fp", F.col("_f.file_id").alias("base_id"), F.col("_f.pos").alias("base_pos")))
     found = w.join(first, "fp").where("file_id > base_id").select("base_id", F.col("file_id").alias("search_id"), "base_pos", F.col("pos").alias("search_pos"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import symbol_of
+from ..functions.scalars import exploded, symbol_of
 
 BLANKS = r"[ \t\n\r\f]+"
 
@@ -29,7 +29,7 @@ def token_stream(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFr
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Positions count over the whole text, so lines are taken apart inside the row.
     pairs = F.flatten(F.transform(F.split(F.lower(text), "\n", -1), lambda body, k: F.transform(F.filter(F.split(body, BLANKS), lambda t: t != ""), lambda t: F.struct((k + 1).alias("line"), t.alias("name")))))
-    rows = docs.select(F.col(id_col).cast("long").alias("file_id"), F.posexplode(pairs).alias("pos", "t"))
+    rows = exploded(docs.withColumn("file_id", F.col(id_col).cast("long")), "file_id", pairs, "pos", "t")
     return rows.select("file_id", F.col("pos").cast("long").alias("pos"), symbol_of(F.col("t.name")).alias("sym"), F.col("t.name").alias("name"), F.col("t.line").cast("long").alias("line"))
 
 

@@ -84,7 +84,7 @@ def source_type_groups(spark, sf_dir):
 @query(r"""SELECT page_id, i - 1 AS block_no, replace(replace(replace(replace(replace(replace(replace(replace(replace(b[i], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&#34;', '"'), '&#xA;', chr(10)), '&#xD;', chr(13)), '&amp;', '&') AS body
     FROM (SELECT page_id, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS b FROM pages))""")
 def html_blocks(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(scalars.blocks(F.col("html"), "p")).alias("block_no", "body"))
+    rows = scalars.exploded(table(spark, sf_dir, "pages"), "page_id", scalars.blocks(F.col("html"), "p"), "block_no", "body")
     return rows.select("page_id", F.col("block_no").cast("long").alias("block_no"), scalars.decode_entities(F.col("body")).alias("body"))
 
 
@@ -103,7 +103,7 @@ def token_stream(spark, sf_dir):
 
 @query(r"""SELECT tok AS token, count(*) AS n, count(DISTINCT doc_id) AS n_files FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \t\n\r\f]+'), lambda t: t <> '')) AS tok FROM documents) GROUP BY tok""")
 def symbol_dictionary(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens.text_tokens(F.col("text"))).alias("token"))
+    rows = scalars.exploded(table(spark, sf_dir, "documents"), "doc_id", tokens.text_tokens(F.col("text")), "pos", "token")
     return rows.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_files"))
 
 
