@@ -67,7 +67,7 @@ class Chunks:
     the chunks asked for last. What it has forgotten is encoded again, so results do not depend on it.
     """
 
-    def __init__(self, encode, limit: int = 48 << 20):
+    def __init__(self, encode, limit: int = 24 << 20):
         self.encode, self.limit = encode, limit
         self.keys, self.ids, self.lengths = pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64)
 
@@ -88,7 +88,7 @@ class Chunks:
         return every, start[at], sizes[at]
 
 
-def portions(column: pa.Array, size: int = 4 << 20):
+def portions(column: pa.Array, size: int = 3 << 20):
     """(first, texts) of runs of rows of a text column, each of about size bytes or one row; nulls are empty texts."""
     texts = column.fill_null("")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

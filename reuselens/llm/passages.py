@@ -82,12 +82,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document with a smaller doc_id. Documents meet on winnowed seeds of `seed` words: any shared
     window has one at the same place. A match is extended over all windows that the seed is chosen
     for, left and right at once where these agree as a whole, else on the sides that agree, window by
-    window, and the windows found repeated are merged into maximal passages. Sequences are compared by 128 bits of hashes of
-    their words.
+    window, and the windows found repeated are merged into maximal passages. A match as a whole is told by 64 bits
+    of a hash of all it covers, beside the 64 of its seed; a single window by 128 bits of hashes of its words.
 
     Copies of a passage are only compared with its first occurrence, so a group of copies costs as
     many rows as it has members. Null texts have no words. Rows of equal doc_id never remove words
-    from each other; a null id comes before all others. An empty table gives an empty result.
+    from each other; a null id comes before all others. Long texts are hashed in pieces and read
+    whole. An empty table gives an empty result. Other columns of docs are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     hits, filters = repeated_places(base, _seeds(window, seed), _windows(window), window, seed, by_place=False)

@@ -98,7 +98,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     shuffled. A model with pieces that do cross is encoded text by text.
 
     A null or empty text has no ids and decodes to an empty one. Rows that repeat a doc_id are rows of
-    their own. Texts are taken in portions of about 4 MB, or one text, however long. An empty table
+    their own. Texts are taken in portions of about 3 MB, or one text, however long. An empty table
     gives an empty result. model_path names a file on every executor.
     """
 

@@ -168,7 +168,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     Null and empty texts are documents of end_id alone; null ids come first. Rows that repeat a
     doc_id are documents of their own, next to each other. A text is cut at single spaces and taken in
-    portions of about 4 MB; one text, however long, lies in one chunk. An empty table gives an empty
+    portions of about 3 MB; one text, however long, lies in one chunk. An empty table gives an empty
     table of chunks and an empty index. Other columns of docs are not read.
     """
 
