@@ -12,7 +12,7 @@ from reuselens.plans import queries
 
 HEADLINE = ("window_fingerprints", "match_candidates", "match_verified", "match_ranges", "match_lines", "match_coverage", "self_search", "symbol_dictionary", "dedup_exact", "dedup_lines", "html_blocks", "upsert_latest", "new_tags", "scan_progress")
 #: Seconds after which a query is not run again.
-SHARE = 45
+SHARE = 30
 
 
 def main() -> None:
