@@ -11,6 +11,8 @@ from .common import materialise, scratch, text_or_empty, words_of
 WEIGHTS = (5, 2, 1)
 #: Words of a block, and documents of a shard on average.
 BLOCK, SHARD_ROWS = 256, 256
+#: Blocks that a target has at least: sources with smaller targets have blocks of half the words, a quarter, ..., one.
+LEAST_BLOCKS = 16
 SEED = 11
 
 
@@ -35,8 +37,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.select("source", "source_size", "n", target.alias("target"))
 
 
-def sainte_lague(votes: DataFrame, group: str, house: str, unit: float, order: tuple[str, ...]) -> DataFrame:
-    """votes (with columns votes and group, and the group's number of seats in house) and its seats by the highest quotients votes / (2 seats + 1).
+def block_size(target: Column, block: int = BLOCK) -> Column:
+    """Words of the blocks of a source with such a target."""
+    sizes = [block >> k for k in range(block.bit_length())]
+    return F.coalesce(*(F.when(target >= LEAST_BLOCKS * b, b) for b in sizes), F.lit(1)).cast("long")
+
+
+def sainte_lague(votes: DataFrame, group: str, house: str, unit: float | Column, order: tuple[str, ...]) -> DataFrame:
+    """votes (with columns votes and group, and the group's number of seats in house) and its seats by the highest quotients votes / (2 seats + 1). unit is a group's votes for a seat.
 
     Rounding votes / unit gives the seats that quotients above 2 / unit win; as many as are missing
     then go to the highest quotients that are left, and as many as are too many leave from the
@@ -67,7 +75,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Each source's documents are dealt by a seeded hash to shards of about shard_rows documents. In
     a shard, in seeded order, their words form one line that is cut into blocks of equal size.
-    Sources get blocks by Sainte-Lague over their targets, then a source's shards over their words.
+    Sources whose blocks have the same size get them by Sainte-Lague over their targets, then a source's
+    shards over their words. Blocks have `block` words, but for sources of small targets, so that the
+    taken words of a source of a few short documents, too, are near its target.
     Blocks are taken in rounds; the last, partial round takes those with the least seeded hash. A
     block is never taken more often than ceil(target / size), 2 at most, so neither is a document.
 
@@ -81,10 +91,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = materialise(sizes, f"{at}/sizes")
     targets = source_targets(sizes, weights, share)
     # Blocks a source may take are also bounded by what its shards hold.
-    total = Window.partitionBy(F.lit(0))
-    targets = targets.withColumn("votes", F.col("target")).withColumn("_all", F.lit(0)).withColumn("house", F.round(F.sum("target").over(total) / block).cast("long"))
-    targets = sainte_lague(targets, "_all", "house", float(block), ("source",)).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).cast("int"))
-    targets = materialise(targets.select("source", "source_size", "target", F.col("seats").alias("source_seats"), "shards"), f"{at}/targets")
+    targets = targets.withColumn("votes", F.col("target")).withColumn("words", block_size(F.col("target"), block))
+    targets = targets.withColumn("house", F.round(F.sum("target").over(Window.partitionBy("words")) / F.col("words")).cast("long"))
+    targets = sainte_lague(targets, "words", "house", F.col("words"), ("source",)).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).cast("int"))
+    targets = materialise(targets.select("source", "source_size", "target", "words", F.col("seats").alias("source_seats"), "shards"), f"{at}/targets")
 
     placed = sizes.join(targets.select(F.col("source").alias("_s"), "shards"), F.col("source").eqNullSafe(F.col("_s")))
     placed = placed.withColumn("_order", _seeded(seed, F.col("doc_id"))).withColumn("shard", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("shards")).cast("int"))
@@ -93,10 +103,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = materialise(placed, f"{at}/placed")
 
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.join(targets.select(F.col("source").alias("_s"), "source_size", "target", "source_seats"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    shards = shards.join(targets.select(F.col("source").alias("_s"), "source_size", "target", "words", "source_seats"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     shards = shards.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(0.0)).withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    shards = sainte_lague(shards, "_group", "source_seats", float(block), ("source", "shard"))
-    blocks = F.greatest(F.floor(F.col("shard_size") / block + 0.5), F.lit(1)).cast("long")
+    shards = sainte_lague(shards, "_group", "source_seats", F.col("words"), ("source", "shard"))
+    blocks = F.greatest(F.floor(F.col("shard_size") / F.col("words") + 0.5), F.lit(1)).cast("long")
     shards = shards.withColumn("blocks", blocks).withColumn("seats", F.least("seats", F.ceil(F.col("votes") / F.greatest(F.col("shard_size"), F.lit(1))) * F.col("blocks")))
     shards = materialise(shards.select("source", "shard", "shard_size", "blocks", "seats"), f"{at}/shards")
 

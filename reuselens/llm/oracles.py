@@ -72,7 +72,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _op8() -> str:
-    b, rows, seed = mixing.BLOCK, mixing.SHARD_ROWS, mixing.SEED
+    rows, seed = mixing.SHARD_ROWS, mixing.SEED
+    words = "CASE " + " ".join(f"WHEN target >= {mixing.LEAST_BLOCKS * b} THEN {b}" for b in (mixing.BLOCK >> k for k in range(mixing.BLOCK.bit_length()))) + " ELSE 1 END"
     w = ", ".join(f"{x}::double" for x in mixing.WEIGHTS)
     return f"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('{seed}:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
@@ -81,14 +82,15 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FRO
 weighed AS (SELECT *, ([{w}])[r % {len(mixing.WEIGHTS)} + 1] AS w, 2.0::double * source_size AS cap FROM ranked),
 levels AS (SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM weighed WINDOW o AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 fixed AS (SELECT arg_min(level, (cap / w, r)) AS level FROM levels WHERE level * w <= cap),
-tgt AS (SELECT source, source_size, n, CASE WHEN fixed.level IS NULL THEN cap ELSE least(cap, fixed.level * w) END AS target FROM levels, fixed),
-house AS (SELECT round(sum(target) / {b})::bigint AS house FROM tgt),
-seats AS (SELECT source, count(*) AS seats FROM (SELECT source, row_number() OVER (ORDER BY q DESC, source NULLS LAST) AS place FROM (SELECT source, target / (2 * unnest(range(0, (target / {b})::bigint + 40)) + 1) AS q FROM tgt)) WHERE place <= (SELECT house FROM house) GROUP BY source),
+aims AS (SELECT source, source_size, n, CASE WHEN fixed.level IS NULL THEN cap ELSE least(cap, fixed.level * w) END AS target FROM levels, fixed),
+tgt AS (SELECT *, {words} AS words FROM aims),
+house AS (SELECT words, round(sum(target) / words)::bigint AS house FROM tgt GROUP BY words),
+seats AS (SELECT source, count(*) AS seats FROM (SELECT source, words, row_number() OVER (PARTITION BY words ORDER BY q DESC, source NULLS LAST) AS place FROM (SELECT source, words, target / (2 * unnest(range(0, (target / words)::bigint + 40)) + 1) AS q FROM tgt)) JOIN house USING (words) WHERE place <= house GROUP BY source),
 shard AS (SELECT d.*, ('0x' || substr(h, 1, 8))::bigint % greatest(1, ceil(n::double / {rows}))::bigint AS shard FROM d JOIN tgt ON d.source IS NOT DISTINCT FROM tgt.source),
 line AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY h, size ROWS UNBOUNDED PRECEDING)::bigint AS stop FROM shard),
-sh AS (SELECT l.source, shard, sum(size)::bigint AS shard_size, greatest(floor(sum(size) / {b}::double + 0.5), 1)::bigint AS blocks FROM line l GROUP BY l.source, shard),
-votes AS (SELECT sh.*, CASE WHEN source_size > 0 THEN target * shard_size / source_size ELSE 0 END AS votes, coalesce(seats, 0) AS source_seats FROM sh JOIN tgt ON sh.source IS NOT DISTINCT FROM tgt.source LEFT JOIN seats ON seats.source IS NOT DISTINCT FROM sh.source),
-won AS (SELECT source, shard, count(*) AS seats FROM (SELECT source, shard, source_seats, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS place FROM (SELECT source, shard, source_seats, votes / (2 * unnest(range(0, (votes / {b})::bigint + 40)) + 1) AS q FROM votes)) WHERE place <= source_seats GROUP BY source, shard),
+sh AS (SELECT l.source, shard, sum(size)::bigint AS shard_size, greatest(floor(sum(size) / any_value(words)::double + 0.5), 1)::bigint AS blocks FROM line l JOIN tgt ON l.source IS NOT DISTINCT FROM tgt.source GROUP BY l.source, shard),
+votes AS (SELECT sh.*, CASE WHEN source_size > 0 THEN target * shard_size / source_size ELSE 0 END AS votes, words, coalesce(seats, 0) AS source_seats FROM sh JOIN tgt ON sh.source IS NOT DISTINCT FROM tgt.source LEFT JOIN seats ON seats.source IS NOT DISTINCT FROM sh.source),
+won AS (SELECT source, shard, count(*) AS seats FROM (SELECT source, shard, source_seats, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS place FROM (SELECT source, shard, source_seats, votes / (2 * unnest(range(0, (votes / words)::bigint + 40)) + 1) AS q FROM votes)) WHERE place <= source_seats GROUP BY source, shard),
 quota AS (SELECT v.*, least(coalesce(won.seats, 0), ceil(votes / greatest(shard_size, 1)) * blocks)::bigint AS seats FROM votes v LEFT JOIN won ON won.source IS NOT DISTINCT FROM v.source AND won.shard = v.shard),
 block AS (SELECT source, shard, b, b * shard_size // blocks AS a, (b + 1) * shard_size // blocks AS z, seats // blocks + (row_number() OVER (PARTITION BY source, shard ORDER BY md5('{seed}:' || coalesce(source, '') || ':' || shard || ':' || b), b) <= seats % blocks)::bigint AS times
     FROM (SELECT *, unnest(range(0, blocks)) AS b FROM quota)),

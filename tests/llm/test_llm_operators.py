@@ -529,6 +529,17 @@ def test_mix(spark, empty):
     assert mixing.mix(table(spark, ["a b", "a b", None], [None, 1, 1])).count() == 3
 
 
+def test_small_sources_come_near_their_targets(spark):
+    docs = [(k, " ".join(["w"] * 200), "big") for k in range(100)] + [(1000 + k, " ".join(["w"] * k), f"site {k}") for k in (0, 1, 3, 40, 100, 700)] + [(2000, "a b", None)]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    want, taken = {r.source: r.target for r in got}, collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken <= 2 * r["size"]
+    assert sum(t > 0 for t in want.values()) == 7
+    assert all(abs(taken[s] - t) <= max(1, t / 10) for s, t in want.items())
+
+
 def test_sainte_lague(spark):
     rng = random.Random(5)
     for house, unit in ((37, 11.0), (100, 7.0), (5, 100.0), (0, 3.0)):
