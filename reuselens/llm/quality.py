@@ -99,9 +99,15 @@ def fit_rungs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float
     good labels (weighted Bonferroni), which the tests do not look at. With no rejection n good labels
     certify a rung if (1 - risk) ** n is at most the level. A stratum, null included, is judged by
     its own labels only; one without labels has no row.
+
+    A labelled id is one trial of its stratum, however many rows repeat it: the strictest verdict of
+    those rows counts. Copies of one text under labelled ids of their own are trials of their own, for
+    the share that is bounded is one of documents, copies included, of which the labelled ids are taken
+    to be independent draws.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
     held = measured.where("not base_failed").join(good, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    held = held.groupBy(stratum, "doc_id").agg(F.min("rung").alias("rung"))
     counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("rung") <= k) for k in range(1, RUNGS + 1))).alias("_x"))
     counts = materialise(counts, f"{scratch(measured.sparkSession)}/counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
@@ -118,7 +124,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     labels has doc_id and quality (1 is good; null is no label; repeated rows count once). An empty
     table of labels certifies nothing, and the base rules alone decide, as they do in strata without
     enough labels. A null stratum is a stratum. Rows of docs that repeat a doc_id are judged each by its
-    own text, and each counts as labelled. An empty table gives an empty result. Columns named in keep
+    own text; of a labelled id they are one trial. Texts of any length are measured whole. An empty table gives an empty result. Columns named in keep
     are carried along, whatever their names but those of the result.
     """
     at = scratch(docs.sparkSession)

@@ -667,3 +667,11 @@ def test_groups_that_go_over_batches(spark, small_batches, monkeypatch, tmp_path
         test_hamming_links(spark, bucket, monkeypatch)
     monkeypatch.undo()
     test_archives(spark, tmp_path)
+
+
+def test_rows_that_repeat_a_labelled_document_are_one_trial(spark):
+    """300 rows of one labelled id certify nothing, so a document with many symbols stays."""
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "en")] * 300 + [(2, " ".join(w + "#" for w in text.split()), "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [r.kept for r in quality.quality_rules(docs, labels).where("doc_id = 2").collect()] == [True]
