@@ -100,3 +100,35 @@ SELECT doc_id, size, source_size, target, taken FROM took JOIN tgt ON took.sourc
 
 
 OP3, OP8 = _op3(), _op8()
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+v AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      map {{'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+            'D': regexp_matches(text, '[#$%&*|]'), 'E': doc_id > min(doc_id) OVER (PARTITION BY text)}} AS f FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, toxic, f, count(*) AS n FROM v GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT array_to_string(o, '') AS filter_order, step, o[step] AS filter, o[1:step - 1] AS before FROM (SELECT o, unnest(range(1, 6)) AS step FROM o)),
+c AS (SELECT part, filter_order, step::int AS step, filter,
+      sum(CASE WHEN len(list_filter(before, lambda b: f[b])) = 0 AND NOT f[filter] THEN n ELSE 0 END)::bigint AS kept,
+      sum(CASE WHEN len(list_filter(before, lambda b: f[b])) = 0 AND f[filter] THEN n ELSE 0 END)::bigint AS removed,
+      sum(CASE WHEN len(list_filter(before, lambda b: f[b])) > 0 AND f[filter] THEN n ELSE 0 END)::bigint AS redundant,
+      sum(CASE WHEN f[filter] AND len(list_filter(map_values(f), lambda b: b)) = 1 THEN n ELSE 0 END)::bigint AS unique_fails,
+      sum(CASE WHEN len(list_filter(before, lambda b: f[b])) = 0 AND f[filter] AND good THEN n ELSE 0 END)::bigint AS good_lost,
+      sum(CASE WHEN len(list_filter(before, lambda b: f[b])) = 0 AND f[filter] AND toxic THEN n ELSE 0 END)::bigint AS toxic_lost
+      FROM s, g GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::bigint AS shapley FROM c
+"""
+
+OP13 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS h FROM documents),
+k AS (SELECT *, len(u) AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::bigint) AS k FROM t),
+c AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 50 THEN 'plain' WHEN k[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .audit import filter_audit, judged
 from .common import scratch, tables
 from .exact import exact_dedup
+from .infill import fill_in_middle, restored
 from .licenses import license_scan
 from .mixing import mix
 from .passages import repeated_passages
 from .pieces import encode_decode
 from .quality import quality_rules
 from .simhash import near_dedup
+from .sketches import edited_fingerprints
 from .suffixes import repeated_substrings
 from .tokenfiles import read_token_files, write_token_files
 from .warc import read_archives, resolved, write_archives
@@ -69,6 +72,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(judged(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_fingerprints(tables(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(tables(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": oracles.OP3,
@@ -88,4 +108,6 @@ ORACLES: dict[str, str] = {
     "op7_exact_dedup": oracles.OP7,
     "op8_source_mix": oracles.OP8,
     "op10_warc": oracles.OP10,
+    "op11_filter_audit": oracles.OP11,
+    "op13_fill_in_middle": oracles.OP13,
 }
