@@ -97,44 +97,90 @@ def classes(files: DataFrame) -> DataFrame:
 
 
 def anchors(files: DataFrame, k: int) -> DataFrame:
-    """(file_id, pos, fp): of every window of k symbols the part of about half its length with the least scrambled fingerprint, so windows of equal content have equal anchors. About one position in k / 4 is one."""
+    """(file_id, pos, fp): of every window of k symbols the part of about half its length with the least hash, so windows of equal content have equal anchors. About one position in k / 4 is one.
+
+    With a column runs (periodic_runs) windows inside a run count only if they are its first or last: within a run all
+    others repeat them.
+    """
     part = (k + 1) // 2
-    rows = sliding_sum(files.select("file_id", "syms"), F.transform("syms", mixed_symbol), part, "_sums")
-    # 32 bits of a scrambled fingerprint, then the position.
-    order = F.transform("_sums", lambda x, i: F.shiftleft(F.xxhash64(x.bitwiseAND(U32)).bitwiseAND(0x7FFFFFFF), 32).bitwiseOR(i.cast("long")))
+    known = ["runs"] if "runs" in files.columns else []
+    rows = sliding_hash(files.select("file_id", "syms", *known), F.col("syms"), part, "_hashes")
+    # 31 bits of a hash, then the position.
+    order = F.transform("_hashes", lambda x, i: F.shiftleft(x.bitwiseAND(0x7FFFFFFF), 32).bitwiseOR(i.cast("long")))
     rows = sliding_least(rows, order, k - part + 1, "_least")
-    found = F.transform(F.array_distinct("_least"), lambda x: F.struct(x.bitwiseAND(U32).alias("pos"), F.element_at("_sums", x.bitwiseAND(U32).cast("int") + 1).bitwiseAND(U32).alias("fp")))
+    least = F.filter("_least", lambda x, i: ~F.exists("runs", lambda r: (r.a < i) & (i < r.z - k + 1))) if known else F.col("_least")
+    found = F.transform(F.array_distinct(least), lambda x: F.struct(x.bitwiseAND(U32).alias("pos"), F.element_at("_hashes", x.bitwiseAND(U32).cast("int") + 1).alias("fp")))
     return exploded(rows, "file_id", found, "_k", "a").select("file_id", "a.pos", "a.fp")
 
 
+def periodic_runs(files: DataFrame, k: int) -> DataFrame:
+    """files (file_id, syms) with runs, an array of (a, z, period, word): all maximal stretches a to z of at least k symbols in which every symbol is the one `period` places before, for the least such period of k / 2 at most. word is the least rotation of what is repeated, so runs of equal words hold windows of each other.
+
+    A stretch of k symbols and a period of k / 2 at most holds a place divisible by k / 2 whose symbol is repeated one
+    period later, with half of k / 2 symbols on its left or right that are, too. Only the distances found at these
+    places are followed through the file. All of it is done inside the row, in time linear in the file but for files of
+    very many periods.
+    """
+    half = max(k // 2, 1)
+    side = max(half // 2, 1)
+    rows = files.select("file_id", "syms").withColumn("_n", F.size("syms"))
+    if k < 2:
+        return rows.drop("_n").withColumn("runs", F.expr("cast(array() as array<struct<a: bigint, z: bigint, period: bigint, word: string>>)"))
+    same = lambda x, d: f"slice(syms, {x} + 1, {side}) = slice(syms, {x} + {d} + 1, {side})"
+    near = f"filter(sequence(1, least({half}, _n - 1 - x)), d -> get(syms, x) = get(syms, x + d) and ({same('x', 'd')} or (x >= {side - 1} and {same(f'(x - {side - 1})', 'd')})))"
+    places = f"filter(sequence(0, greatest(_n - 2, 0), {half}), x -> x < _n - 1)"
+    rows = rows.withColumn("_periods", F.expr(f"if(_n < {k}, cast(array() as array<int>), array_sort(array_distinct(flatten(transform({places}, x -> {near})))))"))
+    # Places that are not repeated one period later, with one before and one after all; a run lies between two of them.
+    odd = "concat(array(-1), filter(transform(slice(syms, 1, _n - d), (x, i) -> if(x = get(syms, i + d), -1, i)), i -> i >= 0), array(_n - d))"
+    rows = rows.withColumn("_odd", F.expr(f"transform(_periods, d -> {odd})"))
+    gaps = f"filter(transform(o, (x, i) -> named_struct('a', bigint(if(i = 0, x, get(o, i - 1)) + 1), 'z', bigint(x - 1 + get(_periods, j)), 'period', bigint(get(_periods, j)))), r -> r.z - r.a + 1 >= {k} and r.z - r.a + 1 > r.period)"
+    rows = rows.withColumn("_all", F.expr(f"flatten(transform(_odd, (o, j) -> {gaps}))"))
+    # A run of a period is one of its multiples, too; periods are in order, so the first one is the least.
+    first = "filter(_all, (r, i) -> not exists(slice(_all, 1, i), q -> q.a = r.a and q.z = r.z))"
+    word = "array_min(transform(sequence(0, int(r.period) - 1), t -> array_join(slice(syms, int(r.a) + t + 1, int(r.period)), ' ')))"
+    return rows.withColumn("runs", F.expr(f"transform({first}, r -> named_struct('a', r.a, 'z', r.z, 'period', r.period, 'word', {word}))")).select("file_id", "syms", "runs")
+
+
 def self_search(files: DataFrame, k: int = WINDOW) -> DataFrame:
     """Ranges between files of one set, base_id < search_id. Files of equal symbols are one class, and only the classes' first files are compared; classes() tells the members.
 
-    Files meet on anchors, which any shared window has. What several files have of them gives pairs
-    of files and the shift between them, each once; on a shift the equal runs of at least k symbols
-    are the ranges. There are as many rows as pairs of files share passages; reuse() links each
-    passage with its first file only.
+    The ranges are the longest stretches of at least k equal symbols, but for those inside a periodic run
+    (periodic_runs): a pair of runs of one word, which agree at one shift in every period, gives one range, of the
+    whole runs. So a repeated word or line gives a row for each pair of its runs and not for all ways to lay them over
+    each other, and the rows of two files are as many as the passages they share.
+
+    Files meet on anchors, which any shared window outside of runs has, and the first and last window of a run; each
+    pair of files then compares, at each shift, what lies between its anchors. reuse() links each passage with its
+    first file only.
     """
     first = files.join(classes(files).where("file_id = class_id").select("file_id"), "file_id", "left_semi")
-    found = materialise(anchors(first, k))
+    known = materialise(periodic_runs(first, k))
+    found = materialise(anchors(known, k))
     shared = found.groupBy("fp").agg(F.min("file_id").alias("_a"), F.max("file_id").alias("_z")).where("_a < _z").select("fp")
     found = materialise(found.join(shared, "fp", "left_semi"))
     b, s = (found.select(F.col("file_id").alias(f"{side}_id"), F.col("pos").alias(f"{side}_pos"), "fp") for side in ("base", "search"))
-    pairs = b.join(s, "fp").where("base_id < search_id").select("base_id", "search_id", (F.col("base_pos") - F.col("search_pos")).alias("shift")).distinct()
-    return equal_runs(materialise(pairs), files, k)
+    spans = b.join(s, "fp").where("base_id < search_id").groupBy("base_id", "search_id", (F.col("base_pos") - F.col("search_pos")).alias("shift"))
+    spans = spans.agg((F.min("search_pos") - k).alias("low"), (F.max("search_pos") + 2 * k).alias("high"))
+    pairs = materialise(spans.groupBy("base_id", "search_id").agg(F.collect_list(F.struct("shift", "low", "high")).alias("spans")))
+    runs = exploded(known.where(F.size("runs") > 0), "file_id", F.col("runs"), "_k", "r").select("file_id", "r.a", "r.z", "r.word")
+    b, s = (runs.select(F.col("file_id").alias(f"{side}_id"), "word", F.col("a").alias(f"{side}_start"), F.col("z").alias(f"{side}_end")) for side in ("base", "search"))
+    columns = ["base_id", "search_id", "base_start", "base_end", "search_start", "search_end"]
+    return equal_runs(pairs, known, k).select(columns).unionByName(b.join(s, "word").where("base_id < search_id").select(columns))
 
 
 def equal_runs(pairs: DataFrame, files: DataFrame, k: int) -> DataFrame:
-    """The ranges of at least k equal symbols of pairs (base_id, search_id, shift), where shift is base_pos - search_pos."""
-    b = touched(files, pairs, "base_id").select(F.col("file_id").alias("base_id"), F.col("syms").alias("_b"))
+    """The longest stretches of at least k equal symbols of pairs (base_id, search_id, spans), between low and high of the search file at each span's shift, which is base_pos - search_pos; but for stretches inside a run of files (file_id, syms, runs). A pair of files is one row, which has their symbols once."""
+    b = touched(files, pairs, "base_id").select(F.col("file_id").alias("base_id"), F.col("syms").alias("_b"), F.col("runs").alias("_runs"))
     s = touched(files, pairs, "search_id").select(F.col("file_id").alias("search_id"), F.col("syms").alias("_s"))
-    both = pairs.join(b, "base_id").join(s, "search_id").withColumn("_from", F.expr("cast(greatest(0, -shift) as int)")).withColumn("_n", F.expr("cast(least(size(_s) - _from, size(_b) - shift - _from) as int)"))
+    both = pairs.join(b, "base_id").join(s, "search_id")
+    cut = "named_struct('shift', x.shift, 'low', int(greatest(0, -x.shift, x.low)), 'high', int(least(size(_s), size(_b) - x.shift, x.high)))"
+    both = both.withColumn("_cuts", F.expr(f"filter(transform(spans, x -> {cut}), x -> x.high - x.low >= {k})"))
     # Positions of the search file that differ from the base file, with one before and one after the part they share.
-    other = F.expr("""concat(array(_from - 1), filter(transform(zip_with(slice(_s, _from + 1, _n), slice(_b, cast(_from + shift as int) + 1, _n), (x, y) -> x = y), (same, i) -> if(same, -2, i + _from)), x -> x >= 0), array(_from + _n))""")
-    runs = F.expr(f"filter(transform(_other, (x, i) -> struct(if(i = 0, x, _other[i - 1]) as a, x as z)), r -> r.z - r.a > {k})")
-    both = exploded(both.withColumn("_other", other).withColumn("_id", F.struct("base_id", "search_id", "shift")), "_id", runs, "_k", "r").select("_id.*", "r")
-    start, end = F.col("r.a").cast("long") + 1, F.col("r.z").cast("long") - 1
-    return both.select("base_id", "search_id", (start + F.col("shift")).alias("base_start"), (end + F.col("shift")).alias("base_end"), start.alias("search_start"), end.alias("search_end"))
+    other = "concat(array(x.low - 1), filter(transform(zip_with(slice(_s, x.low + 1, x.high - x.low), slice(_b, int(x.low + x.shift) + 1, x.high - x.low), (p, q) -> p = q), (same, i) -> if(same, -2, i + x.low)), y -> y >= 0), array(x.high))"
+    both = both.withColumn("_others", F.expr(f"transform(_cuts, x -> {other})"))
+    found = f"flatten(transform(_others, (o, j) -> filter(transform(o, (x, i) -> named_struct('a', bigint(if(i = 0, x, get(o, i - 1)) + 1), 'z', bigint(x - 1), 'shift', get(_cuts, j).shift)), r -> r.z - r.a + 1 >= {k} and not exists(_runs, q -> q.a <= r.a + r.shift and r.z + r.shift <= q.z))))"
+    rows = exploded(both.withColumn("_id", F.struct("base_id", "search_id")), "_id", F.expr(found), "_k", "r").select("_id.*", "r.*")
+    return rows.select("base_id", "search_id", (F.col("a") + F.col("shift")).alias("base_start"), (F.col("z") + F.col("shift")).alias("base_end"), F.col("a").alias("search_start"), F.col("z").alias("search_end"))
 
 
 def reuse(files: DataFrame, k: int = WINDOW) -> DataFrame:

@@ -221,7 +221,15 @@ _SELF = f"""WITH {tok("t0", "documents", "doc_id")}, t AS (SELECT min(file_id) A
     hits AS (SELECT c.* FROM cand c JOIN t a ON a.file_id = base_id JOIN t b ON b.file_id = search_id WHERE a.m[base_pos + 1:base_pos + {SELF_K}] = b.m[search_pos + 1:search_pos + {SELF_K}])"""
 
 
-@query(f"{_SELF} {ranges_sql('hits', SELF_K)}")
+# All maximal periodic runs of at least SELF_K symbols, the least period of each, and the least rotation of what is repeated.
+_RUNS = f"""eq AS (SELECT file_id, p, i, i - row_number() OVER (PARTITION BY file_id, p ORDER BY i) AS g FROM (SELECT file_id, m, p, unnest(range(0, len(m) - p)) AS i FROM t, range(1, {SELF_K // 2 + 1}) r(p)) WHERE m[i + 1] = m[i + p + 1]),
+    periods AS (SELECT file_id, a, z, min(p) AS p FROM (SELECT file_id, p, min(i) AS a, max(i) + p AS z FROM eq GROUP BY file_id, p, g) WHERE z - a + 1 >= {SELF_K} GROUP BY file_id, a, z),
+    runs AS (SELECT file_id, a, z, list_min(list_transform(range(0, p), lambda r: array_to_string(m[a + r + 1:a + r + p], ' '))) AS word FROM periods JOIN t USING (file_id))"""
+
+
+@query(f"""{_SELF}, {_RUNS}, ranges AS ({ranges_sql('hits', SELF_K)})
+    SELECT * FROM ranges WHERE NOT EXISTS (SELECT 1 FROM runs WHERE file_id = base_id AND a <= base_start AND base_end <= z)
+    UNION ALL SELECT b.file_id, s.file_id, b.a, b.z, s.a, s.z FROM runs b JOIN runs s ON b.word = s.word AND b.file_id < s.file_id""")
 def self_search(spark, sf_dir):
     return search.self_search(base_files(spark, sf_dir), SELF_K)
 
