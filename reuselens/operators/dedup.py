@@ -27,33 +27,43 @@ def rebuild(units: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def reduce_tree(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units (unit, items), roots (file_id, items)) of a symbol stream with parent and end: each distinct subtree, which is a bracket and what it holds, once. items are (sym, unit) in order: a symbol, or a symbol that opens the subtree unit. Names and lines do not count.
+    """(units (unit, items), roots (file_id, items)) of a symbol stream with parent and end: each distinct subtree, which is a bracket and what it holds, once. items are (at, sym, unit): a symbol, or a symbol that opens the subtree unit, and its place within what the bracket holds. Names and lines do not count.
 
-    A subtree is a run of its file's symbols, so its unit is the hash of that run, taken inside the row
-    of the file, and separate runs of a job agree on it.
+    A subtree is a run of its file's symbols. Runs are told by hashes of all stretches of 1, 2, 4, ...
+    symbols, made by doubling inside the row of the file: two stretches of the largest such size, at
+    both ends of a run, cover it, and with its length they name it by 128 bits. So a file takes
+    time by its length and the logarithm of that, however deep it is, and separate jobs agree on units.
     """
     held = stream.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym", "parent", "end"))).alias("_t"))
-    held = held.withColumn("_syms", F.col("_t.sym"))
-    hashed = F.transform("_t", lambda t: F.struct(t.pos.alias("pos"), t.sym.alias("sym"), t.parent.alias("parent"), F.when(t.end > t.pos, F.sha2(F.array_join(F.slice("_syms", t.pos.cast("int") + 1, (t.end - t.pos + 1).cast("int")).cast("array<string>"), ","), 256)).alias("unit")))
-    rows = held.select("file_id", F.explode(hashed).alias("t")).select("file_id", "t.*")
-    nodes = rows.groupBy("file_id", "parent").agg(F.array_sort(F.collect_list(F.struct("pos", "sym", "unit"))).alias("_i"))
-    nodes = nodes.select("file_id", "parent", F.transform("_i", lambda x: F.struct(x.sym.alias("sym"), x.unit.alias("unit"))).alias("items"))
+    held = held.withColumn("_levels", F.expr("int(floor(log2(greatest(1, array_max(transform(_t, t -> t.end - t.pos + 1))))))"))
+    for name, seed in (("_h", "t.sym"), ("_g", "t.sym, 'second'")):
+        last = "element_at(p, -1)"
+        more = f"zip_with(slice({last}, 1, greatest(size({last}) - j, 0)), slice({last}, j + 1, greatest(size({last}) - j, 0)), (x, y) -> xxhash64(x, y))"
+        held = held.withColumn(name, F.expr(f"aggregate(transform(filter(sequence(0, _levels), i -> i > 0), i -> int(shiftleft(1, i - 1))), array(transform(_t, t -> xxhash64({seed}))), (p, j) -> concat(p, array({more})))"))
+    level = "int(floor(log2(t.end - t.pos + 1)))"
+    both = lambda h: f"get(get({h}, {level}), int(t.pos)), get(get({h}, {level}), int(t.end - shiftleft(1L, {level}) + 1))"
+    unit = " , ".join(f"lpad(lower(hex(xxhash64(t.end - t.pos, {both(h)}))), 16, '0')" for h in ("_h", "_g"))
+    rows = held.select("file_id", F.explode(F.expr(f"transform(_t, t -> struct(t.pos, t.sym, t.parent, if(t.end > t.pos, concat({unit}), null) as unit))")).alias("t")).select("file_id", "t.*")
+    nodes = rows.groupBy("file_id", "parent").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("parent") - 1).alias("at"), "sym", "unit"))).alias("items"))
     named = rows.where("unit is not null").select("file_id", F.col("pos").alias("parent"), "unit")
     return nodes.join(named, ["file_id", "parent"]).groupBy("unit").agg(F.first("items").alias("items")), nodes.where("parent = -1").select("file_id", "items")
 
 
 def rebuild_tree(units: DataFrame, roots: DataFrame) -> DataFrame:
-    """(file_id, syms): the inverse of reduce_tree. Each round opens the subtrees of one level, so there are as many rounds as the deepest tree has levels."""
-    units = materialise(units)
-    open_ = roots.select("file_id", F.posexplode("items").alias("k", "i")).select("file_id", F.array("k").alias("at"), "i.*")
-    done = None
+    """(file_id, syms): the inverse of reduce_tree. In each round the known ways down from one subtree to another double in length, and carry what is known of a file twice as deep: about log2 of the deepest tree's levels rounds. A way of some length ends at each subtree of a file once, so there are never more ways than subtrees in the files."""
+    items = materialise(units.select("unit", F.explode("items").alias("i")).select("unit", "i.at", "i.sym", F.col("i.unit").alias("below")))
+    top = roots.select("file_id", F.explode("items").alias("i")).select("file_id", "i.*")
+    inside = lambda rows: rows.where("below is not null").withColumn("at", F.col("at") + 1)
+    found = fresh = materialise(inside(top.withColumnRenamed("unit", "below")).select("file_id", "at", F.col("below").alias("unit")))
+    ways = inside(items).select(F.col("unit").alias("_from"), F.col("at").alias("_at"), F.col("below").alias("_to"))
     while True:
-        open_ = materialise(open_)
-        done = open_.select("file_id", "at", "sym") if done is None else done.union(open_.select("file_id", "at", "sym"))
-        inner = open_.where("unit is not null")
-        if inner.isEmpty():
+        ways = materialise(ways)
+        fresh = materialise(found.join(ways, F.col("unit") == F.col("_from")).select("file_id", (F.col("at") + F.col("_at")).alias("at"), F.col("_to").alias("unit")))
+        if fresh.isEmpty():
             break
-        inner = inner.select("file_id", "at", "unit").join(units, "unit").select("file_id", "at", F.posexplode("items").alias("k", "i"))
-        open_ = inner.select("file_id", F.concat("at", F.array("k")).alias("at"), "i.*")
-    # A bracket comes before what it holds, as a shorter array comes before a longer one that begins with it.
-    return done.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sym"))), lambda x: x.sym).alias("syms"))
+        found = materialise(found.unionByName(fresh))
+        then = ways.select(F.col("_from").alias("_via"), F.col("_at").alias("_on"), F.col("_to").alias("_end"))
+        ways = ways.join(then, F.col("_to") == F.col("_via")).select("_from", (F.col("_at") + F.col("_on")).alias("_at"), F.col("_end").alias("_to")).distinct()
+    below = found.select("file_id", F.col("at").alias("_start"), "unit").join(items, "unit").select("file_id", (F.col("_start") + F.col("at")).alias("at"), "sym")
+    every = top.select("file_id", "at", "sym").unionByName(below)
+    return every.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sym"))), lambda x: x.sym).alias("syms"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,37 @@ def window_index(files: DataFrame, k: int) -> DataFrame:
     return windows(files, k).groupBy("fp", "file_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+#: Bits of the filter of a search set's fingerprints: 16,384 numbers at most, whatever the set. With more than a part of them set it lets too much through to be worth it.
+SLOTS, FULL = 1 << 20, 0.25
+
+
+def print_filter(prints: DataFrame) -> list[int] | None:
+    """The fingerprints fp of a search set as SLOTS bits in numbers of 64; None if more than FULL of them are set."""
+    slot = F.col("fp").bitwiseAND(SLOTS - 1)
+    rows = prints.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(fp & {SLOTS - 1} & 63))")).alias("bits")).collect()  # SLOTS / 64 rows at most
+    if sum((r.bits & (1 << 64) - 1).bit_count() for r in rows) > FULL * SLOTS:
+        return None
+    found = [0] * (SLOTS // 64)
+    for r in rows:
+        found[r.word] = r.bits
+    return found
+
+
+def windows_near(files: DataFrame, k: int, bits: list[int]) -> DataFrame:
+    """The windows() of files whose fingerprints may be in a print_filter: the others never leave their row."""
+    sums = sliding_sum(files.select("file_id", "syms"), F.transform("syms", mixed_symbol), check_window(k), "_sums")
+    known = F.from_json(F.lit(json.dumps(bits)), "array<bigint>").alias("_bits")
+    sums = sums.select("file_id", "_sums", known)
+    some = F.expr(f"filter(transform(_sums, (x, i) -> if((shiftrightunsigned(get(_bits, int(shiftright(x & {SLOTS - 1}, 6))), int(x & 63)) & 1) = 1, named_struct('pos', bigint(i), 'fp', x & {U32}L), null)), w -> w is not null)")
+    return exploded(sums, "file_id", some, "_k", "w").select("file_id", "w.pos", "w.fp")
+
+
 def candidates(base: DataFrame, search: DataFrame, k: int) -> DataFrame:
-    """(base_id, search_id, base_pos, search_pos) of windows with equal fingerprints."""
-    b = windows(base, k).select(F.col("file_id").alias("base_id"), F.col("pos").alias("base_pos"), "fp")
-    s = windows(search, k).select(F.col("file_id").alias("search_id"), F.col("pos").alias("search_pos"), "fp")
+    """(base_id, search_id, base_pos, search_pos) of windows with equal fingerprints. A filter of the search set's fingerprints, of fixed size, is looked at in the rows of base, so only windows that may be found are shuffled; a search set too large for it is joined without. The windows of search are written first."""
+    prints = materialise(windows(search, k))
+    bits = print_filter(prints)
+    b = (windows(base, k) if bits is None else windows_near(base, k, bits)).select(F.col("file_id").alias("base_id"), F.col("pos").alias("base_pos"), "fp")
+    s = prints.select(F.col("file_id").alias("search_id"), F.col("pos").alias("search_pos"), "fp")
     return b.join(s, "fp").select("base_id", "search_id", "base_pos", "search_pos")
 
 
@@ -75,13 +104,9 @@ def search(base: DataFrame, wanted: DataFrame, k: int = WINDOW, fast: bool = Fal
     return hits.select("base_id", "search_id").distinct() if fast else merged(hits, k)
 
 
-def search_all(bases: dict[str, DataFrame], wanted: DataFrame, k: int = WINDOW) -> DataFrame:
-    """search() in several sets of files, with the set's name as origin."""
-    found = [search(base, wanted, k).withColumn("origin", F.lit(name)) for name, base in bases.items()]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+def search_all(base: DataFrame, origins: DataFrame, wanted: DataFrame, k: int = WINDOW) -> DataFrame:
+    """search() in files of several sets, with the set (file_id, origin) of each base file: one search, however many sets there are."""
+    return search(base, wanted, k).join(origins.select(F.col("file_id").alias("base_id"), "origin"), "base_id")
 
 
 def shares_window(base: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -72,24 +72,30 @@ def cpp_tokens(source: str) -> list[tuple[int, int, str, str]]:
 # Marks of C and C++ that stand alone, fixed by the languages.
 CPP_MARKS = frozenset("{}[]()#<>=+-*/%&|^!~?:;,.")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
+#: Tokens from which those of the files read so far are handed on.
+TOKENS = 1 << 16
 
 
 def nested(found: list[tuple[int, int, str, str]]) -> tuple[list[int], list[int], list[bool]]:
     """(parent, end, error) of tokens as cpp_tokens gives them: the place of the bracket that a token stands in, -1 at the top; the last place of what a bracket opens, itself for other tokens; and whether it is an error: a mark that the language does not have, a bracket that closes nothing, or one that is never closed. A closing bracket stands in what it closes."""
     parent, end, error, open_ = [], [], [], []
-    for k, (_, _, kind, text) in enumerate(found):
+    waiting = dict.fromkeys(_PAIRS.values(), 0)  # how many of each kind are open
+    for k, (_, _, kind, _) in enumerate(found):
         bad = len(kind) == 1 and not kind.isalnum() and kind not in CPP_MARKS
-        closes = kind in _PAIRS and any(found[i][2] == _PAIRS[kind] for i in open_)
+        closes = kind in _PAIRS and waiting[_PAIRS[kind]] > 0
         bad |= kind in _PAIRS and not closes
         while closes and found[open_[-1]][2] != _PAIRS[kind]:  # what was not closed ends before
             i = open_.pop()
+            waiting[found[i][2]] -= 1
             error[i], end[i] = True, k - 1
         parent.append(open_[-1] if open_ else -1)
         end.append(k)
         error.append(bad)
         if closes:
+            waiting[_PAIRS[kind]] -= 1
             end[open_.pop()] = k
-        elif kind in _PAIRS.values():
+        elif kind in waiting:
+            waiting[kind] += 1
             open_.append(k)
     for i in open_:
         error[i], end[i] = True, len(found) - 1
@@ -99,13 +105,18 @@ def nested(found: list[tuple[int, int, str, str]]) -> tuple[list[int], list[int]
 def cpp_stream(files: DataFrame, id_col: str, text_col: str = "content") -> DataFrame:
     """(file_id, pos, sym, name, line, depth, parent, end, error) of C and C++ files; a symbol stands for a token's class, and parent, end and error are those of nested()."""
 
+    columns = ["file_id", "pos", "kind", "name", "line", "depth", "parent", "end", "error"]
+
     def run(batches):
         for pdf in batches:
             rows = []
             for i, text in zip(pdf.file_id, pdf.text, strict=True):
                 found = cpp_tokens(text or "")
                 rows += [(i, k, kind, name, line, depth, *more) for k, ((line, depth, kind, name), more) in enumerate(zip(found, zip(*nested(found), strict=True), strict=True))]
-            yield pd.DataFrame(rows, columns=["file_id", "pos", "kind", "name", "line", "depth", "parent", "end", "error"])
+                if len(rows) >= TOKENS:  # a file, or some small ones
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     rows = files.select(F.col(id_col).cast("long").alias("file_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInPandas(run, "file_id long, pos long, kind string, name string, line long, depth long, parent long, end long, error boolean")

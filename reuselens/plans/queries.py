@@ -634,11 +634,9 @@ def vector_hashes(spark, sf_dir):
 
 @query(rf"""{match_sql()} SELECT r.*, coalesce(lang, '') AS origin FROM ranges r JOIN documents ON doc_id = base_id""")
 def search_by_origin(spark, sf_dir):
-    """The corpus as one set of files for each language, searched one by one."""
-    docs = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
-    names = sorted(r.lang for r in docs.select("lang").distinct().collect())  # the sets, a handful
-    bases = {name: tokens.text_symbols(docs.where(F.col("lang") == name), "doc_id") for name in names}
-    return search.search_all(bases, search_files(spark, sf_dir), K)
+    """The corpus as one set of files for each language, searched together."""
+    origins = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("lang", F.lit("")).alias("origin"))
+    return search.search_all(base_files(spark, sf_dir), origins, search_files(spark, sf_dir), K)
 
 
 @query(rf"""WITH l AS {_LINES.format(key="doc_id", source="documents")}, n AS (SELECT file_id, count(*) AS n FROM l GROUP BY file_id) SELECT file_id, count(*) AS n, sum(line)::bigint AS lines FROM l JOIN n USING (file_id) WHERE pos <= n - {K} GROUP BY file_id""")
