@@ -72,7 +72,8 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, strlen(text) AS bytes FROM documents WHERE strlen(text) <= 1048576")
 def scan_sized_files(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.octet_length("text") <= 1048576).select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes"))
+    docs = table(spark, sf_dir, "documents").withColumns({"path": F.concat("doc_id", F.lit(".txt")), "content": F.col("text")})
+    return files.typed(docs).select("doc_id", "lang", F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query("SELECT lang AS source_type, count(*) AS n, sum(strlen(text))::bigint AS total FROM documents GROUP BY lang")
@@ -270,10 +271,20 @@ def _rules(spark):
     return ini.rules(ini.ini_items(spark.createDataFrame([("lib/rules.ini", _RULES)], "path string, content string")))
 
 
-@query("""SELECT * FROM (VALUES ('lib', 'a', 'Content', 'src1', 'en', 'FalsePositive', '', NULL, NULL), ('lib', 'b', 'Content', 'src2', 'fr', 'AllowedByAuthor', '', NULL, NULL), ('lib', 'd', 'Ignore', NULL, NULL, NULL, NULL, NULL, NULL),
-    ('lib', 'e', 'CVE', NULL, NULL, NULL, 'done', 'CVE-1', 'Close'), ('lib', 'f', 'CVE', NULL, NULL, NULL, '', 'CVE-2', 'Open'), ('lib', '', 'Content', '', '', 'FalsePositive', '', NULL, NULL)) t(dir, block, type, db_file, search_file, reason, comment, cve, status)""")
+def _annotations(spark, sf_dir):
+    """(path, content) of an annotation file for each supplier."""
+    reason = "case s_suppkey % 3 when 0 then 'Other ; kept' when 1 then 'AllowedByAuthor' else 'Odd' end"
+    status = "case s_suppkey % 2 when 0 then 'Closed' else 'Odd' end"
+    lines = ("'key=outside'", "'[m]'", "'type=Content'", "'dbFile=' || s_name", "' searchFile = n' || s_nationkey", f"'reason=' || {reason}", "'; [skip]'", "'[v]'", "'type=CVE'", "'id=CVE-' || s_suppkey", f"'status=' || {status}", "'comment=old'", "'comment=c' || s_nationkey", "'[d]'", "'type=Ignore'", "'[o]'", "'type=Odd'", "'[empty]'")
+    return table(spark, sf_dir, "supplier").select(F.expr("'lib' || s_suppkey || '/rules.ini'").alias("path"), F.expr(f"concat_ws('\n', {', '.join(lines)})").alias("content"))
+
+
+@query("""SELECT 'lib' || s_suppkey AS dir, 'm' AS block, 'Content' AS type, s_name AS db_file, 'n' || s_nationkey AS search_file, CASE s_suppkey % 3 WHEN 1 THEN 'AllowedByAuthor' ELSE 'FalsePositive' END AS reason, '' AS comment, NULL AS cve, NULL AS status FROM supplier
+    UNION ALL SELECT 'lib' || s_suppkey, 'v', 'CVE', NULL, NULL, NULL, 'c' || s_nationkey, 'CVE-' || s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'Close' ELSE 'Open' END FROM supplier
+    UNION ALL SELECT 'lib' || s_suppkey, 'd', 'Ignore', NULL, NULL, NULL, NULL, NULL, NULL FROM supplier
+    UNION ALL SELECT 'lib' || s_suppkey, '', 'Content', '', '', 'FalsePositive', '', NULL, NULL FROM supplier""")
 def ini_rules(spark, sf_dir):
-    return _rules(spark)
+    return ini.rules(ini.ini_items(_annotations(spark, sf_dir)))
 
 
 @query("SELECT doc_id, source AS db_file, lang AS search_file FROM documents WHERE NOT ((source = 'src1' AND lang = 'en') OR (source = 'src2' AND lang = 'fr'))")
@@ -460,63 +471,95 @@ def restart_scan(spark, sf_dir):
 # Sources with their own readers
 
 
-# A few files of code: the second is the first with other names, the third with another operator.
-_CODE = {
-    "a.cpp": "int sum(int n) {\n  int total = 0; // all\n  for (int i = 0; i < n; ++i) total += i * 2;\n  return total;\n}\n",
-    "b.cpp": "int add(int count) { /* same */\n  int acc = 0;\n  for (int k = 0; k < count; ++k)\n    acc += k * 7;\n  return acc;\n}\n",
-    "c.cpp": "int sum(int n) {\n  int total = 0;\n  for (int i = 0; i < n; ++i) total -= i * 2;\n  return total;\n}\n",
-    "readme.txt": "sum of numbers",
-    "skip.bin": "no",
-}
+# Statements of code; of each file the digits of a hash choose twelve. $x, $y, $f and $i are names, $n is a number.
+_STATEMENTS = (
+    "$x = $n ;", "$x += $n ;", "if ( $x < $n ) $x = $n ;", "while ( $x > $n ) -- $x ;", "return $x ;", "$f ( $x , $n ) ;", "$x = $y + $n ;", "for ( $i = $n ; $i < $x ; ++ $i ) $y += $i ;",
+    "{ $x = $n ; }", "$x [ $n ] = $y ;", "do { $x -= $n ; } while ( $x ) ;", "switch ( $x ) { case $n : break ; }", "$x = $y ? $n : $x ;", "goto $x ;", "$x -> $y = $n ;", "$x << $y >> $n ;",
+)
+#: Tokens of a window in searches of code.
+CODE_K = 32
 
 
-def _code(spark):
-    return files.scan_buffers(spark, _CODE).where("source_type = 'cpp'")
+def _code(spark, sf_dir, name: str, key: str):
+    """(key, path, content) of a file of code for each row of a table, a line for each statement."""
+    digit = lambda i: F.conv(F.substr(F.md5(F.concat(F.lit(name), key)), i, F.lit(1)), 16, 10).cast("int")
+    lines = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.get(F.array(*map(F.lit, _STATEMENTS)), digit(i)))
+    content = F.array_join(lines, "\n")
+    for mark, text in (("$x", F.concat(F.lit("v"), F.col(key) % 5)), ("$y", F.lit("other")), ("$f", F.lit("call")), ("$i", F.lit("i")), ("$n", (F.col(key) % 3).cast("string"))):
+        content = F.replace(content, F.lit(mark), text)
+    return table(spark, sf_dir, name).select(F.col(key).alias("key"), F.concat(F.lit(f"{name}/"), key, F.lit(".cpp")).alias("path"), content.alias("content"))
 
 
-_PATHS = ("base_path", "search_path", "base_start", "base_end", "search_start", "search_end")
+def _code_sql(out: str, name: str, key: str) -> str:
+    some = "[" + ", ".join("[" + ", ".join(f"'{t}'" for t in s.split()) + "]" for s in _STATEMENTS) + "]"
+    kind = "CASE WHEN e.t = '$n' THEN 'number' WHEN e.t[1] = '$' THEN 'identifier' ELSE e.t END"
+    name_of = "CASE e.t WHEN '$x' THEN 'v' || (file_id % 5) WHEN '$y' THEN 'other' WHEN '$f' THEN 'call' WHEN '$i' THEN 'i' WHEN '$n' THEN (file_id % 3)::varchar ELSE e.t END"
+    return f"""{out}_e AS (SELECT file_id, flatten(list_transform(range(1, 13), lambda i: list_transform(s[('0x' || substr(h, i, 1))::int + 1], lambda t: {{'t': t, 'line': i}}))) AS k FROM (SELECT {key} AS file_id, md5('{name}' || {key}) AS h, {some} AS s FROM {name})),
+    {out} AS (SELECT file_id, list_transform(k, lambda e: ('0x' || substr(md5({kind}), 1, 8))::bigint) AS m, list_transform(k, lambda e: {name_of}) AS names, list_transform(k, lambda e: e.line) AS lines FROM {out}_e)"""
 
 
-def _code_ranges(spark, deep: bool):
-    """Shared runs of 10 symbols and more between the files of code, each pair of files once."""
-    scanned = files.scan_deep(_code(spark))
-    pairs = materialise(search.search(scanned, scanned, 10).where("base_id < search_id"))
-    pairs = search.deep_ranges(pairs, scanned, scanned) if deep else pairs
-    names = scanned.select("file_id", "path")
-    out = pairs.join(names.toDF("base_id", "base_path"), "base_id").join(names.toDF("search_id", "search_path"), "search_id")
-    # Ids are hashes of paths; the pair is told in order of the paths.
-    swap = F.col("base_path") > F.col("search_path")
-    sides = [(f"base_{x}", f"search_{x}") for x in ("path", "start", "end", *(("start_line", "end_line") if deep else ()))]
-    return out.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in sides), *(F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in sides), *(("n_renamed",) if deep else ()))
+_CODE_MATCH = f"""WITH {_code_sql("tb", "part", "p_partkey")}, {_code_sql("ts", "supplier", "s_suppkey")}, {win("wb", "tb", CODE_K)}, {win("ws", "ts", CODE_K)},
+    cand AS (SELECT b.file_id AS base_id, s.file_id AS search_id, b.pos AS base_pos, s.pos AS search_pos FROM wb b JOIN ws s USING (fp)),
+    hits AS (SELECT c.* FROM cand c JOIN tb ON tb.file_id = base_id JOIN ts ON ts.file_id = search_id WHERE tb.m[base_pos + 1:base_pos + {CODE_K}] = ts.m[search_pos + 1:search_pos + {CODE_K}]),
+    ranges AS ({ranges_sql("hits", CODE_K)})"""
+
 
+def _scanned(code):
+    """(file_id, syms, names, lines) of files of code, by their keys."""
+    named = code.select("key", F.xxhash64("path").alias("file_id"))
+    return files.scan_deep(files.typed(code)).join(named, "file_id").select(F.col("key").alias("file_id"), "syms", "names", "lines")
 
-@query("""SELECT base_path, search_path, base_start::bigint AS base_start, base_end::bigint AS base_end, search_start::bigint AS search_start, search_end::bigint AS search_end
-    FROM (VALUES ('a.cpp', 'b.cpp', 0, 35, 0, 35), ('a.cpp', 'c.cpp', 0, 26, 0, 26), ('b.cpp', 'c.cpp', 0, 26, 0, 26)) t(base_path, search_path, base_start, base_end, search_start, search_end)""")
+
+@query(f"{_CODE_MATCH} SELECT * FROM ranges")
 def cpp_search(spark, sf_dir):
-    return _code_ranges(spark, deep=False)
+    """Code of suppliers in code of parts, by the language's tokens."""
+    return search.search(_scanned(_code(spark, sf_dir, "part", "p_partkey")), _scanned(_code(spark, sf_dir, "supplier", "s_suppkey")), CODE_K)
 
 
-@query("""SELECT base_path, search_path, base_start::bigint AS base_start, base_end::bigint AS base_end, search_start::bigint AS search_start, search_end::bigint AS search_end, base_start_line::bigint AS base_start_line, base_end_line::bigint AS base_end_line,
-    search_start_line::bigint AS search_start_line, search_end_line::bigint AS search_end_line, n_renamed::bigint AS n_renamed
-    FROM (VALUES ('a.cpp', 'b.cpp', 0, 35, 0, 35, 1, 5, 1, 6, 11), ('a.cpp', 'c.cpp', 0, 26, 0, 26, 1, 3, 1, 3, 0), ('b.cpp', 'c.cpp', 0, 26, 0, 26, 1, 4, 1, 3, 8))
-    t(base_path, search_path, base_start, base_end, search_start, search_end, base_start_line, base_end_line, search_start_line, search_end_line, n_renamed)""")
+@query(f"""{_CODE_MATCH} SELECT r.*, tb.lines[base_start + 1] AS base_start_line, tb.lines[base_end + 1] AS base_end_line, ts.lines[search_start + 1] AS search_start_line, ts.lines[search_end + 1] AS search_end_line,
+    len(list_filter(list_zip(tb.names[base_start + 1:base_end + 1], ts.names[search_start + 1:search_end + 1]), lambda z: z[1] <> z[2])) AS n_renamed
+    FROM ranges r JOIN tb ON tb.file_id = base_id JOIN ts ON ts.file_id = search_id""")
 def cpp_search_deep(spark, sf_dir):
-    return _code_ranges(spark, deep=True)
+    return search.search_deep(_scanned(_code(spark, sf_dir, "part", "p_partkey")), _scanned(_code(spark, sf_dir, "supplier", "s_suppkey")), CODE_K)
+
 
+@query(f"WITH {_code_sql('t', 'part', 'p_partkey')} SELECT p_partkey, len(m)::bigint + p_size % 4 + p_partkey % 3 + p_size % 2 AS n_tokens, (p_size % 4 + p_partkey % 3 + p_size % 2)::bigint AS n_errors FROM t JOIN part ON p_partkey = file_id")
+def error_tokens(spark, sf_dir):
+    """Code of parts with brackets that close nothing, marks that the language has not got, and brackets that are never closed."""
+    size = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_size")
+    code = _code(spark, sf_dir, "part", "p_partkey").join(size, "key")
+    wrong = F.expr("concat(repeat(' )', p_size % 4), repeat(' @', int(key % 3)), repeat(' [', p_size % 2))")
+    code = code.select("key", "path", F.concat("content", wrong).alias("content"))
+    counts = tokens.error_share(files.streams(files.typed(code)))
+    return counts.join(code.select(F.xxhash64("path").alias("file_id"), F.col("key").alias("p_partkey")), "file_id").select("p_partkey", "n_tokens", "n_errors")
 
-@query("SELECT * FROM (VALUES ('a.cpp', 36::bigint, true), ('b.cpp', 36, true), ('c.cpp', 36, true)) t(path, n_symbols, same)")
+
+def _order_trees(spark, sf_dir):
+    """(file_id, content) of the orders of each customer as nested brackets: as many braces as the order's priority, around its lines."""
+    word = F.when(F.col("l_returnflag") == "A", "int").when(F.col("l_returnflag") == "N", "if").otherwise("for")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", word.alias("word")))), lambda x: F.concat(F.lit("( "), x.word, F.lit(" 1 ) "))), "").alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("n", F.substr("o_orderpriority", F.lit(1), F.lit(1)).cast("int"))
+    one = F.expr("concat(repeat('{ ', n), lines, repeat('} ', n))")
+    return orders.groupBy(F.col("o_custkey").alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("text")))), lambda x: x.text), "").alias("content"))
+
+
+_ORDER_TREES = "o AS (SELECT o_custkey, (o_orderpriority[1:1])::int AS d, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag DESC) AS lines, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority)"
+
+
+@query(f"WITH {_ORDER_TREES} SELECT o_custkey AS file_id, sum(2 * d + 4 * n)::bigint AS n_symbols, true AS same FROM o GROUP BY o_custkey")
 def tree_round_trip(spark, sf_dir):
-    """Trees of code are reduced to distinct subtrees and rebuilt."""
-    scanned = files.scan_deep(_code(spark)).select("file_id", "path", "syms")
-    back = dedup.rebuild_tree(*dedup.reduce_tree(files.streams(_code(spark)))).select("file_id", F.col("syms").alias("back"))
-    return scanned.join(back, "file_id", "left").select("path", F.size("syms").cast("long").alias("n_symbols"), F.coalesce(F.col("syms") == F.col("back"), F.lit(False)).alias("same"))
+    """Trees of the orders of customers are reduced to distinct subtrees and rebuilt."""
+    stream = materialise(tokens.cpp_stream(_order_trees(spark, sf_dir), "file_id"))
+    back = dedup.rebuild_tree(*dedup.reduce_tree(stream)).select("file_id", F.col("syms").alias("back"))
+    return tokens.symbol_arrays(stream).join(back, "file_id", "left").select("file_id", F.size("syms").cast("long").alias("n_symbols"), F.coalesce(F.col("syms") == F.col("back"), F.lit(False)).alias("same"))
 
 
-@query("SELECT * FROM (VALUES ('bad.cpp', 14::bigint, 5::bigint), ('good.cpp', 11, 0)) t(path, n_tokens, n_errors)")
-def error_tokens(spark, sf_dir):
-    found = files.scan_buffers(spark, {"good.cpp": "int f(int a) { return a; }", "bad.cpp": "int @f(int a)) { return a; ` ["})
-    counts = tokens.error_share(files.streams(found))
-    return found.select(F.xxhash64("path").alias("file_id"), "path").join(counts, "file_id").select("path", "n_tokens", "n_errors")
+@query(f"""WITH {_ORDER_TREES}, u AS (SELECT DISTINCT 3 AS n_items, l_returnflag AS u FROM lineitem UNION ALL SELECT DISTINCT n + 1, lines FROM o UNION ALL SELECT DISTINCT 2, lines || ' ' || j FROM (SELECT lines, unnest(range(2, d + 1)) AS j FROM o))
+    SELECT n_items::bigint AS n_items, count(*) AS n_units FROM u GROUP BY 1""")
+def tree_units(spark, sf_dir):
+    """Distinct subtrees of the orders of customers, by the number of their parts."""
+    units, _ = dedup.reduce_tree(tokens.cpp_stream(_order_trees(spark, sf_dir), "file_id"))
+    return units.groupBy(F.size("items").cast("long").alias("n_items")).agg(F.count("*").alias("n_units"))
 
 
 # Dumps, stored tables and refs
@@ -665,6 +708,6 @@ def codec_totals(spark, sf_dir):
     return codec.ratio_report(codec.sizes(blobs)).select("codec", "n", "original", F.when(F.col("codec") == "none", F.col("per_mille")).alias("per_mille"))
 
 
-@query("SELECT * FROM (VALUES ('CVE-1', 'done', 'Close'), ('CVE-2', '', 'Open')) t(cve, comment, status)")
+@query("SELECT 'CVE-' || s_suppkey AS cve, 'c' || s_nationkey AS comment, CASE s_suppkey % 2 WHEN 0 THEN 'Close' ELSE 'Open' END AS status FROM supplier")
 def cve_status(spark, sf_dir):
-    return rules.cve_status(_rules(spark))
+    return rules.cve_status(ini.rules(ini.ini_items(_annotations(spark, sf_dir))))
