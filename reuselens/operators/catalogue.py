@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 STATES = ("Idle", "Started", "Running", "Aborted", "Finished")
 #: State to the states that may follow it.
 TRANSITIONS = {"Idle": ("Started",), "Started": ("Running", "Aborted"), "Running": ("Finished", "Aborted"), "Aborted": ("Started",), "Finished": ("Started",)}
@@ -63,11 +67,42 @@ def nested(tables: dict[str, DataFrame]) -> DataFrame:
     return v.join(p, "project_id").join(s, "version_id", "left").select("group_id", "project_id", "version_id", "scans")
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes the catalogue's tables below path, each as a whole, so a reader meets the old table or the new one."""
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+LEVELS = ("group", "project", "version", "scan")
+
+
+def save(tables: dict[str, DataFrame], path: str, base: int | None = None) -> int:
+    """Stores the catalogue's tables, or some of them, as the version after base and gives its number; base is the version that they were made from, the newest by default. A save that fails leaves the catalogue as it was; one that another has overtaken raises versions.Conflict."""
+    spark = next(iter(tables.values())).sparkSession
+    return versions.save(spark, tables, path, base)
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> versions.Snapshot:
+    """The catalogue's tables, of the newest version by default."""
+    return versions.load(spark, path, version)
+
+
+def update(spark: SparkSession, path: str, change: Callable[[versions.Snapshot], dict[str, DataFrame] | None], tries: int = 20) -> int:
+    """Applies change, which gives the tables that are new, to the newest version, again if another writer was faster; gives the version made, or the one found if change gives nothing."""
+    for _ in range(tries):
+        held = load(spark, path)
+        new = change(held)
+        if not new:
+            return held.version
+        try:
+            return save(new, path, held.version)
+        except versions.Conflict:
+            continue
+    raise versions.Conflict(f"{tries} other writers were faster")
+
+
+def claim(spark: SparkSession, path: str) -> int | None:
+    """Takes the started scan with the smallest id, which is running from then on, and gives its id; None if there is none. Of two that claim at once each gets another scan."""
+    taken: list[int | None] = []
 
+    def change(held: versions.Snapshot) -> dict[str, DataFrame] | None:
+        job = next_scan(held["scan"]).select("id").first() if "scan" in held else None
+        taken.append(job.id if job else None)
+        return {"scan": moved(held["scan"], job.id, "Running")} if job else None
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("group", "project", "version", "scan")}
+    update(spark, path, change)
+    return taken[-1]

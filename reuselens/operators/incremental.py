@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import versions
+
 
 def new_tags(tags: DataFrame, done: DataFrame, with_sha: bool = False) -> DataFrame:
     """tags (repo, tag, sha) that done lacks, by name, or with with_sha by name and commit, so that a moved tag counts as new."""
@@ -75,3 +77,33 @@ def select_repos(repos: DataFrame, languages: tuple[str, ...], need_tags: bool =
     rows = repos.where(F.col("language").isin(*languages))
     explode = F.explode if need_tags else F.explode_outer
     return rows.select(F.col("full_name").alias("repo"), explode("tags").alias("t")).select("repo", F.col("t.name").alias("tag"), F.col("t.commit_sha").alias("sha"))
+
+
+def version_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, op, row) of what leads from one version of a table to another: op is insert, update or delete, row the new columns as a struct, null if the row is gone. Both have the same columns and each key once; null keys are keys."""
+    others = [c for c in after.columns if c not in keys]
+    b = before.select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(F.lit(1), *others).alias("_b"))
+    a = after.select(*keys, F.struct(F.lit(1), *others).alias("_a"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    op = F.when(F.col("_b").isNull(), "insert").when(F.col("_a").isNull(), "delete").otherwise("update")
+    rows = a.join(b, same, "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    key = lambda k: F.when(F.col("_a").isNull(), F.col(f"_{k}")).otherwise(F.col(k)).alias(k)
+    return rows.select(*map(key, keys), op.alias("op"), F.when(F.col("_a").isNotNull(), F.struct(*(F.col("_a").getField(c).alias(c) for c in others))).alias("row"))
+
+
+def with_changes(before: DataFrame, feed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The version that a feed of version_changes() makes of the one before."""
+    changed = feed.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & before[k].eqNullSafe(F.col(f"_{k}"))
+    return before.join(changed, same, "left_anti").unionByName(feed.where("op <> 'delete'").select(*keys, "row.*").select(*before.columns))
+
+
+def stored_changes(spark: SparkSession, path: str, name: str, first: int, last: int, keys: tuple[str, ...]) -> DataFrame:
+    """version_changes() of a stored table between two versions (operators.versions). Versions that share the table's files differ in nothing, and nothing of them is read."""
+    a, b = (versions.manifest(spark, path, v)[1]["tables"][name]["folder"] for v in (first, last))
+    before, after = versions.load(spark, path, first)[name], versions.load(spark, path, last)[name]
+    return version_changes(before.limit(0), after.limit(0), keys) if a == b else version_changes(before, after, keys)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +12,20 @@ def append(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> No
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def clustered(rows: DataFrame, path: str, keys: tuple[str, ...], buckets: int = 64) -> DataFrame:
+    """rows from a table below path that is stored in buckets of keys, each in order of them: a join on these keys takes the buckets as they are, and only its other side is shuffled. clustered_again() opens it in another session."""
+    name = f"clustered_{uuid.uuid4().hex}"
+    rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def clustered_again(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...], buckets: int = 64) -> DataFrame:
+    """The table that clustered() stored below path with such a schema, keys and number of buckets."""
+    name, by = f"clustered_{uuid.uuid4().hex}", ", ".join(f"`{k}`" for k in keys)
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def content_id(data: str):
     """An id that the content decides, so that writers need no counter."""
     return F.xxhash64(data)
@@ -69,7 +85,8 @@ def snippets(snippet: DataFrame, licence: DataFrame, trees: DataFrame) -> DataFr
 
 
 def files(file: DataFrame, tag: DataFrame, name: DataFrame, trees: DataFrame, licence: str = "") -> DataFrame:
-    """(file_id, path, sha, licence, syms) of file rows."""
+    """(file_id, path, sha, licence, syms) of file rows. Where trees (data_id, data_index, syms) is clustered() by its two ids, it is not shuffled."""
     rows = lookup(file, tag.select(F.col("id").alias("tag_id"), "sha"), "tag_id", "sha", "")
     rows = lookup(rows, name.select(F.col("id").alias("path_id"), F.col("name").alias("path")), "path_id", "path", "")
-    return rows.join(trees.withColumnRenamed("data_index", "file_index"), ["data_id", "file_index"]).select(F.col("id").alias("file_id"), "path", "sha", F.lit(licence).alias("licence"), "syms")
+    rows = rows.withColumnRenamed("file_index", "data_index")
+    return rows.join(trees, ["data_id", "data_index"]).select(F.col("id").alias("file_id"), "path", "sha", F.lit(licence).alias("licence"), "syms")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import batches, catalogue, codec, dedup, dictionary, incremental, rules, search, store, tokens
-from ..shared import materialise
+from ..operators import batches, catalogue, codec, dedup, dictionary, incremental, rules, search, store, tokens, versions, windowindex
+from ..shared import materialise, scratch
 from ..sources import files, ini
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,28 @@ def match_verified(spark, sf_dir):
     return search.verified(search.candidates(base, wanted, K), base, wanted, K)
 
 
+def _index(spark, sf_dir):
+    """A stored index of the corpus, in a segment for each half."""
+    path, files_ = scratch(spark), base_files(spark, sf_dir)
+    for half in (0, 1):
+        windowindex.add_segment(files_.where(F.col("file_id") % 2 == half), path, f"half-{half}", K)
+    return path
+
+
+@query(f"{match_sql()} SELECT * FROM ranges")
+def index_search(spark, sf_dir):
+    """match_ranges by a stored index of two segments."""
+    return windowindex.search_index(spark, _index(spark, sf_dir), base_files(spark, sf_dir), search_files(spark, sf_dir), K)
+
+
+@query(f"WITH {tok('t', 'documents', 'doc_id')}, {win('w', 't', K)} SELECT (fp >> 26)::int AS range, count(*) AS n_rows, sum(n)::bigint AS n_windows FROM (SELECT fp, file_id, count(*) AS n FROM w GROUP BY ALL) GROUP BY 1")
+def index_ranges(spark, sf_dir):
+    """What the folders of the index hold after its segments are merged."""
+    path = _index(spark, sf_dir)
+    windowindex.merge_segments(spark, path)
+    return windowindex.index_rows(spark, path).groupBy("range").agg(F.count("*").alias("n_rows"), F.sum(F.size("positions")).alias("n_windows"))
+
+
 @query(f"{match_sql()} SELECT DISTINCT base_id, search_id FROM hits")
 def match_fast(spark, sf_dir):
     return search.search(base_files(spark, sf_dir), search_files(spark, sf_dir), K, fast=True)
@@ -410,6 +432,34 @@ def change_feed(spark, sf_dir):
     return incremental.since(table(spark, sf_dir, "events"), "ts", "2024-01-05 00:00:00").select("event_id", "user_id")
 
 
+def _two_versions(spark, sf_dir):
+    """Orders as they were and are: some are new since, some were priced otherwise, some are gone."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    before = orders.where("o_orderkey % 10 <> 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 2, 0.0).otherwise(F.col("o_totalprice")))
+    return before, orders.where("o_orderkey % 11 <> 5")
+
+
+def _stored_versions(spark, sf_dir):
+    path = scratch(spark)
+    for rows in _two_versions(spark, sf_dir):
+        versions.save(spark, {"orders": rows}, path)
+    return path
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN 'insert' WHEN o_orderkey % 11 = 5 THEN 'delete' ELSE 'update' END AS op, CASE WHEN o_orderkey % 10 = 1 OR o_orderkey % 11 <> 5 THEN o_totalprice END AS price
+    FROM orders WHERE (o_orderkey % 10 = 1 AND o_orderkey % 11 <> 5) OR (o_orderkey % 10 <> 1 AND o_orderkey % 11 = 5) OR (o_orderkey % 10 <> 1 AND o_orderkey % 7 = 2 AND o_totalprice <> 0)""")
+def version_changes(spark, sf_dir):
+    feed = incremental.stored_changes(spark, _stored_versions(spark, sf_dir), "orders", 1, 2, ("o_orderkey",))
+    return feed.select("o_orderkey", "op", F.col("row.o_totalprice").alias("price"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 <> 5")
+def versions_applied(spark, sf_dir):
+    """The feed between two versions makes the second of the first."""
+    path = _stored_versions(spark, sf_dir)
+    return incremental.with_changes(versions.load(spark, path, 1)["orders"], incremental.stored_changes(spark, path, "orders", 1, 2, ("o_orderkey",)), ("o_orderkey",))
+
+
 @query("SELECT event_id, (props->>'$.k')::bigint AS k FROM events")
 def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
@@ -597,7 +647,8 @@ def stored_files(spark, sf_dir):
     file = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("data_id"), F.col("l_linenumber").cast("long").alias("file_index"), F.col("l_suppkey").alias("path_id"), F.col("l_orderkey").alias("tag_id"))
     tag = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("sha"))
     name = table(spark, sf_dir, "supplier").where("s_suppkey > 3").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return store.files(file, tag, name, _trees(spark, sf_dir)).select("file_id", "path", "sha", F.aggregate("syms", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    trees = store.clustered(_trees(spark, sf_dir), scratch(spark), ("data_id", "data_index"))
+    return store.files(file, tag, name, trees).select("file_id", "path", "sha", F.aggregate("syms", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("""SELECT l_orderkey AS internal_id, coalesce(r_name, '') AS licence, CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END::bigint AS n FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN region ON r_regionkey = l_suppkey % 7 WHERE l_linenumber <= 2""")
