@@ -49,7 +49,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     may let a single text through, which then forms a group of its own, and never loses one.
 
     Null texts count as empty. Equal ids are one document: all rows of the smallest id stay. A null
-    id stays only where its group has no other. An empty table gives an empty result.
+    id stays only where its group has no other. An empty table gives an empty result. A text of any length
+    is normalised and hashed whole; only digests are shuffled. Other columns are not read but for keep,
+    whose names must not be those of the result.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), spaced(F.coalesce(F.col(text_col), F.lit(""))).alias("_norm"), *keep)

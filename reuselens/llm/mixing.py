@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import ranked
 from .common import materialise, scratch, text_or_empty, words_of
 
 #: Weights of the sources in the order of their names, repeating; null comes last.
@@ -52,18 +53,36 @@ def sainte_lague(votes: DataFrame, group: str, house: str, unit: float | Column,
     number changes all shares by no more than a factor of 1 + (d + n) / seats, so a member changes
     by its share of d + n and 2 at most: only so many of its quotients are ranked. Ties go by order.
     """
-    of = Window.partitionBy(group)
-    v = votes.withColumn("_s", F.floor(F.col("votes") / unit + 0.5).cast("long")).withColumn("_d", F.col(house) - F.sum("_s").over(of))
-    most = F.when(F.col("votes") > 0, F.ceil((F.abs("_d") + F.count("*").over(of)) * F.col("votes") / F.sum("votes").over(of)) + 2).otherwise(0)
+    v = votes.withColumn("_s", F.floor(F.col("votes") / unit + 0.5).cast("long"))
+    v = materialise(v, f"{scratch(v.sparkSession)}/votes")
+    sums = v.groupBy(F.col(group).alias("_of")).agg(F.sum("_s").alias("_seats"), F.count("*").alias("_n"), F.sum("votes").alias("_all"))
+    v = v.join(sums, F.col(group) == F.col("_of")).withColumn("_d", F.col(house) - F.col("_seats"))
+    most = F.when(F.col("votes") > 0, F.ceil((F.abs("_d") + F.col("_n")) * F.col("votes") / F.col("_all")) + 2).otherwise(0)
     seat = F.when(F.col("_d") > 0, F.col("_s") + F.col("_k") - 1).otherwise(F.col("_s") - F.col("_k"))
     near = v.withColumn("_most", F.least(most, F.abs("_d")).cast("long")).where("_most > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most")))).withColumn("_seat", seat).where("_seat >= 0")
     near = near.withColumn("_q", F.col("votes") / (2 * F.col("_seat") + 1))
-    rank = F.row_number().over(of.orderBy(F.when(F.col("_d") > 0, -F.col("_q")).otherwise(F.col("_q")), *order))
-    near = near.withColumn("_at", rank).where(F.col("_at") <= F.abs("_d")).groupBy(*(F.col(c).alias(f"_by_{c}") for c in order)).agg(F.sum(F.signum("_d")).cast("long").alias("_change"))
+    near = near.withColumn("_first", F.when(F.col("_d") > 0, -F.col("_q")).otherwise(F.col("_q")))
+    near = ranked(near.select(group, *(c for c in order if c != group), "_first", "_k", "_d"), (group,), ("_first", *order, "_k"), "_at")
+    near = near.where(F.col("_at") < F.abs("_d")).groupBy(*(F.col(c).alias(f"_by_{c}") for c in order)).agg(F.sum(F.signum("_d")).cast("long").alias("_change"))
     same = F.lit(True)
     for c in order:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return v.join(near, same, "left").withColumn("seats", F.col("_s") + F.coalesce("_change", F.lit(0))).drop("_s", "_d", "_change", *(f"_by_{c}" for c in order))
+    return v.join(near, same, "left").withColumn("seats", F.col("_s") + F.coalesce("_change", F.lit(0))).drop("_s", "_d", "_change", "_of", "_seats", "_n", "_all", *(f"_by_{c}" for c in order))
+
+
+def within_room(members: DataFrame, group: str, house: str, room: str, order: tuple[str, ...]) -> DataFrame:
+    """members with seats of room at most. What a member has no room for goes to the highest quotients of others of its group that have; it is lost only if none has."""
+    at = scratch(members.sparkSession)
+    m = materialise(members.withColumn("seats", F.least("seats", room)), f"{at}/held")
+    short = m.groupBy(F.col(group).alias("_of")).agg((F.max(house) - F.sum("seats")).alias("_short")).where("_short > 0")
+    free = m.where(F.col("seats") < F.col(room)).join(materialise(short, f"{at}/short"), F.col(group) == F.col("_of")).where("votes > 0")
+    free = free.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col(room) - F.col("seats"), "_short")))).withColumn("_first", -F.col("votes") / (2 * (F.col("seats") + F.col("_k")) - 1))
+    free = ranked(free.select(group, *(c for c in order if c != group), "_first", "_k", "_short"), (group,), ("_first", *order, "_k"), "_at")
+    more = free.where("_at < _short").groupBy(*(F.col(c).alias(f"_by_{c}") for c in order)).agg(F.count("*").alias("_more"))
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return m.join(more, same, "left").withColumn("seats", F.col("seats") + F.coalesce("_more", F.lit(0))).drop("_more", *(f"_by_{c}" for c in order))
 
 
 def _seeded(seed: int, *parts: Column) -> Column:
@@ -81,13 +100,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Blocks are taken in rounds; the last, partial round takes those with the least seeded hash. A
     block is never taken more often than ceil(target / size), 2 at most, so neither is a document.
 
-    No sum or order ever spans more than one shard or the table of shards of one source, so a source
-    with a third of all rows is spread like any other. Sizes count words; a null text has none.
-    Rows that repeat a doc_id count as documents of their own, in an order that their sizes fix. An
-    empty table gives an empty result.
+    No sum or order ever spans more than one shard, or one row for each source; shards are ranked by
+    ranges (shared.ranked), so a source with a third of all rows is spread like any other. Sizes count words; a
+    null text has none, and a text of any length is counted whole. A null source is a source. Rows that repeat a
+    doc_id count as documents of their own, in an order that their sizes fix. An empty table gives an
+    empty result. Columns named in keep are carried along; their names must not be those of the result.
     """
+    result = ("doc_id", "source", "size", "source_size", "target", "taken", "spans")
+    if set(keep) & set(result):
+        raise ValueError(f"columns of the result: {', '.join(sorted(set(keep) & set(result)))}")
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("size"), *keep)
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("size"), F.struct(F.lit(0), *keep).alias("_kept"))
     sizes = materialise(sizes, f"{at}/sizes")
     targets = source_targets(sizes, weights, share)
     # Blocks a source may take are also bounded by what its shards hold.
@@ -99,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = sizes.join(targets.select(F.col("source").alias("_s"), "shards"), F.col("source").eqNullSafe(F.col("_s")))
     placed = placed.withColumn("_order", _seeded(seed, F.col("doc_id"))).withColumn("shard", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("shards")).cast("int"))
     line = Window.partitionBy("source", "shard").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("stop", F.sum("size").over(line)).select("doc_id", "source", "shard", "size", (F.col("stop") - F.col("size")).alias("start"), "stop", *keep)
+    placed = placed.withColumn("stop", F.sum("size").over(line)).select("doc_id", "source", "shard", "size", (F.col("stop") - F.col("size")).alias("start"), "stop", "_kept")
     placed = materialise(placed, f"{at}/placed")
 
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
@@ -107,7 +130,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shards = shards.withColumn("votes", F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(0.0)).withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     shards = sainte_lague(shards, "_group", "source_seats", F.col("words"), ("source", "shard"))
     blocks = F.greatest(F.floor(F.col("shard_size") / F.col("words") + 0.5), F.lit(1)).cast("long")
-    shards = shards.withColumn("blocks", blocks).withColumn("seats", F.least("seats", F.ceil(F.col("votes") / F.greatest(F.col("shard_size"), F.lit(1))) * F.col("blocks")))
+    shards = shards.withColumn("blocks", blocks).withColumn("room", (F.ceil(F.col("votes") / F.greatest(F.col("shard_size"), F.lit(1))) * F.col("blocks")).cast("long"))
+    shards = within_room(shards, "_group", "source_seats", "room", ("source", "shard"))
     shards = materialise(shards.select("source", "shard", "shard_size", "blocks", "seats"), f"{at}/shards")
 
     # One row per block of a shard: how often it is taken.
@@ -126,4 +150,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     taken = taken.withColumn("spans", inside.cast("array<struct<start:bigint,stop:bigint,times:int>>"))
     taken = taken.withColumn("taken", F.expr("aggregate(spans, 0L, (a, x) -> a + (x.stop - x.start) * x.times)"))
-    return taken.join(targets.select(F.col("source").alias("_t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_t"))).select("doc_id", "source", "size", "source_size", "target", "taken", "spans", *keep)
+    return taken.join(targets.select(F.col("source").alias("_t"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_t"))).select("doc_id", "source", "size", "source_size", "target", "taken", "spans", *(F.col("_kept").getField(c).alias(c) for c in keep))

@@ -236,7 +236,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     class throughout, so copies are never compared with each other. Null ids take part, but give a
     component its id only if it has no other. Rows that repeat a doc_id are rows of their own, and
     texts are read whole, however long. An empty table gives an empty result. Other columns of docs
-    are not read but for keep.
+    are not read but for keep, whose names must not be those of the result.
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     rows = materialise(fingerprints(docs, id_col, text_col, words, prints, keep), f"{at}/fps")
