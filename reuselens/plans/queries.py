@@ -63,6 +63,12 @@ def ranges_sql(hits: str, k: int) -> str:
         FROM (SELECT *, base_pos - row_number() OVER (PARTITION BY base_id, search_id, base_pos - search_pos ORDER BY base_pos) AS run FROM {hits}) GROUP BY base_id, search_id, base_pos - search_pos, run"""
 
 
+def renamed_sql(base: str, search: str) -> str:
+    """Renamed names of two lists, how many from the start on one renaming explains, and whether it explains all: it does where pairs, names of the one and names of the other are equally many."""
+    one = lambda n: f"len(list_distinct(list_zip({base}[1:{n}], {search}[1:{n}]))) = len(list_distinct({base}[1:{n}])) AND len(list_distinct({base}[1:{n}])) = len(list_distinct({search}[1:{n}]))"
+    return f"""len(list_filter(list_zip({base}, {search}), lambda z: z[1] <> z[2])) AS n_renamed, list_max(list_filter(range(1, len({base}) + 1), lambda n: {one("n")})) AS explained, {one(f"len({base})")} AS consistent"""
+
+
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(base_files(spark, sf_dir), search_files(spark, sf_dir), K)
 
@@ -227,7 +233,7 @@ _LINED = f"""{match_sql()}, lb AS {_LINES.format(key="doc_id", source="documents
 
 @query(f"{_LINED} SELECT * FROM lined")
 def match_lines(spark, sf_dir):
-    return _lined(spark, sf_dir).drop("n_renamed")
+    return _lined(spark, sf_dir).drop("n_renamed", "explained", "consistent")
 
 
 _LICENCE = "CASE WHEN contains(text, 'GNU General Public License') THEN 'GPL' WHEN contains(text, 'Apache License') THEN 'Apache-2.0' WHEN contains(text, 'MIT License') THEN 'MIT' WHEN contains(text, 'CC BY-NC') THEN 'CC-BY-NC' ELSE '' END"
@@ -239,6 +245,25 @@ def match_with_content(spark, sf_dir):
     return search.with_content(_lined(spark, sf_dir), contents).select("base_id", "search_id", "base_start", "search_start", "licence", "content")
 
 
+# Long words as one symbol, as names are in code: texts of equal build match, and a range tells if one renaming makes one of the other.
+BUILD_K = 20
+
+
+def _build_sql(name: str, source: str, key: str) -> str:
+    return rf"{name} AS (SELECT {key} AS file_id, names, list_transform(names, lambda t: CASE WHEN length(t) > 3 THEN 4 ELSE ('0x' || substr(md5(t), 1, 8))::bigint END) AS m FROM (SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda t: t <> '') AS names FROM {source}))"
+
+
+@query(f"""WITH {_build_sql("tb", "documents", "doc_id")}, {_build_sql("ts", "benchmark", "item_id")},
+    wb AS (SELECT file_id, i AS pos, array_to_string(m[i + 1:i + {BUILD_K}], ' ') AS w FROM (SELECT file_id, m, unnest(range(0, len(m) - {BUILD_K - 1})) AS i FROM tb)),
+    ws AS (SELECT file_id, i AS pos, array_to_string(m[i + 1:i + {BUILD_K}], ' ') AS w FROM (SELECT file_id, m, unnest(range(0, len(m) - {BUILD_K - 1})) AS i FROM ts)),
+    hits AS (SELECT b.file_id AS base_id, s.file_id AS search_id, b.pos AS base_pos, s.pos AS search_pos FROM wb b JOIN ws s USING (w)), ranges AS ({ranges_sql("hits", BUILD_K)})
+    SELECT r.*, {renamed_sql("tb.names[base_start + 1:base_end + 1]", "ts.names[search_start + 1:search_end + 1]")} FROM ranges r JOIN tb ON tb.file_id = base_id JOIN ts ON ts.file_id = search_id""")
+def renamed_ranges(spark, sf_dir):
+    deep = lambda name, key: tokens.text_deep(table(spark, sf_dir, name), key).withColumn("syms", F.transform("names", lambda t: F.when(F.length(t) > 3, 4).otherwise(scalars.symbol_of(t))))
+    found = search.search_deep(deep("documents", "doc_id"), deep("benchmark", "item_id"), BUILD_K)
+    return found.drop("base_start_line", "base_end_line", "search_start_line", "search_end_line")
+
+
 _SELF = f"""WITH {tok("t0", "documents", "doc_id")}, t AS (SELECT min(file_id) AS file_id, m FROM t0 GROUP BY m), {win("w", "t", SELF_K)},
     cand AS (SELECT b.file_id AS base_id, s.file_id AS search_id, b.pos AS base_pos, s.pos AS search_pos FROM w b JOIN w s ON b.fp = s.fp AND b.file_id < s.file_id),
     hits AS (SELECT c.* FROM cand c JOIN t a ON a.file_id = base_id JOIN t b ON b.file_id = search_id WHERE a.m[base_pos + 1:base_pos + {SELF_K}] = b.m[search_pos + 1:search_pos + {SELF_K}])"""
@@ -567,7 +592,7 @@ def cpp_search(spark, sf_dir):
 
 
 @query(f"""{_CODE_MATCH} SELECT r.*, tb.lines[base_start + 1] AS base_start_line, tb.lines[base_end + 1] AS base_end_line, ts.lines[search_start + 1] AS search_start_line, ts.lines[search_end + 1] AS search_end_line,
-    len(list_filter(list_zip(tb.names[base_start + 1:base_end + 1], ts.names[search_start + 1:search_end + 1]), lambda z: z[1] <> z[2])) AS n_renamed
+    {renamed_sql("tb.names[base_start + 1:base_end + 1]", "ts.names[search_start + 1:search_end + 1]")}
     FROM ranges r JOIN tb ON tb.file_id = base_id JOIN ts ON ts.file_id = search_id""")
 def cpp_search_deep(spark, sf_dir):
     return search.search_deep(_scanned(_code(spark, sf_dir, "part", "p_partkey")), _scanned(_code(spark, sf_dir, "supplier", "s_suppkey")), CODE_K)
