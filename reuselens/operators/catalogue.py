@@ -49,6 +49,16 @@ def moved(scans: DataFrame, scan_id: int, state: str) -> DataFrame:
     return scans.withColumn("status", F.when((F.col("id") == scan_id) & F.col("status").isin(*allowed), state).otherwise(F.col("status")))
 
 
+def status_log(events: DataFrame) -> DataFrame:
+    """(scan_id, event_id, ts, event, status, accepted) of events (scan_id, event_id, ts, event): the status of a scan after each event, an event being the state that it is to enter, by TRANSITIONS from Idle on. An event that the status does not allow changes nothing. The events of one scan are folded in the row of the scan."""
+    held = events.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event"))).alias("_e"))
+    allowed = " or ".join(f"(s.status = '{state}' and e.event in ({', '.join(repr(x) for x in after)}))" for state, after in TRANSITIONS.items())
+    step = f"named_struct('status', if({allowed}, e.event, s.status), 'done', concat(s.done, array(named_struct('status', if({allowed}, e.event, s.status), 'accepted', {allowed}))))"
+    folded = F.expr(f"aggregate(_e, named_struct('status', 'Idle', 'done', cast(array() as array<struct<status: string, accepted: boolean>>)), (s, e) -> {step}).done")
+    rows = held.select("scan_id", F.explode(F.arrays_zip(F.col("_e"), folded.alias("_d"))).alias("z"))
+    return rows.select("scan_id", "z._e.event_id", "z._e.ts", "z._e.event", "z._d.status", F.coalesce("z._d.accepted", F.lit(False)).alias("accepted"))
+
+
 def next_scan(scans: DataFrame) -> DataFrame:
     """The started scan with the smallest id."""
     return scans.where("status = 'Started'").orderBy("id").limit(1)

@@ -514,6 +514,16 @@ def scan_progress(spark, sf_dir):
     return catalogue.progress(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), (F.col("l_linestatus") == "F").alias("done")))
 
 
+@query("""WITH e AS (SELECT user_id, list(CASE event_type WHEN 'view' THEN 'Running' WHEN 'signup' THEN 'Started' WHEN 'click' THEN 'Finished' WHEN 'error' THEN 'Aborted' ELSE 'Idle' END ORDER BY ts, event_id) AS e FROM events GROUP BY user_id),
+    s AS (SELECT user_id, list_transform(range(1, len(e) + 1), lambda n: list_reduce(list_prepend('Idle', e[1:n]), lambda a, x: CASE WHEN (a = 'Idle' AND x = 'Started') OR (a = 'Started' AND x IN ('Running', 'Aborted')) OR (a = 'Running' AND x IN ('Finished', 'Aborted')) OR (a IN ('Aborted', 'Finished') AND x = 'Started') THEN x ELSE a END)) AS s FROM e)
+    SELECT user_id AS scan_id, s[-1] AS status, len(list_filter(range(1, len(s) + 1), lambda n: s[n] <> CASE WHEN n = 1 THEN 'Idle' ELSE s[n - 1] END)) AS n_accepted FROM s""")
+def scan_statuses(spark, sf_dir):
+    """Events of users as what happens to scans: where each ends, and how many events its states allowed."""
+    kind = F.when(F.col("event_type") == "view", "Running").when(F.col("event_type") == "signup", "Started").when(F.col("event_type") == "click", "Finished").when(F.col("event_type") == "error", "Aborted").otherwise("Idle")
+    log = catalogue.status_log(table(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), "event_id", "ts", kind.alias("event")))
+    return log.groupBy("scan_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count_if("accepted").alias("n_accepted"))
+
+
 def _levels(spark, sf_dir):
     return {
         "group": table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name")),

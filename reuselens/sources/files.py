@@ -40,6 +40,7 @@ def scan_path(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES)
 
 
 def scan_buffers(spark: SparkSession, buffers: dict[str, str], max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(path, content, source_type) of the supported buffers of max_bytes at most; oversized() tells what is left out."""
     return typed(spark.createDataFrame(list(buffers.items()), "path string, content string"), max_bytes)
 
 
@@ -65,22 +66,50 @@ def streams(files: DataFrame) -> DataFrame:
     return out
 
 
-def unzip(archives: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(archive, path, content) of the files in archives (path, content binary) of max_bytes at most; each file is a row of its own."""
+def oversized(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, bytes) of the files (path, content) that typed() and scan_buffers() leave out for their size."""
+    return files.where(F.octet_length("content") > max_bytes).select("path", F.octet_length("content").cast("long").alias("bytes"))
+
+
+def zip_entries(archives: DataFrame) -> DataFrame:
+    """(archive, path, bytes) of all files in archives (path, content binary), by their directories; nothing is unpacked. Those of more than max_bytes are what unzip() leaves out."""
+
+    def run(batches):
+        for pdf in batches:
+            for name, data in zip(pdf.path, pdf.content, strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    some = [i for i in z.infolist() if not i.is_dir()]
+                    yield pd.DataFrame({"archive": [name] * len(some), "path": [i.filename for i in some], "bytes": [i.file_size for i in some]})
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, path string, bytes long")
+
+
+def unzip(archives: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(archive, path, content) of the files in archives (path, content binary) of max_bytes at most, or of any size; each file is a row of its own. zip_entries() tells what is left out."""
 
     def run(batches):
         for pdf in batches:
             for name, data in zip(pdf.path, pdf.content, strict=True):
                 with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
                     for info in z.infolist():
-                        if not info.is_dir() and info.file_size <= max_bytes:
+                        if not info.is_dir() and (max_bytes is None or info.file_size <= max_bytes):
                             yield pd.DataFrame({"archive": [name], "path": [info.filename], "content": [z.read(info).decode("utf-8", "replace")]})
 
     return archives.select("path", "content").mapInPandas(run, "archive string, path string, content string")
 
 
-def scan_zips(spark: SparkSession, path: str) -> DataFrame:
-    return typed(unzip(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)))
+def zips(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+
+
+def scan_zips(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """The supported files in the archives below path, of max_bytes at most; skipped_zips() tells what is left out."""
+    return typed(unzip(zips(spark, path), max_bytes), max_bytes)
+
+
+def skipped_zips(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(archive, path, bytes) of the files that scan_zips leaves out for their size."""
+    return zip_entries(zips(spark, path)).where(F.col("bytes") > max_bytes)
 
 
 def dump_posts(spark: SparkSession, path: str) -> DataFrame:
