@@ -72,6 +72,23 @@ def sizes(blobs: DataFrame, codecs: tuple[str, ...] = ("none", "zlib", "lzma"),
     return blobs.select("id", "data").mapInPandas(run, "id long, codec string, modifier string, original long, packed long")
 
 
+def frames(blobs: DataFrame, codec: str, modifier: str = "none") -> DataFrame:
+    """(id, frame) of blobs (id, data), packed."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf.id, "frame": [pack(bytes(d), codec, modifier) for d in pdf.data]})
+
+    return blobs.select("id", "data").mapInPandas(run, "id long, frame binary")
+
+
+def frame_headers(packed: DataFrame) -> DataFrame:
+    """packed (id, frame, ...) with codec, modifier and original, the numbers that a frame begins with; contents are not unpacked."""
+    # Numbers are stored with their lowest byte first.
+    number = lambda at: F.conv(F.concat(*(F.hex(F.substring("frame", at + k, 1)) for k in (3, 2, 1, 0))), 16, 10).cast("long")
+    return packed.withColumn("codec", number(1)).withColumn("modifier", number(5)).withColumn("original", number(9))
+
+
 def round_trips(blobs: DataFrame, codecs: tuple[str, ...] = tuple(CODECS), modifiers: tuple[str, ...] = tuple(MODIFIERS)) -> DataFrame:
     """(id, codec, modifier, original, same) for blobs (id, data): whether every choice gives the data back."""
     choices = [(c, m) for c in codecs for m in modifiers]

@@ -780,6 +780,16 @@ def codec_round_trips(spark, sf_dir):
     return codec.round_trips(blobs)
 
 
+@query("""WITH b AS (SELECT doc_id, strlen(text) AS n, list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::int) AS b FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)),
+    f AS (SELECT doc_id, n, printf('0000000001000000%02x%02x%02x%02x', n & 255, (n >> 8) & 255, (n >> 16) & 255, (n >> 24) & 255) || array_to_string(list_transform(range(1, n + 1), lambda i: printf('%02x', (b[i] - coalesce(b[i - 1], 0)) & 255)), '') || repeat('00', (4 - n % 4) % 4) AS f FROM b)
+    SELECT doc_id AS id, 0::bigint AS codec, 1::bigint AS modifier, n::bigint AS original, length(f) // 2 AS bytes, sha256(unhex(f)) AS frame_sha256 FROM f""")
+def codec_frames(spark, sf_dir):
+    """Frames of delta-coded documents: the header's numbers, and a digest of header, differences and padding."""
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    found = codec.frame_headers(codec.frames(blobs, "none", "delta"))
+    return found.select("id", "codec", "modifier", "original", F.octet_length("frame").cast("long").alias("bytes"), F.sha2("frame", 256).alias("frame_sha256"))
+
+
 @query("SELECT doc_id AS id, strlen(text)::bigint AS original, true AS least FROM documents")
 def codec_choice_is_least(spark, sf_dir):
     blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))

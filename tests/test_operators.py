@@ -303,3 +303,18 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     assert ranges(feed.latest(spark, table).select("k", "at", "v")) == [("a", 3, "z"), ("b", 1, "y")]
     versions = feed._buckets(spark, table)
     assert all(len(v) <= 2 for v in versions.values()) and sum(len(v) for v in versions.values()) < 6
+
+
+def test_frame_sizes(spark):
+    """Golden sizes of some blobs: a header of 12 bytes, the payload, and padding to 4."""
+    blobs = {1: b"", 2: b"abcde", 3: bytes(range(256)) * 4, 4: b"a" * 1000}
+    frames = {(k, c, m): codec.pack(d, c, m) for k, d in blobs.items() for c in codec.CODECS for m in codec.MODIFIERS}
+    size = lambda *key: len(frames[key])
+    assert [size(k, "none", "none") for k in blobs] == [0, 5, 1024, 1000]
+    assert [size(k, "none", "delta") for k in blobs] == [12, 20, 1036, 1012]
+    # Differences of a ramp are ones, so they pack far better than the ramp.
+    assert size(3, "zlib", "delta") < 40 < 250 < size(3, "zlib", "none") and size(4, "zlib", "none") < 40
+    assert all(len(f) % 4 == 0 for (k, c, m), f in frames.items() if (c, m) != ("none", "none"))
+    packed = spark.createDataFrame([(k, d) for k, d in blobs.items()], "id long, data binary")
+    got = codec.frame_headers(codec.frames(packed, "bz2", "delta")).collect()
+    assert {(r.id, r.codec, r.modifier, r.original) for r in got} == {(k, 3, 1, len(d)) for k, d in blobs.items()}
