@@ -113,9 +113,10 @@ def skipped_zips(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) ->
 
 
 def dump_posts(spark: SparkSession, path: str) -> DataFrame:
-    """(snippet_id, date, licence, body) of a posts dump, one XML row per post."""
+    """(snippet_id, date, licence, body) of a posts dump, one XML row per post and line, which is the format. Lines are read as text, so a dump of any size is split over many tasks; what is not a row is passed over."""
     schema = "_Id bigint, _CreationDate string, _ContentLicense string, _Body string"
-    rows = spark.read.format("xml").option("rowTag", "row").schema(schema).load(path)
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*<row\s"))
+    rows = lines.select(F.from_xml("value", schema, {"rowTag": "row"}).alias("r")).select("r.*")
     return rows.select(F.col("_Id").alias("snippet_id"), F.col("_CreationDate").alias("date"), F.coalesce("_ContentLicense", F.lit("")).alias("licence"), F.coalesce("_Body", F.lit("")).alias("body"))
 
 
