@@ -138,6 +138,18 @@ def anchors(files: DataFrame, k: int) -> DataFrame:
     return exploded(rows, "file_id", found, "_k", "a").select("file_id", "a.pos", "a.fp")
 
 
+def anchor_spans(files: DataFrame, k: int) -> DataFrame:
+    """(file_id, fp, first, last): the anchors() of files, each with the first and last window that has it."""
+    part = (k + 1) // 2
+    rows = sliding_hash(files.select("file_id", "syms"), F.col("syms"), part, "_hashes")
+    order = F.transform("_hashes", lambda x, i: F.shiftleft(x.bitwiseAND(0x7FFFFFFF), 32).bitwiseOR(i.cast("long")))
+    rows = sliding_least(rows, order, k - part + 1, "_least")
+    # From window to window an anchor stays or moves on, so the windows of one are neighbours.
+    rows = rows.withColumn("_starts", F.expr("filter(transform(_least, (x, i) -> if(i > 0 and get(_least, i - 1) = x, -1, i)), i -> i >= 0)"))
+    found = f"transform(_starts, (i, n) -> named_struct('fp', get(_hashes, int(get(_least, i) & {U32}L)), 'first', i, 'last', coalesce(get(_starts, n + 1), size(_least)) - 1))"
+    return exploded(rows, "file_id", F.expr(found), "_k", "a").select("file_id", "a.*")
+
+
 def periodic_runs(files: DataFrame, k: int) -> DataFrame:
     """files (file_id, syms) with runs, an array of (a, z, period, word): all maximal stretches a to z of at least k symbols in which every symbol is the one `period` places before, for the least such period of k / 2 at most. word is the least rotation of what is repeated, so runs of equal words hold windows of each other.
 
@@ -209,9 +221,14 @@ def equal_runs(pairs: DataFrame, files: DataFrame, k: int) -> DataFrame:
 
 
 def reuse(files: DataFrame, k: int = WINDOW) -> DataFrame:
-    """Ranges of files whose windows another file of the set has too, each window linked with the file of the smallest id that has it: (base_id, search_id, base_start, base_end, search_start, search_end). A passage that very many files share gives a row for each, not for each pair."""
-    hashed = sliding_hash(files.select("file_id", "syms"), F.col("syms"), check_window(k), "_hashes")
-    w = materialise(exploded(hashed, "file_id", F.col("_hashes"), "pos", "fp").withColumn("pos", F.col("pos").cast("long")))
+    """Ranges of files whose windows another file of the set has too, each window linked with the file of the smallest id that has it: (base_id, search_id, base_start, base_end, search_start, search_end). A passage that very many files share gives a row for each, not for each pair. Only windows whose anchor another file has, too, become rows."""
+    spans = materialise(anchor_spans(files, check_window(k)))
+    shared = spans.groupBy("fp").agg(F.min("file_id").alias("_a"), F.max("file_id").alias("_z")).where("_a < _z").select("fp")
+    spans = spans.join(materialise(shared), "fp", "left_semi").groupBy("file_id").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    held = files.join(materialise(spans), "file_id")
+    hashed = sliding_hash(held.select("file_id", "syms", "_spans"), F.col("syms"), k, "_hashes")
+    some = F.expr("flatten(transform(_spans, s -> transform(sequence(s.first, s.last), i -> named_struct('pos', bigint(i), 'fp', get(_hashes, i)))))")
+    w = materialise(exploded(hashed, "file_id", some, "_k", "w").select("file_id", "w.pos", "w.fp"))
     first = w.groupBy("fp").agg(F.min(F.struct("file_id", "pos")).alias("_f"), F.max("file_id").alias("_z")).where("_f.file_id < _z")
     first = materialise(first.select("fp", F.col("_f.file_id").alias("base_id"), F.col("_f.pos").alias("base_pos")))
     found = w.join(first, "fp").where("file_id > base_id").select("base_id", F.col("file_id").alias("search_id"), "base_pos", F.col("pos").alias("search_pos"))
