@@ -51,7 +51,8 @@ def sainte_lague(votes: DataFrame, group: str, house: str, unit: float | Column,
     then go to the highest quotients that are left, and as many as are too many leave from the
     lowest that were taken. If d seats are off among n members, the divisor that gives the right
     number changes all shares by no more than a factor of 1 + (d + n) / seats, so a member changes
-    by its share of d + n and 2 at most: only so many of its quotients are ranked. Ties go by order.
+    by its share of d + n and 2 at most: only so many of its quotients are ranked. Of equal quotients the first by order wins a seat that is missing, and
+    loses one that is too many.
     """
     v = votes.withColumn("_s", F.floor(F.col("votes") / unit + 0.5).cast("long"))
     v = materialise(v, f"{scratch(v.sparkSession)}/votes")

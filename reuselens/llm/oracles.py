@@ -90,8 +90,8 @@ shard AS (SELECT d.*, ('0x' || substr(h, 1, 8))::bigint % greatest(1, ceil(n::do
 line AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY h, size ROWS UNBOUNDED PRECEDING)::bigint AS stop FROM shard),
 sh AS (SELECT l.source, shard, sum(size)::bigint AS shard_size, greatest(floor(sum(size) / any_value(words)::double + 0.5), 1)::bigint AS blocks FROM line l JOIN tgt ON l.source IS NOT DISTINCT FROM tgt.source GROUP BY l.source, shard),
 votes AS (SELECT sh.*, CASE WHEN source_size > 0 THEN target * shard_size / source_size ELSE 0 END AS votes, words, coalesce(seats, 0) AS source_seats FROM sh JOIN tgt ON sh.source IS NOT DISTINCT FROM tgt.source LEFT JOIN seats ON seats.source IS NOT DISTINCT FROM sh.source),
-won AS (SELECT source, shard, count(*) AS seats FROM (SELECT source, shard, source_seats, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS place FROM (SELECT source, shard, source_seats, votes / (2 * unnest(range(0, (votes / words)::bigint + 40)) + 1) AS q FROM votes)) WHERE place <= source_seats GROUP BY source, shard),
-quota AS (SELECT v.*, least(coalesce(won.seats, 0), ceil(votes / greatest(shard_size, 1)) * blocks)::bigint AS seats FROM votes v LEFT JOIN won ON won.source IS NOT DISTINCT FROM v.source AND won.shard = v.shard),
+won AS (SELECT source, shard, count(*) AS seats FROM (SELECT source, shard, source_seats, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) AS place FROM (SELECT source, shard, source_seats, votes / (2 * unnest(range(0, (ceil(votes / greatest(shard_size, 1)) * blocks)::bigint)) + 1) AS q FROM votes)) WHERE place <= source_seats GROUP BY source, shard),
+quota AS (SELECT v.*, coalesce(won.seats, 0) AS seats FROM votes v LEFT JOIN won ON won.source IS NOT DISTINCT FROM v.source AND won.shard = v.shard),
 block AS (SELECT source, shard, b, b * shard_size // blocks AS a, (b + 1) * shard_size // blocks AS z, seats // blocks + (row_number() OVER (PARTITION BY source, shard ORDER BY md5('{seed}:' || coalesce(source, '') || ':' || shard || ':' || b), b) <= seats % blocks)::bigint AS times
     FROM (SELECT *, unnest(range(0, blocks)) AS b FROM quota)),
 took AS (SELECT l.doc_id, l.size, l.source, l.stop, sum(greatest(least(l.stop, z) - greatest(l.stop - l.size, a), 0) * times)::bigint AS taken FROM line l JOIN block k ON k.source IS NOT DISTINCT FROM l.source AND k.shard = l.shard GROUP BY ALL)
