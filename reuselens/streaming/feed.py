@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from ..operators.incremental import upsert
 
@@ -52,7 +52,7 @@ def keep_newest(stream: DataFrame, table: str, checkpoint: str, key: str, order:
         batch = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
         touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # at most `buckets` numbers
         stored = [held[b][-1] for b in touched if b in held]
-        rows = spark.read.option("basePath", table).schema(StructType([f for f in batch.schema.fields if f.name != "_bucket"]).add("version", "int").add("_bucket", "int")).parquet(*(p for _, p in stored)).drop("version") if stored else batch.limit(0)
+        rows = spark.read.option("basePath", table).schema(StructType([f for f in batch.schema.fields if f.name != "_bucket"]).add("version", IntegerType()).add("_bucket", IntegerType())).parquet(*(p for _, p in stored)).drop("version") if stored else batch.limit(0)
         upsert(rows.select(*batch.columns), batch, key, order).write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/version={n}")
         batch.unpersist()
         for old in (p for b in touched for _, p in held.get(b, [])[:-1]):
