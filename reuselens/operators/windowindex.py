@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..model import WINDOW
 from ..shared import materialise
 from . import versions
-from .search import SLOTS, check_window, merged, print_filter, verified, window_index, windows
+from .search import check_window, merged, verified, window_index, windows
 
 #: Ranges of fingerprints, each a folder of a segment: the upper 6 of their 32 bits.
 RANGE_BITS = 26
@@ -72,14 +71,11 @@ def merge_segments(spark: SparkSession, path: str, name: str = "merged") -> int:
 
 
 def index_candidates(spark: SparkSession, path: str, wanted: DataFrame, k: int = WINDOW) -> DataFrame:
-    """search.candidates() of files of wanted (file_id, syms) in the index: only the ranges that they have fingerprints in are read, and of these only rows that their filter lets through are shuffled."""
+    """search.candidates() of files of wanted (file_id, syms) in the index: only the ranges that they have fingerprints in are read."""
     prints = materialise(windows(wanted, k))
-    rows, bits = index_rows(spark, path), print_filter(prints)
+    rows = index_rows(spark, path)
     near = [r[0] for r in prints.select(F.shiftright("fp", RANGE_BITS).cast("int")).distinct().collect()]  # 64 at most
     rows = rows.where(F.col("range").isin(near))
-    if bits is not None:
-        word = F.get(F.from_json(F.lit(json.dumps(bits)), "array<bigint>"), F.shiftright(F.col("fp").bitwiseAND(SLOTS - 1), 6).cast("int"))
-        rows = rows.where(F.getbit(word, F.col("fp").bitwiseAND(63)) == 1)
     s = prints.select("fp", F.col("file_id").alias("search_id"), F.col("pos").alias("search_pos"))
     found = rows.select("fp", F.col("file_id").alias("base_id"), "positions").join(s, "fp")
     return found.select("base_id", "search_id", F.explode("positions").alias("base_pos"), "search_pos").distinct()
