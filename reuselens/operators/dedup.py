@@ -27,16 +27,16 @@ def rebuild(units: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def reduce_tree(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units (unit, items), roots (file_id, items)) of a symbol stream with parent and end: each distinct subtree, which is a bracket and what it holds, once. items are (at, sym, unit): a symbol, or a symbol that opens the subtree unit, and its place within what the bracket holds. Names and lines do not count.
+    """(units (unit, items), roots (file_id, items)) of a symbol stream with parent and end: each distinct subtree, which is a bracket or a node and what it holds, once. items are (at, sym, unit): a symbol, or a symbol that opens the subtree unit, and its place within what the bracket holds. Names and lines do not count.
 
-    A subtree is a run of its file's symbols. Runs are told by hashes of all stretches of 1, 2, 4, ...
+    A subtree is a run of its file's symbols, each with the length of what it opens, which tells its shape. Runs are told by hashes of all stretches of 1, 2, 4, ...
     symbols, made by doubling inside the row of the file: two stretches of the largest such size, at
     both ends of a run, cover it, and with its length they name it by 128 bits. So a file takes
     time by its length and the logarithm of that, however deep it is, and separate jobs agree on units.
     """
     held = stream.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sym", "parent", "end"))).alias("_t"))
     held = held.withColumn("_levels", F.expr("int(floor(log2(greatest(1, array_max(transform(_t, t -> t.end - t.pos + 1))))))"))
-    for name, seed in (("_h", "t.sym"), ("_g", "t.sym, 'second'")):
+    for name, seed in (("_h", "t.sym, t.end - t.pos"), ("_g", "t.sym, t.end - t.pos, 'second'")):
         last = "element_at(p, -1)"
         more = f"zip_with(slice({last}, 1, greatest(size({last}) - j, 0)), slice({last}, j + 1, greatest(size({last}) - j, 0)), (x, y) -> xxhash64(x, y))"
         held = held.withColumn(name, F.expr(f"aggregate(transform(filter(sequence(0, _levels), i -> i > 0), i -> int(shiftleft(1, i - 1))), array(transform(_t, t -> xxhash64({seed}))), (p, j) -> concat(p, array({more})))"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import batches, catalogue, codec, dedup, dictionary, incremental, rules, search, store, tokens, versions, windowindex
+from ..operators import batches, catalogue, codec, dedup, dictionary, incremental, rules, search, store, syntax, tokens, versions, windowindex
 from ..shared import materialise, scratch
 from ..sources import files, ini
 
@@ -647,6 +647,46 @@ def tree_units(spark, sf_dir):
     return units.groupBy(F.size("items").cast("long").alias("n_items")).agg(F.count("*").alias("n_units"))
 
 
+# Syntax trees
+
+#: Statement for each return flag, and the kinds of its nodes in depth-first order. The last one lacks its semicolon.
+_LINE_CODE = {
+    "A": ("t += l -> price * $v - n ;", "expression += identifier - * -> identifier identifier identifier identifier"),
+    "N": ("if ( t < n ) t = f ( l , n ) ;", "if < identifier identifier expression = identifier call identifier identifier identifier"),
+    "R": ("{ t = t + n * 2 }", "block expression = identifier + identifier * identifier number error"),
+}
+_HEAD = "file function type int declarator identifier parameters parameter type struct identifier declarator pointer identifier parameter type int declarator identifier block declaration type int declarator identifier number"
+
+
+def _order_code(spark, sf_dir):
+    """(file_id, content): a function of C for each order, a statement for each of its lines; names depend on the order."""
+    source = F.expr("CASE l_returnflag " + " ".join(f"WHEN '{flag}' THEN '{text}'" for flag, (text, _) in _LINE_CODE.items()) + " END")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", source.alias("source")))).alias("lines"))
+    body = F.replace(F.array_join(F.transform("lines", lambda x: x.source), "\n"), F.lit("$v"), F.concat(F.lit("v"), F.col("file_id") % 5))
+    return lines.select("file_id", F.concat(F.lit("int total_"), "file_id", F.lit(" ( struct line * l , int n ) {\nint t = 0 ;\n"), body, F.lit("\nreturn t ; }\n")).alias("content"))
+
+
+_ORDER_CODE = f"""s AS (SELECT l_orderkey AS file_id, string_split('{_HEAD} ' || string_agg(CASE l_returnflag {" ".join(f"WHEN '{flag}' THEN '{kinds}'" for flag, (_, kinds) in _LINE_CODE.items())} END, ' ' ORDER BY l_linenumber, l_returnflag) || ' return identifier', ' ') AS kinds,
+    string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey)"""
+
+
+@query(f"""WITH {_ORDER_CODE} SELECT file_id, len(kinds)::bigint AS n_nodes, len(list_filter(kinds, lambda k: k = 'error'))::bigint AS n_errors, CASE WHEN flags SIMILAR TO '.*[AR].*' THEN 8 ELSE 7 END::bigint AS depth,
+    list_sum(list_transform(kinds, lambda k, i: ('0x' || substr(md5(k), 1, 8))::bigint * i))::bigint AS order_sum FROM s""")
+def syntax_trees(spark, sf_dir):
+    """Nodes, error nodes and depth of the trees of code of orders, and a sum that tells kinds and their order."""
+    stream = syntax.c_stream(_order_code(spark, sf_dir), "file_id")
+    return stream.groupBy("file_id").agg(F.count("*").alias("n_nodes"), F.count_if("error").alias("n_errors"), F.max("depth").alias("depth"), F.sum(F.col("sym") * (F.col("pos") + 1)).alias("order_sum"))
+
+
+@query(f"WITH {_ORDER_CODE} SELECT min(file_id) AS keep_id, len(any_value(kinds))::bigint AS n_nodes, count(*) AS n_files FROM s GROUP BY flags")
+def renamed_code(spark, sf_dir):
+    """Functions that differ by their names only: files of one tree, by the smallest of them."""
+    stream = materialise(syntax.c_stream(_order_code(spark, sf_dir), "file_id"))
+    _, roots = dedup.reduce_tree(stream)
+    sizes = stream.where("parent = -1").select("file_id", (F.col("end") + 1).alias("n_nodes"))
+    return roots.select("file_id", F.col("items")[0]["unit"].alias("unit")).join(sizes, "file_id").groupBy("unit").agg(F.min("file_id").alias("keep_id"), F.first("n_nodes").alias("n_nodes"), F.count("*").alias("n_files")).drop("unit")
+
+
 # Dumps, stored tables and refs
 
 
