@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import symbol_of
-from .tokens import TOKENS, cpp_tokens, register
+from .tokens import TOKENS, cpp_tokens
 
 # Operators and words of C, fixed by the language.
 PRECEDENCE = {op: k for k, ops in enumerate(("||", "&&", "|", "^", "&", "== !=", "< > <= >=", "<< >>", "+ -", "* / %")) for op in ops.split()}
@@ -394,7 +394,10 @@ def flat(tree: Node) -> list[tuple[str, int, int, int, int]]:
 
 
 def c_stream(files: DataFrame, id_col: str, text_col: str = "content") -> DataFrame:
-    """(file_id, pos, sym, name, line, depth, parent, end, error): one row per node of each file's tree, in depth-first order. A symbol stands for a node's kind, so renamed code has equal symbols; name and line are those of the token that the node starts at. A null or empty file is one node."""
+    """(file_id, pos, sym, name, line, depth, parent, end, error): one row per node of each file's tree, in depth-first order. A symbol stands for a node's kind, so renamed code has equal symbols; name and line are those of the token that the node starts at. A null or empty file is one node.
+
+    tokens.register("c", ("c",), c_stream) puts it in the place of the lexer for files of that extension.
+    """
 
     columns = ["file_id", "pos", "kind", "name", "line", "depth", "parent", "end", "error"]
 
@@ -415,7 +418,3 @@ def c_stream(files: DataFrame, id_col: str, text_col: str = "content") -> DataFr
     rows = files.select(F.col(id_col).cast("long").alias("file_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInPandas(run, "file_id long, pos long, kind string, name string, line long, depth long, parent long, end long, error boolean")
     return out.select("file_id", "pos", symbol_of(F.col("kind")).alias("sym"), "name", "line", "depth", "parent", "end", "error")
-
-
-# No extension is given to it: register("c", ("c",), c_stream) puts it in the place of the lexer.
-register("c", (), c_stream)

@@ -119,7 +119,7 @@ def test_any_tokens_give_a_tree():
 
 def test_stream_of_renamed_null_and_odd_files(spark):
     rows = [(1, "int f(int a) { return a * 2; }"), (2, "int  g(int b)\n{ return b * 7; }"), (3, "int f(int a) { return a + 2; }"), (4, None), (5, ""), (6, "/* only a remark */"), (1, "x;")]
-    stream = tokens.HANDLERS["c"](spark.createDataFrame(rows[:-1], "id long, content string"), "id")
+    stream = syntax.c_stream(spark.createDataFrame(rows[:-1], "id long, content string"), "id")
     syms = {r.file_id: r.syms for r in tokens.symbol_arrays(stream).collect()}
     assert syms[1] == syms[2] != syms[3]
     assert syms[4] == syms[5] == syms[6] and len(syms[4]) == 1
