@@ -49,6 +49,11 @@ def moved(scans: DataFrame, scan_id: int, state: str) -> DataFrame:
     return scans.withColumn("status", F.when((F.col("id") == scan_id) & F.col("status").isin(*allowed), state).otherwise(F.col("status")))
 
 
+def restarted(scans: DataFrame, scan_id: int) -> DataFrame:
+    """scans with a scan started again, whatever its state: one that is started or running is aborted first."""
+    return moved(moved(scans, scan_id, "Aborted"), scan_id, "Started")
+
+
 def status_log(events: DataFrame) -> DataFrame:
     """(scan_id, event_id, ts, event, status, accepted) of events (scan_id, event_id, ts, event): the status of a scan after each event, an event being the state that it is to enter, by TRANSITIONS from Idle on. An event that the status does not allow changes nothing. The events of one scan are folded in the row of the scan."""
     held = events.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event"))).alias("_e"))
