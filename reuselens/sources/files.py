@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blocks, decode_entities, extension
 from ..model import MAX_BYTES, REPO
-from ..operators.tokens import FILE_TYPES, HANDLERS, deep_arrays
+from ..operators.tokens import DEEP, FILE_TYPES, HANDLERS, deep_arrays
 
 
 def file_types(spark: SparkSession) -> DataFrame:
@@ -53,7 +53,12 @@ def scan_sizes(files: DataFrame) -> DataFrame:
 
 def scan_deep(files: DataFrame) -> DataFrame:
     """(file_id, path, source_type, syms, names, lines) of scanned files: the deep mode keeps the text and the line of each symbol."""
-    return deep_arrays(streams(files)).join(files.select(F.xxhash64("path").alias("file_id"), "path", "source_type"), "file_id")
+    out = None
+    for source_type, handler in HANDLERS.items():
+        some = files.where(F.col("source_type") == source_type).select(F.xxhash64("path").alias("file_id"), "content")
+        made = DEEP[source_type](some, "file_id") if source_type in DEEP else deep_arrays(handler(some, "file_id"))
+        out = made if out is None else out.unionByName(made)
+    return out.join(files.select(F.xxhash64("path").alias("file_id"), "path", "source_type"), "file_id")
 
 
 def streams(files: DataFrame) -> DataFrame:
