@@ -9,12 +9,15 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Codec to its number in a frame, and what packs and unpacks.
 CODECS = {"none": (0, lambda b: b, lambda b: b), "lzma": (1, lambda b: lzma.compress(b, preset=5), lzma.decompress), "zlib": (2, lambda b: zlib.compress(b, 9), zlib.decompress), "bz2": (3, bz2.compress, bz2.decompress)}
 MODIFIERS = {"none": 0, "delta": 1}
+#: Bytes of frames from which a task hands them on.
+PORTION = 4 << 20
 
 
 def delta_encode(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
@@ -62,24 +65,37 @@ def unpack(frame: bytes) -> bytes:
 
 
 def sizes(blobs: DataFrame, codecs: tuple[str, ...] = ("none", "zlib", "lzma"), modifiers: tuple[str, ...] = ("none",)) -> DataFrame:
-    """(id, codec, modifier, original, packed) for blobs (id, data) under every choice."""
+    """(id, codec, modifier, original, packed) for blobs (id, data) under every choice. Blobs are taken from their batch one by one, so a task holds one copy at a time."""
     choices = [(c, m) for c in codecs for m in modifiers]
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(i, c, m, len(d), len(pack(bytes(d), c, m))) for i, d in zip(pdf.id, pdf.data, strict=True) for c, m in choices], columns=["id", "codec", "modifier", "original", "packed"])
+        for batch in batches:
+            rows = []
+            for i, data in zip(batch.column(0), batch.column(1), strict=True):
+                d = data.as_py()
+                rows += [(i.as_py(), c, m, len(d), len(pack(d, c, m))) for c, m in choices]
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["id", "codec", "modifier", "original", "packed"])
 
-    return blobs.select("id", "data").mapInPandas(run, "id long, codec string, modifier string, original long, packed long")
+    return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, "id long, codec string, modifier string, original long, packed long")
 
 
 def frames(blobs: DataFrame, codec: str, modifier: str = "none") -> DataFrame:
-    """(id, frame) of blobs (id, data), packed."""
+    """(id, frame) of blobs (id, data), packed. Frames leave a task as PORTION bytes and a blob at most."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf.id, "frame": [pack(bytes(d), codec, modifier) for d in pdf.data]})
-
-    return blobs.select("id", "data").mapInPandas(run, "id long, frame binary")
+        for batch in batches:
+            first, packed, size = 0, [], 0
+            for k in range(batch.num_rows):
+                data = batch.column(1)[k].as_py()
+                packed.append(pack(data, codec, modifier))
+                size += len(packed[-1])
+                if size >= PORTION or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k + 1 - first), pa.array(packed, pa.binary())], ["id", "frame"])
+                    first, packed, size = k + 1, [], 0
+
+    return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, "id long, frame binary")
 
 
 def frame_headers(packed: DataFrame) -> DataFrame:
