@@ -8,13 +8,22 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The dictionary of LZMA at preset 5.
+_DICTIONARY = 8 << 20
+
+
+def _lzma(data: bytes) -> bytes:
+    """Preset 5 with a dictionary no larger than the data can fill: the tables of the whole one take longer to set up than a short blob to pack."""
+    room = min(_DICTIONARY, max(4096, 1 << (len(data) - 1).bit_length()))
+    return lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": 5, "dict_size": room}])
+
+
 #: Codec to its number in a frame, and what packs and unpacks.
-CODECS = {"none": (0, lambda b: b, lambda b: b), "lzma": (1, lambda b: lzma.compress(b, preset=5), lzma.decompress), "zlib": (2, lambda b: zlib.compress(b, 9), zlib.decompress), "bz2": (3, bz2.compress, bz2.decompress)}
+CODECS = {"none": (0, lambda b: b, lambda b: b), "lzma": (1, _lzma, lzma.decompress), "zlib": (2, lambda b: zlib.compress(b, 9), zlib.decompress), "bz2": (3, bz2.compress, bz2.decompress)}
 MODIFIERS = {"none": 0, "delta": 1}
 #: Bytes of frames from which a task hands them on.
 PORTION = 4 << 20
@@ -64,6 +73,11 @@ def unpack(frame: bytes) -> bytes:
     return (_undelta(data) if modifier else data)[:size]
 
 
+def _dealt(blobs: DataFrame) -> DataFrame:
+    """(id, data) of blobs, dealt to tasks by id: packing takes far longer than moving, and a file may have most blobs in one piece."""
+    return blobs.select(F.col("id").cast("long").alias("id"), "data").repartition("id")
+
+
 def sizes(blobs: DataFrame, codecs: tuple[str, ...] = ("none", "zlib", "lzma"), modifiers: tuple[str, ...] = ("none",)) -> DataFrame:
     """(id, codec, modifier, original, packed) for blobs (id, data) under every choice. Blobs are taken from their batch one by one, so a task holds one copy at a time."""
     choices = [(c, m) for c in codecs for m in modifiers]
@@ -78,7 +92,7 @@ def sizes(blobs: DataFrame, codecs: tuple[str, ...] = ("none", "zlib", "lzma"),
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["id", "codec", "modifier", "original", "packed"])
 
-    return blobs.select(F.col("id").cast("long").alias("id"), "data").mapInArrow(run, "id long, codec string, modifier string, original long, packed long")
+    return _dealt(blobs).mapInArrow(run, "id long, codec string, modifier string, original long, packed long")
 
 
 def frames(blobs: DataFrame, codec: str, modifier: str = "none") -> DataFrame:
@@ -110,11 +124,16 @@ def round_trips(blobs: DataFrame, codecs: tuple[str, ...] = tuple(CODECS), modif
     choices = [(c, m) for c in codecs for m in modifiers]
 
     def run(batches):
-        for pdf in batches:
-            rows = [(i, c, m, len(d), (d if c == m == "none" else unpack(pack(d, c, m))) == d) for i, d in zip(pdf.id, map(bytes, pdf.data), strict=True) for c, m in choices]
-            yield pd.DataFrame(rows, columns=["id", "codec", "modifier", "original", "same"])
+        for batch in batches:
+            rows = []
+            for i, data in zip(batch.column(0), batch.column(1), strict=True):
+                d = data.as_py()
+                rows += [(i.as_py(), c, m, len(d), (d if c == m == "none" else unpack(pack(d, c, m))) == d) for c, m in choices]
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["id", "codec", "modifier", "original", "same"])
 
-    return blobs.select("id", "data").mapInPandas(run, "id long, codec string, modifier string, original long, same boolean")
+    return _dealt(blobs).mapInArrow(run, "id long, codec string, modifier string, original long, same boolean")
 
 
 def choose(found: DataFrame, force: str | None = None) -> DataFrame:
