@@ -53,12 +53,16 @@ def scan_sizes(files: DataFrame) -> DataFrame:
 
 def scan_deep(files: DataFrame) -> DataFrame:
     """(file_id, path, source_type, syms, names, lines) of scanned files: the deep mode keeps the text and the line of each symbol."""
+    columns, keep = ("file_id", "path", "source_type", "syms", "names", "lines"), ("path", "source_type")
     out = None
     for source_type, handler in HANDLERS.items():
-        some = files.where(F.col("source_type") == source_type).select(F.xxhash64("path").alias("file_id"), "content")
-        made = DEEP[source_type](some, "file_id") if source_type in DEEP else deep_arrays(handler(some, "file_id"))
-        out = made if out is None else out.unionByName(made)
-    return out.join(files.select(F.xxhash64("path").alias("file_id"), "path", "source_type"), "file_id")
+        some = files.where(F.col("source_type") == source_type).select(F.xxhash64("path").alias("file_id"), *keep, "content")
+        if source_type in DEEP:
+            made = DEEP[source_type](some, "file_id", keep=keep)
+        else:
+            made = deep_arrays(handler(some, "file_id")).join(some.select("file_id", *keep), "file_id")
+        out = made.select(*columns) if out is None else out.unionByName(made.select(*columns))
+    return out
 
 
 def streams(files: DataFrame) -> DataFrame:
