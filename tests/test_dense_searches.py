@@ -14,7 +14,7 @@ def some(spark, rng, n, first):
         syms = [rng.randrange(0, 2 if i % 5 == 0 else 4) for _ in range(rng.randrange(0, 60))]
         if i % 9 == 0:
             syms = list(range(rng.randrange(100, 150), 6000)) if i % 18 else [7, 8, 9] * rng.randrange(0, 20)
-        rows.append((first + i, syms, [f"n{rng.randrange(0, 5)}" for _ in syms], [k // 4 + 1 for k, _ in enumerate(syms)]))
+        rows.append((first + i, syms, [f"n{rng.randrange(0, 5)}" if i % 3 else f"m{i}{x % 9}" for x in syms], [k // 4 + 1 for k, _ in enumerate(syms)]))
     return spark.createDataFrame(rows, "file_id long, syms array<bigint>, names array<string>, lines array<bigint>")
 
 
@@ -55,6 +55,20 @@ def test_code_searches_shuffle_no_windows(spark, monkeypatch):
     assert queries.cpp_search(spark, "/root/testdata/sf0.001").count() >= 0
 
 
+def test_blocks_give_the_rows_of_a_deep_search(spark, monkeypatch):
+    rng = random.Random(6)
+    base, wanted = some(spark, rng, 20, 0).cache(), some(spark, rng, 10, 5).cache()
+    want = search.search_deep(base, wanted, 7)
+    columns = want.columns
+    want = rows_of(want, columns)
+    assert {r[-1] for r in want} == {True, False}
+    for side in ("BASE_BLOCK", "SEARCH_BLOCK"):
+        monkeypatch.setattr(kernels, side, 500)
+    monkeypatch.setattr(search, "deep_ranges", None)
+    assert rows_of(search.search_blocks(base, wanted, 7, deep=True), columns) == want
+    assert queries.cpp_search_deep(spark, "/root/testdata/sf0.001").columns == columns
+
+
 def test_words_of_a_line_are_its_tokens():
     rng = random.Random(5)
     parts = ["a", "if", "x1", "12", "1e+5", "->*", "<<=", "(", "}", "@", "::", " ", "  ", "\t", "\x0b", " ", "\n", "//", "/", "*", '"', "'", "#", "é", ".5", "u8", "R"]
