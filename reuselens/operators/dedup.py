@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exploded
+from ..functions import kernels
 from ..shared import materialise
 from .tokens import tree_arrays
 
@@ -28,26 +28,8 @@ def rebuild(units: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(units, "unit").groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x.body), "\n").alias("text"))
 
 
-def _groups(stream: DataFrame) -> DataFrame:
-    """(file_id, _groups) of a symbol stream, or of its tree_arrays(): for each bracket or node that holds something, and for the file with -1, an array of (parent, unit, items), made inside the row of the file."""
-    held = stream if "syms" in stream.columns else tree_arrays(stream)
-    # No filter may follow on what is made here: it would be pushed down, and with it all of this, made again for each element.
-    held = held.where("size(syms) > 0").select("file_id", F.expr("transform(arrays_zip(syms, parents, ends), (t, i) -> named_struct('pos', bigint(i), 'sym', t.syms, 'parent', t.parents, 'end', t.ends))").alias("_t"))
-    held = held.withColumn("_levels", F.expr("int(floor(log2(greatest(1, array_max(transform(_t, t -> t.end - t.pos + 1))))))"))
-    for name, seed in (("_h", "t.sym, t.end - t.pos"), ("_g", "t.sym, t.end - t.pos, 'second'")):
-        last = "element_at(p, -1)"
-        more = f"zip_with(slice({last}, 1, greatest(size({last}) - j, 0)), slice({last}, j + 1, greatest(size({last}) - j, 0)), (x, y) -> xxhash64(x, y))"
-        held = held.withColumn(name, F.expr(f"aggregate(transform(filter(sequence(0, _levels), i -> i > 0), i -> int(shiftleft(1, i - 1))), array(transform(_t, t -> xxhash64({seed}))), (p, j) -> concat(p, array({more})))"))
-    level = "int(floor(log2(t.end - t.pos + 1)))"
-    both = lambda h: f"get(get({h}, {level}), int(t.pos)), get(get({h}, {level}), int(t.end - shiftleft(1L, {level}) + 1))"
-    unit = " , ".join(f"lpad(lower(hex(xxhash64(t.end - t.pos, {both(h)}))), 16, '0')" for h in ("_h", "_g"))
-    held = held.withColumn("_units", F.expr(f"transform(_t, t -> if(t.end > t.pos, concat({unit}), null))"))
-    # What one bracket holds are neighbours by parent and place.
-    held = held.withColumn("_by", F.expr("array_sort(transform(_t, t -> struct(t.parent, t.pos, t.sym, get(_units, int(t.pos)) as unit)))"))
-    held = held.withColumn("_starts", F.expr("filter(transform(_by, (x, i) -> if(i > 0 and get(_by, i - 1).parent = x.parent, -1, i)), i -> i >= 0)"))
-    items = "transform(slice(_by, i + 1, coalesce(get(_starts, n + 1), size(_by)) - i), x -> named_struct('at', x.pos - x.parent - 1, 'sym', x.sym, 'unit', x.unit))"
-    parent = "get(_by, i).parent"
-    return held.select("file_id", F.expr(f"transform(_starts, (i, n) -> named_struct('parent', {parent}, 'unit', get(_units, int({parent})), 'items', {items}))").alias("_groups"))
+def _trees(stream: DataFrame) -> DataFrame:
+    return stream if "syms" in stream.columns else tree_arrays(stream)
 
 
 def tree_classes(trees: DataFrame) -> DataFrame:
@@ -58,41 +40,40 @@ def tree_classes(trees: DataFrame) -> DataFrame:
 
 def tree_roots(stream: DataFrame) -> DataFrame:
     """(file_id, items): the roots of reduce_tree alone. Files given as tree_arrays() are not shuffled for it."""
-    return _groups(stream).select("file_id", F.get(F.filter("_groups", lambda g: g.parent == -1), F.lit(0))["items"].alias("items"))
+    return kernels.tree_groups(_trees(stream), roots=True)
 
 
 def reduce_tree(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units (unit, items), roots (file_id, items)) of a symbol stream with parent and end, or of its tree_arrays(): each distinct subtree, which is a bracket or a node and what it holds, once. items are (at, sym, unit): a symbol, or a symbol that opens the subtree unit, and its place within what the bracket holds. Names and lines do not count.
 
     A subtree is a run of its file's symbols, each with the length of what it opens, which tells its shape. Runs are told by hashes of all stretches of 1, 2, 4, ...
-    symbols, made by doubling inside the row of the file: two stretches of the largest such size, at
+    symbols, made by doubling in Arrow batches: two stretches of the largest such size, at
     both ends of a run, cover it, and with its length they name it by 128 bits. So a file takes
     time by its length and the logarithm of that, however deep it is, and separate jobs agree on units.
 
-    The first file of each unit is found by names alone; only what those files hold leaves their rows.
+    A task hands each subtree of a portion of files on once, so what files repeat is not shuffled.
     """
-    every = _groups(stream)
-    names = every.select("file_id", F.array_distinct(F.transform(F.filter("_groups", lambda g: g.parent >= 0), lambda g: g.unit)).alias("_names"))
-    first = materialise(exploded(names, "file_id", F.col("_names"), "_k", "unit").groupBy("unit").agg(F.min("file_id").alias("file_id")))
-    own = exploded(every, "file_id", F.filter("_groups", lambda g: g.parent >= 0), "_k", "g").select("file_id", F.col("g.unit").alias("unit"), F.col("g.items").alias("items"))
-    return own.join(first, ["unit", "file_id"]).groupBy("unit").agg(F.first("items").alias("items")), tree_roots(stream)
+    trees = _trees(stream)
+    return kernels.tree_groups(trees, roots=False).groupBy("unit").agg(F.first("items").alias("items")), tree_roots(trees)
 
 
 def rebuild_tree(units: DataFrame, roots: DataFrame) -> DataFrame:
     """(file_id, syms): the inverse of reduce_tree. In each round the known ways down from one subtree to another double in length, and carry what is known of a file twice as deep: about log2 of the deepest tree's levels rounds. A way of some length ends at each subtree of a file once, so there are never more ways than subtrees in the files."""
-    items = materialise(units.select("unit", F.explode("items").alias("i")).select("unit", "i.at", "i.sym", F.col("i.unit").alias("below")))
-    top = materialise(roots).select("file_id", F.explode("items").alias("i")).select("file_id", "i.*")
-    inside = lambda rows: rows.where("below is not null").withColumn("at", F.col("at") + 1)
-    found = fresh = materialise(inside(top.withColumnRenamed("unit", "below")).select("file_id", "at", F.col("below").alias("unit")))
-    ways = inside(items).select(F.col("unit").alias("_from"), F.col("at").alias("_at"), F.col("below").alias("_to"))
+    items = materialise(units.select("unit", "items"))
+    top = materialise(roots.select("file_id", "items"))
+    inside = lambda rows, key: rows.select(key, F.explode(F.filter("items", lambda i: i.unit.isNotNull())).alias("i")).select(key, (F.col("i.at") + 1).alias("at"), F.col("i.unit").alias("unit"))
+    # Subtrees of files are stored once, those of each round in a table of their own.
+    found = materialise(inside(top, "file_id"))
+    ways = inside(items.withColumnRenamed("unit", "_from"), "_from").select("_from", F.col("at").alias("_at"), F.col("unit").alias("_to"))
     while True:
         ways = materialise(ways)
         fresh = materialise(found.join(ways, F.col("unit") == F.col("_from")).select("file_id", (F.col("at") + F.col("_at")).alias("at"), F.col("_to").alias("unit")))
         if fresh.isEmpty():
             break
-        found = materialise(found.unionByName(fresh))
+        found = found.unionByName(fresh)
         then = ways.select(F.col("_from").alias("_via"), F.col("_at").alias("_on"), F.col("_to").alias("_end"))
         ways = ways.join(then, F.col("_to") == F.col("_via")).select("_from", (F.col("_at") + F.col("_on")).alias("_at"), F.col("_end").alias("_to")).distinct()
-    below = found.select("file_id", F.col("at").alias("_start"), "unit").join(items, "unit").select("file_id", (F.col("_start") + F.col("at")).alias("at"), "sym")
-    every = top.select("file_id", "at", "sym").unionByName(below)
-    return every.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sym"))), lambda x: x.sym).alias("syms"))
+    # A subtree brings what it holds as arrays; symbols are put in order in Arrow batches.
+    part = lambda start: F.struct(start.alias("start"), F.col("items.at").alias("at"), F.col("items.sym").alias("sym")).alias("part")
+    every = top.select("file_id", part(F.lit(0).cast("long"))).unionByName(found.join(items, "unit").select("file_id", part(F.col("at"))))
+    return kernels.assembled(every.groupBy("file_id").agg(F.collect_list("part").alias("parts")))
